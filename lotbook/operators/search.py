@@ -53,7 +53,10 @@ def signed_requests(requests: DataFrame, clean_query: bool = False) -> DataFrame
 
     q = clean_search("q") if clean_query else normalize_query("q")
     codes = F.filter(
-        F.transform(F.coalesce("counties", F.array().cast("array<string>")), F.trim), truthy
+        F.transform(
+            F.coalesce("counties", F.array().cast("array<string>")), lambda c: F.trim(c)
+        ),
+        truthy,
     )
     fields = F.transform(F.coalesce("fields", F.array().cast("array<string>")), F.lower)
     named = requests.select(
