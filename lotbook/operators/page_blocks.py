@@ -295,7 +295,7 @@ def value_rollup(rows: DataFrame) -> DataFrame:
 def list_page_records(elements: DataFrame) -> DataFrame:
     """``page_id, box, account, record, valid``: one record per box of a list page.
 
-    The anchor's text is preferred for the account. A box whose labels and values do
+    An anchor's text, even an empty one, goes before the whole value. A box whose labels and values do
     not pair up, or without an account, is kept as not valid.
     """
     is_term = F.col("kind") == "dt"
@@ -315,7 +315,7 @@ def list_page_records(elements: DataFrame) -> DataFrame:
     ).select("page_id", F.col("seq").alias("box"))
     paired = paired.unionByName(boxes, allowMissingColumns=True)
     is_account = F.col("key") == "Account #"
-    account = F.when(F.col("anchor") != "", F.col("anchor")).otherwise(F.col("value"))
+    account = F.coalesce("anchor", "value")
     shown = F.when(is_account, account).otherwise(F.col("value"))
     items = F.sort_array(
         F.collect_list(

@@ -47,7 +47,7 @@ class _Elements(HTMLParser):
         self.seq += 1
         node = dict(
             tag=tag, seq=self.seq, parent=up["seq"] if up else 0, classes=classes,
-            kind=None, block=-1, row=-1, cell=-1, via="", strings=[], tail="", extra="", counts={},
+            kind=None, block=-1, row=-1, cell=-1, via="", strings=[], tail="", extra=None, counts={},
         )
         node["box"], node["content"] = self.with_class("ibox"), self.with_class("ibox-content")
         self.place(node, up)
@@ -119,7 +119,7 @@ class _Elements(HTMLParser):
             node["names"]["extra"] = node["text"]
         if node["kind"] == "a":
             dd = self.nearest(lambda n: n["kind"] == "dd")
-            if dd is not None and not dd["extra"]:
+            if dd is not None and dd["extra"] is None:
                 dd["extra"] = node["text"]
         if node["kind"]:
             self.done.append(node)
