@@ -9,6 +9,7 @@ from checks import feeds
 from lotbook.operators import extract as E
 from lotbook.operators import page_blocks as B
 from lotbook.operators.labels import TABLE_RULES, span_class
+from lotbook.session import checkpointed
 from lotbook.sources.pages import page_elements, read_pages
 
 P = feeds.PARCELS_SQL
@@ -123,19 +124,30 @@ def list_pages(spark, sf):
 # ---------------------------------------------------------------- queries over them
 
 
+def _stored(pages):
+    """Element rows cut off from the parser, for rules that read them many times.
+
+    The pages are written from one small file, hence one partition; parsing is the
+    costly step, so they are spread over all cores first.
+    """
+    cores = pages.sparkSession.sparkContext.defaultParallelism
+    return checkpointed(page_elements(pages.repartition(cores)))
+
+
+
 def html_headers(spark, sf):
     """Rows of general tables as pairs, named by the header above them."""
-    rows = B.keyed_rows(B.table_rows(page_elements(general_pages(spark, sf))))
+    rows = B.keyed_rows(B.table_rows(_stored(general_pages(spark, sf))))
     shown = F.array_join(F.transform("pairs", lambda p: F.concat(p["key"], F.lit("="), p["value"])), ";")
     return rows.where(F.col("block") <= 2).select("page_id", "block", "row", "kind", shown.alias("pairs"))
 
 
 def html_pairs(spark, sf):
-    return B.list_pairs(page_elements(general_pages(spark, sf))).select("page_id", "block", "cell", "key", "value")
+    return B.list_pairs(_stored(general_pages(spark, sf))).select("page_id", "block", "cell", "key", "value")
 
 
 def html_buildings(spark, sf):
-    rows = B.building_tables(B.table_rows(page_elements(table_pages(spark, sf))))
+    rows = B.building_tables(B.table_rows(_stored(table_pages(spark, sf))))
     built = B.building_developments(rows.where(F.col("is_building")))
     d = F.col("development")
     return built.select(
@@ -146,23 +158,23 @@ def html_buildings(spark, sf):
 
 
 def value_table(spark, sf):
-    return B.value_rollup(B.table_rows(page_elements(section_pages(spark, sf)), via=None))
+    return B.value_rollup(B.table_rows(_stored(section_pages(spark, sf)), via=None))
 
 
 def list_records(spark, sf):
-    rows = B.list_page_records(page_elements(list_pages(spark, sf)))
+    rows = B.list_page_records(_stored(list_pages(spark, sf)))
     return rows.where("valid").select(
         "page_id", "account", F.col("record")["Address"].alias("address"), F.size("record").cast("bigint").alias("fields")
     )
 
 
 def list_quarantine(spark, sf):
-    rows = B.list_page_records(page_elements(list_pages(spark, sf)))
+    rows = B.list_page_records(_stored(list_pages(spark, sf)))
     return rows.groupBy("page_id").agg(F.count_if("valid").alias("good"), F.count_if(~F.col("valid")).alias("skipped"))
 
 
 def list_next(spark, sf):
-    return B.next_page_flags(page_elements(list_pages(spark, sf)))
+    return B.next_page_flags(_stored(list_pages(spark, sf)))
 
 
 def span_classes(spark, sf):
@@ -196,7 +208,7 @@ def _shown(docs, *extra):
 
 
 def general_documents(spark, sf):
-    docs = E.general_documents(page_elements(general_pages(spark, sf)))
+    docs = E.general_documents(_stored(general_pages(spark, sf)))
     first = F.get("developments", F.lit(0))
     return _shown(
         docs, F.col("legal.subdivision").alias("subdivision"), F.col("legal_extended"),
@@ -205,7 +217,7 @@ def general_documents(spark, sf):
 
 
 def table_documents(spark, sf):
-    docs = E.table_documents(page_elements(table_pages(spark, sf)))
+    docs = E.table_documents(_stored(table_pages(spark, sf)))
     return _shown(
         docs, F.col("acreage_breakdown.residential").alias("residential"), F.col("acreage_text")["industrial"].alias("industrial_text"),
         F.array_join(F.transform("developments", lambda d: d["Sq Ft"]), "|").alias("sizes"),
@@ -213,7 +225,7 @@ def table_documents(spark, sf):
 
 
 def section_documents(spark, sf):
-    docs = E.section_documents(page_elements(section_pages(spark, sf)))
+    docs = E.section_documents(_stored(section_pages(spark, sf)))
     first = F.get("developments", F.lit(0))
     return _shown(
         docs, F.col("legal.location").alias("location"), F.col("legal.lot").alias("lot"),
@@ -230,7 +242,7 @@ def canonical_pages(spark, sf):
         "page_id", F.when(k == 1, "https://maps.greenwoodmap.com/x").otherwise("https://example.org/").alias("url"),
         F.when(k == 2, "Lincoln").otherwise("").alias("county"),
     )
-    docs = E.extract_documents(requests, page_elements(pages))
+    docs = E.extract_documents(requests, _stored(pages))
     return docs.select("page_id", "route", "county_parcel_id", "owner_name", F.size("developments").cast("bigint").alias("n_developments"))
 
 

@@ -25,6 +25,7 @@ from lotbook.operators import merge, snapshots, spatial
 from lotbook.operators.search_index import search_entries
 from lotbook.operators.standardize import detect_crs, reproject_features, standardize
 from lotbook.plans.jobs import county_counts
+from lotbook.session import checkpointed
 
 P = feeds.PARCELS_SQL
 
@@ -293,7 +294,7 @@ def spatial_counts(spark, sf):
 
 
 def spatial_multi(spark, sf):
-    listed = spatial.multiple_matches(spatial.spatial_matches(*_pair(spark, sf)))
+    listed = spatial.multiple_matches(checkpointed(spatial.spatial_matches(*_pair(spark, sf))))
     return listed.select(
         "parcel_ord", "addresses",
         F.array_join(F.transform("addr_ords", lambda a: a.cast("string")), ",").alias("addr_ords"),
@@ -342,9 +343,9 @@ def crs_detect(spark, sf):
 
 def reproject(spark, sf):
     df = feeds.feet_features(spark, sf)
-    b = G.bbox("geom")
+    corner = F.get(G.points("geom"), F.lit(0))
     moved = reproject_features(df, feeds.declared(df))
-    return moved.select("src_ord", "county", F.round(b["xmin"], 6).alias("lon"), F.round(b["ymin"], 6).alias("lat"))
+    return moved.select("src_ord", "county", F.round(corner["x"], 6).alias("lon"), F.round(corner["y"], 6).alias("lat"))
 
 
 def _double(v: float) -> str:
@@ -367,30 +368,25 @@ def _reproject_sql() -> str:
       g as (select ck, k, {_COUNTY} as county,
         case when k >= 3 then 2300000e0 + (ck % 1000) * 100e0 else x0 end as x,
         case when k >= 3 then 1300000e0 + (ck % 700) * 150e0 else y0 end as y from p),
-      corner as (select *, x + case when k >= 3 then 500e0 else 0 end as x2 from g),
       s1 as (select *, (({arc0}) + (y * (1200e0 / 3937e0) - ({by_zone('fn')})) / 0.9999375e0) / {_double(mu_div)} as mu,
-        (x * (1200e0 / 3937e0) - ({by_zone('fe')})) / 0.9999375e0 as e,
-        ((x + 500e0) * (1200e0 / 3937e0) - ({by_zone('fe')})) / 0.9999375e0 as e_right from corner),
+        (x * (1200e0 / 3937e0) - ({by_zone('fe')})) / 0.9999375e0 as e from g),
       s2 as (select *, mu + {_double(3 * e1 / 2 - 27 * e1**3 / 32)} * sin(2 * mu)
         + {_double(21 * e1**2 / 16 - 55 * e1**4 / 32)} * sin(4 * mu)
         + {_double(151 * e1**3 / 96)} * sin(6 * mu) + {_double(1097 * e1**4 / 512)} * sin(8 * mu) as f from s1),
       s3 as (select *, tan(f) * tan(f) as t, {_double(ep2)} * cos(f) * cos(f) as c,
         6378137e0 / sqrt(1 - {_double(e2)} * sin(f) * sin(f)) as n,
         6378137e0 * (1 - {_double(e2)}) / pow(1 - {_double(e2)} * sin(f) * sin(f), 1.5) as r from s2),
-      s4 as (select *, e / n as d, e_right / n as dr from s3),
+      s4 as (select *, e / n as d from s3),
       ll as (select ck, k, county, x, y,
         degrees(f - (n * tan(f) / r) * (d * d / 2
           - (5 + 3 * t + 10 * c - 4 * c * c - 9 * {_double(ep2)}) * pow(d, 4) / 24
           + (61 + 90 * t + 298 * c + 45 * t * t - 252 * {_double(ep2)} - 3 * c * c) * pow(d, 6) / 720)) as lat_left,
-        degrees(f - (n * tan(f) / r) * (dr * dr / 2
-          - (5 + 3 * t + 10 * c - 4 * c * c - 9 * {_double(ep2)}) * pow(dr, 4) / 24
-          + (61 + 90 * t + 298 * c + 45 * t * t - 252 * {_double(ep2)} - 3 * c * c) * pow(dr, 6) / 720)) as lat_right,
         ({by_zone('lon0')}) + degrees((d - (1 + 2 * t + c) * pow(d, 3) / 6
           + (5 - 2 * c + 28 * t - 3 * c * c + 8 * {_double(ep2)} + 24 * t * t) * pow(d, 5) / 120) / cos(f)) as lon_low
         from s4)
       select ck as src_ord, county,
         round(case when k >= 3 then lon_low else x end, 6) as lon,
-        round(case when k >= 3 then least(lat_left, lat_right) else y end, 6) as lat from ll"""
+        round(case when k >= 3 then lat_left else y end, 6) as lat from ll"""
 
 
 def valid_geometries(spark, sf):

@@ -10,6 +10,7 @@ import math
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
+from lotbook.functions.bind import bind
 from lotbook.functions.text import col
 
 POLYGON_KINDS = ["Polygon", "MultiPolygon"]
@@ -55,24 +56,28 @@ def valid_polygon(geom: Column | str) -> Column:
 def bbox(geom: Column | str) -> Column:
     """Box struct of all vertices; null for other kinds and for empty coordinates."""
     geom = col(geom)
-    pts = F.when(valid_polygon(geom), points(geom))
-    xs = F.transform(pts, lambda p: p["x"])
-    ys = F.transform(pts, lambda p: p["y"])
-    box = F.struct(
-        F.array_min(xs).alias("xmin"),
-        F.array_min(ys).alias("ymin"),
-        F.array_max(xs).alias("xmax"),
-        F.array_max(ys).alias("ymax"),
-    )
-    return F.when(F.size(pts) > 0, box)
+
+    def box(pts: Column) -> Column:
+        xs = F.transform(pts, lambda p: p["x"])
+        ys = F.transform(pts, lambda p: p["y"])
+        found = F.struct(
+            F.array_min(xs).alias("xmin"),
+            F.array_min(ys).alias("ymin"),
+            F.array_max(xs).alias("xmax"),
+            F.array_max(ys).alias("ymax"),
+        )
+        return F.when(F.size(pts) > 0, found)
+
+    return bind(geom, lambda g: bind(F.when(valid_polygon(g), points(g)), box))
 
 
 def bbox_array(box: Column | str) -> Column:
     """Box as ``[min_lon, min_lat, max_lon, max_lat]``, or null."""
-    box = col(box)
-    return F.when(
-        box.isNotNull(), F.array(box["xmin"], box["ymin"], box["xmax"], box["ymax"])
-    )
+
+    def corners(b: Column) -> Column:
+        return F.when(b.isNotNull(), F.array(b["xmin"], b["ymin"], b["xmax"], b["ymax"]))
+
+    return bind(col(box), corners)
 
 
 def segments(geom: Column | str) -> Column:
@@ -177,28 +182,27 @@ def meridian_arc(lat: float) -> float:
     )
 
 
-def from_state_plane(x: Column, y: Column, zone: dict[str, float]) -> tuple[Column, Column]:
-    """Inverse Transverse Mercator (Snyder 1987, eqs. 8-17 to 8-25) in column math."""
+def from_state_plane(x: Column, y: Column, zone: dict[str, float]) -> Column:
+    """Point struct in degrees: inverse Transverse Mercator (Snyder 1987, eqs. 8-17 to 8-25) in column math."""
     k0 = zone["k0"]
     arc = F.lit(meridian_arc(math.radians(zone["lat0"]))) + (y * _FOOT - zone["fn"]) / k0
     mu = arc / (_A * (1 - _E2 / 4 - 3 * _E2**2 / 64 - 5 * _E2**3 / 256))
     e1 = (1 - math.sqrt(1 - _E2)) / (1 + math.sqrt(1 - _E2))
-    foot_lat = (
-        mu
-        + (3 * e1 / 2 - 27 * e1**3 / 32) * F.sin(2 * mu)
-        + (21 * e1**2 / 16 - 55 * e1**4 / 32) * F.sin(4 * mu)
-        + (151 * e1**3 / 96) * F.sin(6 * mu)
-        + (1097 * e1**4 / 512) * F.sin(8 * mu)
-    )
-    return _spread(foot_lat, (x * _FOOT - zone["fe"]) / k0, zone["lon0"])
 
+    def foot(m: Column) -> Column:
+        return (
+            m
+            + (3 * e1 / 2 - 27 * e1**3 / 32) * F.sin(2 * m)
+            + (21 * e1**2 / 16 - 55 * e1**4 / 32) * F.sin(4 * m)
+            + (151 * e1**3 / 96) * F.sin(6 * m)
+            + (1097 * e1**4 / 512) * F.sin(8 * m)
+        )
+
+    return _spread(bind(mu, foot), (x * _FOOT - zone["fe"]) / k0, zone["lon0"])
 
-def _spread(foot_lat: Column, easting: Column, lon0: float) -> tuple[Column, Column]:
-    """Series around the footpoint latitude.
 
-    The sine and cosine are bound once through a one-element ``transform``: written
-    out, the powers would repeat the whole footpoint expression dozens of times.
-    """
+def _spread(foot_lat: Column, easting: Column, lon0: float) -> Column:
+    """Series around the footpoint latitude, whose sine and cosine are bound once."""
 
     def solve(b: Column) -> Column:
         sin, cos, lat = b["s"], b["c"], b["lat"]
@@ -223,7 +227,7 @@ def _spread(foot_lat: Column, easting: Column, lon0: float) -> tuple[Column, Col
             (F.lit(lon0) + F.degrees(out_lon)).alias("x"), F.degrees(out_lat).alias("y")
         )
 
-    def bind(b: Column) -> Column:
+    def angles(b: Column) -> Column:
         return F.struct(
             b["lat"].alias("lat"),
             F.sin(b["lat"]).alias("s"),
@@ -231,17 +235,15 @@ def _spread(foot_lat: Column, easting: Column, lon0: float) -> tuple[Column, Col
             b["e"].alias("e"),
         )
 
-    start = F.array(F.struct(foot_lat.alias("lat"), easting.alias("e")))
-    solved = F.transform(F.transform(start, bind), solve)[0]
-    return solved["x"], solved["y"]
+    start = F.struct(foot_lat.alias("lat"), easting.alias("e"))
+    return bind(start, lambda b: bind(angles(b), solve))
 
 
 def to_degrees(x: Column, y: Column, crs: Column) -> Column:
     """Point struct in WGS84 degrees from the system named in ``crs``."""
     out = None
     for name, zone in STATE_PLANE_ZONES.items():
-        lon, lat = from_state_plane(x, y, zone)
-        here = F.struct(lon.alias("x"), lat.alias("y"))
+        here = from_state_plane(x, y, zone)
         out = F.when(crs == name, here) if out is None else out.when(crs == name, here)
     return out.otherwise(F.struct(x.alias("x"), y.alias("y")))
 

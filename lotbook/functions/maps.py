@@ -9,6 +9,7 @@ from __future__ import annotations
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
+from lotbook.functions.bind import bind
 from lotbook.functions.text import col, description_key, strip, truthy
 
 _NO_PROPERTIES = "cast(map() as map<string,string>)"
@@ -29,20 +30,25 @@ def without_key(m: Column | str, key: str) -> Column:
 
 def overwrite(left: Column | str, right: Column | str) -> Column:
     """``left`` with every entry of ``right`` put over it; a null map counts as empty."""
-    base = F.coalesce(col(left), no_properties())
-    over = F.coalesce(col(right), no_properties())
-    kept = F.map_filter(base, lambda k, v: ~F.map_contains_key(over, k))
-    return F.map_concat(kept, over)
+
+    def put(over: Column) -> Column:
+        kept = F.map_filter(
+            F.coalesce(col(left), no_properties()), lambda k, v: ~F.map_contains_key(over, k)
+        )
+        return F.map_concat(kept, over)
+
+    return bind(F.coalesce(col(right), no_properties()), put)
 
 
 def map_of_pairs(pairs: Column) -> Column:
     """Map from an array of ``(key, value)`` structs, the last of equal keys winning."""
-    keys = F.array_distinct(F.transform(pairs, lambda p: p["key"]))
-    values = F.transform(
-        keys,
-        lambda k: F.element_at(F.filter(pairs, lambda p: p["key"] == k), -1)["value"],
-    )
-    return F.coalesce(F.map_from_arrays(keys, values), no_properties())
+
+    def build(p: Column) -> Column:
+        keys = F.array_distinct(F.transform(p, lambda e: e["key"]))
+        last = lambda k: F.element_at(F.filter(p, lambda e: e["key"] == k), -1)["value"]
+        return bind(keys, lambda ks: F.map_from_arrays(ks, F.transform(ks, last)))
+
+    return F.coalesce(bind(pairs, build), no_properties())
 
 
 def markup_text(c: Column) -> Column:
@@ -67,7 +73,9 @@ def parse_description(html: Column | str) -> Column:
     with the same label wins.
     """
     pieces = F.split(F.coalesce(col(html), F.lit("")), r"(?i)<tr\b")
-    bodies = F.slice(pieces, F.lit(2), F.greatest(F.size(pieces) - 1, F.lit(0)))
+    bodies = bind(
+        pieces, lambda p: F.slice(p, F.lit(2), F.greatest(F.size(p) - 1, F.lit(0)))
+    )
     cells = F.transform(
         bodies,
         lambda b: F.regexp_extract_all(b, F.lit(r"(?is)<t[hd]\b[^>]*>(.*?)</t[hd]>"), F.lit(1)),

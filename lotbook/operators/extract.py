@@ -60,7 +60,7 @@ def _assignments(df: DataFrame, field: Column, value: Column, *pos) -> DataFrame
 
 def last_values(assignments: DataFrame) -> DataFrame:
     """``page_id, values``: last value of each field, one map per page."""
-    last = assignments.groupBy("page_id", "field").agg(F.max_by("value", "pos").alias("value"))
+    last = B.by_page(assignments).groupBy("page_id", "field").agg(F.max_by("value", "pos").alias("value"))
     return last.groupBy("page_id").agg(
         F.map_from_entries(F.collect_list(F.struct("field", "value"))).alias("values")
     )

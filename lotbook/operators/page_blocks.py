@@ -1,7 +1,9 @@
 """Tables, lists, spans and sections of a page as relations.
 
 Input is the element rows of ``sources.pages``. Windows and groups are keyed by
-page, whose rows are bounded by the page's own size.
+page, whose rows are bounded by the page's own size. A relation first keeps its own
+kinds and columns and is then placed by page: its later windows and groups all start
+with the page and reuse that one shuffle.
 """
 
 from __future__ import annotations
@@ -17,6 +19,10 @@ from lotbook.operators.labels import span_class
 _PAIR = "struct<key: string, value: string>"
 
 
+def by_page(df: DataFrame) -> DataFrame:
+    return df.repartition("page_id")
+
+
 def pair(key: Column, value: Column) -> Column:
     return F.struct(key.alias("key"), value.alias("value"))
 
@@ -30,6 +36,7 @@ def table_rows(elements: DataFrame, via: str | None = "table") -> DataFrame:
     rows = elements.where(F.col("kind").isin("tr", "td", "th"))
     if via is not None:
         rows = rows.where(F.col("via") == via)
+    rows = by_page(rows.select("page_id", "kind", "block", "via", "row", "cell", "classes", "text"))
     is_cell = F.col("kind") != "tr"
     grouped = rows.groupBy("page_id", "block", "via", "row").agg(
         F.sort_array(
@@ -171,6 +178,7 @@ def list_pairs(elements: DataFrame) -> DataFrame:
     Surplus labels or values of a list pair with nothing and drop out.
     """
     terms = elements.where(F.col("kind").isin("dt", "dd") & (F.col("block") >= 0))
+    terms = by_page(terms.select("page_id", "seq", "kind", "block", "cell", "content", "text"))
     is_term = F.col("kind") == "dt"
     text = collapse("text")
     return (
@@ -209,9 +217,10 @@ def section_fields(elements: DataFrame) -> DataFrame:
     first_box = F.min(
         F.when((F.col("kind") == "div") & F.col("classes").contains("ibox-content"), F.col("seq"))
     ).over(page)
-    inside = elements.where(F.col("kind").isin("h5", "span", "hr", "strong", "div")).withColumn(
-        "_box", first_box
+    parts = elements.where(F.col("kind").isin("h5", "span", "hr", "strong", "div")).select(
+        "page_id", "seq", "parent", "kind", "classes", "content", "text", "tail"
     )
+    inside = by_page(parts).withColumn("_box", first_box)
     inside = inside.where(F.col("content") == F.col("_box"))
     siblings = Window.partitionBy("page_id", "parent").orderBy("seq")
     heading = F.when(F.col("kind") == "h5", F.trim("text"))
@@ -300,6 +309,7 @@ def list_page_records(elements: DataFrame) -> DataFrame:
     """
     is_term = F.col("kind") == "dt"
     terms = elements.where(F.col("kind").isin("dt", "dd") & (F.col("box") >= 0))
+    terms = by_page(terms.select("page_id", "seq", "kind", "box", "text", "extra"))
     nth = F.row_number().over(Window.partitionBy("page_id", "box", "kind").orderBy("seq"))
     paired = (
         terms.withColumn("nth", nth)

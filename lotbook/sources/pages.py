@@ -37,19 +37,18 @@ class _Elements(HTMLParser):
     def nearest(self, test) -> dict | None:
         return next((n for n in reversed(self.open) if test(n)), None)
 
-    def with_class(self, name: str) -> int:
-        found = self.nearest(lambda n: name in n["classes"])
-        return found["seq"] if found else -1
-
     def handle_starttag(self, tag, attrs):
-        classes = (dict(attrs).get("class") or "").split()
+        classes = (dict(attrs).get("class") or "").split() if attrs else []
         up = self.open[-1] if self.open else None
         self.seq += 1
         node = dict(
             tag=tag, seq=self.seq, parent=up["seq"] if up else 0, classes=classes,
             kind=None, block=-1, row=-1, cell=-1, via="", strings=[], tail="", extra=None, counts={},
         )
-        node["box"], node["content"] = self.with_class("ibox"), self.with_class("ibox-content")
+        # Enclosing boxes are inherited: what encloses the parent, or the parent itself.
+        for name, mark in (("box", "ibox"), ("content", "ibox-content")):
+            inside = up is not None and mark in up["classes"]
+            node[name] = up["seq"] if inside else up[name] if up else -1
         self.place(node, up)
         if up is not None:
             strong = up.pop("last_strong", None)
@@ -153,10 +152,18 @@ def read_pages(spark: SparkSession, path: str) -> DataFrame:
 
 
 def page_elements(pages: DataFrame) -> DataFrame:
-    """Element rows of whole pages, placed by page.
+    """Element rows of whole pages.
 
-    Rows are hashed by ``page_id`` once. Every later window and aggregate groups by
-    page first and reuses that placement, so a page's rules cost one shuffle in all.
+    Rule sets read these rows many times, each time other kinds. Write them first
+    (``write_elements``) or checkpoint them, so that pages are parsed once.
     """
-    rows = pages.select("page_id", "html").mapInPandas(_element_rows, ELEMENTS)
-    return rows.repartition("page_id")
+    return pages.select("page_id", "html").mapInPandas(_element_rows, ELEMENTS)
+
+
+def write_elements(elements: DataFrame, path: str) -> None:
+    """Element rows by kind: a rule set's scan is pruned to the kinds it asks for."""
+    elements.write.mode("overwrite").partitionBy("kind").parquet(path)
+
+
+def read_elements(spark: SparkSession, path: str) -> DataFrame:
+    return spark.read.schema(ELEMENTS).option("basePath", path).parquet(path)
