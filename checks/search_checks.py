@@ -9,6 +9,7 @@ from checks.parcel_checks import ENTRIES_SQL, standardized
 from lotbook.operators import search as S
 from lotbook.operators import search_index as X
 from lotbook.schemas import SEARCH_REQUEST
+from lotbook.session import checkpointed
 
 # Requests derived from nations: `{text}` is the engine's text type.
 _REQUESTS = {
@@ -50,6 +51,11 @@ def prepared(spark, sf):
     return X.prepare_entries(X.search_entries(standardized(spark, sf)))
 
 
+def stored(spark, sf):
+    """Prepared entries cut off from their making, as the written index table is."""
+    return checkpointed(prepared(spark, sf))
+
+
 def _clean(c: str) -> str:
     return f"trim(regexp_replace(lower({c}), '[^\\p{{L}}\\p{{N}}_]+', ' ', 'g'))"
 
@@ -108,7 +114,7 @@ _SCORED_SQL = f"""{_PREPARED_SQL}, {_REQUESTS_SQL},
 
 
 def _results(spark, sf, keep):
-    return S.search(requests(spark, sf).where(keep), prepared(spark, sf))
+    return S.search(requests(spark, sf).where(keep), stored(spark, sf))
 
 
 _NO_COUNTIES = "counties is null or size(counties) = 0"
@@ -133,7 +139,7 @@ def search_near(spark, sf):
 
 
 def response_rows(spark, sf):
-    entries = prepared(spark, sf)
+    entries = stored(spark, sf)
     return S.response_rows(S.search(requests(spark, sf), entries), entries).select(
         "qid", "rank", "global_parcel_uid", "pidn", "owner", "mailing_address", "physical_address",
         "county", "state", "clerk_rec", "property_det", "tax_info",
@@ -142,7 +148,7 @@ def response_rows(spark, sf):
 
 def match_counts(spark, sf):
     indexed = requests(spark, sf).where(_NO_COUNTIES)
-    return S.match_counts(indexed, prepared(spark, sf))
+    return S.match_counts(indexed, stored(spark, sf))
 
 
 def postings(spark, sf):

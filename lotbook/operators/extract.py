@@ -11,7 +11,7 @@ from pyspark.sql import functions as F
 
 from lotbook.functions.numbers import money_before, money_total, number_text, numeric_or_text
 from lotbook.functions.text import collapse, label_key, truthy
-from lotbook.functions.urls import extraction_route
+from lotbook.functions.urls import extraction_route, record_domain
 from lotbook.operators import page_blocks as B
 from lotbook.operators.documents import (
     ACREAGE_FIELDS,
@@ -475,8 +475,6 @@ def scrape_requests(requests: DataFrame) -> DataFrame:
     ``tax_domain`` and ``clerk_domain`` are the sites that answer, null when the
     request names none or an unsupported one; ``details_route`` is the rule set.
     """
-    from lotbook.functions.urls import record_domain
-
     def link(name: str) -> Column:
         return F.try_element_at(F.col("links"), F.lit(name))
 

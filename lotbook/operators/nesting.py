@@ -22,10 +22,10 @@ def nest(
 ) -> DataFrame:
     """``keys, part, into``: the items of each key in order, ``tie`` breaking ties.
 
-    A key with up to ``limit`` items gets one row, part 0. A larger one gets several
-    parts of about ``limit`` items, each in order, so no task or row ever holds an
-    unbounded group and nothing is dropped; merging a key's parts by the sort key
-    gives its total order. ``tie`` must be unique within a key and numeric.
+    A key with up to ``limit`` items gets one row, part 0. A hot one (see ``hot_keys``)
+    gets several parts of about ``limit`` items, each in order, so no task or row ever
+    holds an unbounded group and nothing is dropped; merging a key's parts by the sort
+    key gives its total order. ``tie`` must be unique within a key and numeric.
     """
     parted = with_part(df, hot_keys(df, keys, limit), keys, tie, "part")
     order = F.col(tie) if not descending else -F.col(tie)

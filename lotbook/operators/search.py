@@ -11,7 +11,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from lotbook.functions import geometry as G
-from lotbook.functions.text import normalize_query, truthy, words
+from lotbook.functions.text import clean_search, normalize_query, truthy, words
 from lotbook.operators.search_index import (
     TEXT_FIELDS,
     gram_postings,
@@ -49,8 +49,6 @@ def signed_requests(requests: DataFrame, clean_query: bool = False) -> DataFrame
     Blank requests are dropped. ``clean_query`` cleans the text the way entries are
     cleaned; by default punctuation stays as typed.
     """
-    from lotbook.functions.text import clean_search
-
     q = clean_search("q") if clean_query else normalize_query("q")
     codes = F.filter(
         F.transform(
@@ -80,7 +78,8 @@ def _sharded(df: DataFrame) -> DataFrame:
 
 
 def _every_shard(df: DataFrame) -> DataFrame:
-    return df.withColumn("_shard", F.explode(F.sequence(F.lit(0), F.lit(SHARDS - 1)).cast("array<bigint>")))
+    shards = F.sequence(F.lit(0), F.lit(SHARDS - 1)).cast("array<bigint>")
+    return df.withColumn("_shard", F.explode(shards))
 
 
 def candidates(

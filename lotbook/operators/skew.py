@@ -11,20 +11,23 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 HOT_ROWS = 1_000_000
+# No more keys than this are ever broadcast.
+MAX_HOT_KEYS = 1_000_000
 _NULL_SPREAD = 64
 
 
 def hot_keys(df: DataFrame, keys: list[str], limit: int) -> DataFrame:
     """Keys with more than ``limit`` rows and into how many parts to split each.
 
-    Counts combine on the map side, and at most ``rows / limit`` keys can qualify:
-    that bound is what makes the result safe to broadcast.
+    Counts combine on the map side. A key must also hold more than one in
+    ``MAX_HOT_KEYS`` of all rows, so at most that many can qualify: the bound that
+    makes the result safe to broadcast. A key below it is smaller than a usual task.
     """
-    return (
-        df.groupBy(*keys)
-        .agg(F.count(F.lit(1)).alias("_rows"))
-        .where(F.col("_rows") > limit)
-        .select(*keys, F.ceil(F.col("_rows") / limit).cast("int").alias("_parts"))
+    counts = df.groupBy(*keys).agg(F.count(F.lit(1)).alias("_rows"))
+    total = counts.agg(F.sum("_rows")).scalar()
+    threshold = F.greatest(F.lit(limit), F.coalesce(total, F.lit(0)) / F.lit(MAX_HOT_KEYS))
+    return counts.where(F.col("_rows") > threshold).select(
+        *keys, F.ceil(F.col("_rows") / limit).cast("int").alias("_parts")
     )
 
 

@@ -5,8 +5,8 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from lotbook.operators.assessor import KEY, duplicate_keys, index_metadata, parcel_index
-from lotbook.operators.snapshots import KEEP_RUNS, current_snapshot, retained_runs, run_list
+from lotbook.operators.assessor import duplicate_keys, index_metadata, parcel_index
+from lotbook.operators.snapshots import KEEP_RUNS, retained_runs
 
 
 class DuplicateKeyError(ValueError):
@@ -41,7 +41,7 @@ def write_dated(df: DataFrame, base: str) -> None:
 
 def read_dated(spark: SparkSession, base: str, county: str, day: str) -> DataFrame:
     """One county's snapshot of one day, by partition pruning."""
-    table = spark.read.option("basePath", base).schema(spark.read.parquet(base).schema).parquet(base)
+    table = spark.read.parquet(base)
     return table.where((F.col("county") == county) & (F.col("snapshot_date") == day))
 
 
@@ -57,9 +57,16 @@ def publish(df: DataFrame, base: str, run_ts: str) -> None:
     unpin(df.sparkSession, base)
 
 
-def _runs(spark: SparkSession, base: str) -> DataFrame:
-    table = spark.read.parquet(f"{base}/runs")
-    return table.withColumn("run_ts", F.col("run_ts").cast("string"))
+def _folder(spark: SparkSession, path: str):
+    target = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(path)
+    return target.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()), target
+
+
+def list_runs(spark: SparkSession, base: str) -> list[str]:
+    """Published runs, from the partition folders: one per night, no data is read."""
+    files, target = _folder(spark, f"{base}/runs")
+    names = [status.getPath().getName() for status in files.listStatus(target)]
+    return sorted(n.removeprefix("run_ts=") for n in names if n.startswith("run_ts="))
 
 
 def pin(spark: SparkSession, base: str, run_ts: str) -> None:
@@ -74,35 +81,18 @@ def unpin(spark: SparkSession, base: str) -> None:
 
 
 def latest(spark: SparkSession, base: str) -> DataFrame:
-    """Rows of the pinned run, else of the newest."""
-    return current_snapshot(_runs(spark, base), spark.read.parquet(f"{base}/pinned"))
+    """Rows of the pinned run if it is still there, else of the newest."""
+    runs = list_runs(spark, base)
+    pinned = [r.run_ts for r in spark.read.parquet(f"{base}/pinned").take(1)]
+    run = pinned[0] if pinned and pinned[0] in runs else max(runs)
+    return spark.read.parquet(f"{base}/runs").where(F.col("run_ts").cast("string") == run)
 
 
 def expire_runs(spark: SparkSession, base: str, keep: int = KEEP_RUNS) -> list[str]:
-    """Drop all but the newest runs; returns the dropped ones.
-
-    The list of runs is short (one per night), so it is collected.
-    """
-    ages = retained_runs(run_list(_runs(spark, base)), keep)
-    old = [row.run_ts for row in ages.where(~F.col("kept")).collect()]
-    jvm = spark.sparkContext._jvm
+    """Drop all but the newest runs; returns the dropped ones."""
+    runs = spark.createDataFrame([(r,) for r in list_runs(spark, base)], "run_ts string")
+    old = [r.run_ts for r in retained_runs(runs, keep).where(~F.col("kept")).collect()]
     for run in old:
-        path = jvm.org.apache.hadoop.fs.Path(f"{base}/runs/run_ts={run}")
-        path.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).delete(path, True)
-    return old
-
-
-__all__ = [
-    "KEY",
-    "DuplicateKeyError",
-    "dated_path",
-    "expire_runs",
-    "latest",
-    "load_table",
-    "pin",
-    "publish",
-    "read_dated",
-    "unpin",
-    "write_dated",
-    "write_parcel_index",
-]
+        files, target = _folder(spark, f"{base}/runs/run_ts={run}")
+        files.delete(target, True)
+    return sorted(old)
