@@ -20,8 +20,6 @@ def prop(name: str) -> Column:
 
 def mapped_value(names: list[str], fallback: bool = False) -> Column:
     """The first mapped property; with ``fallback`` the first truthy alternate."""
-    if not names:
-        return F.lit(None).cast("string")
     if not fallback:
         return prop(names[0])
     return F.coalesce(*[F.when(truthy(prop(n)), prop(n)) for n in names])
@@ -32,8 +30,6 @@ def mailing_address(names: list[str]) -> Column:
 
     A single mapped property is taken as it is when truthy, else null.
     """
-    if not names:
-        return F.lit(None).cast("string")
     if len(names) == 1:
         return F.when(truthy(prop(names[0])), prop(names[0]))
     parts = [F.coalesce(prop(n), F.lit("")) for n in names[:4]]
@@ -44,10 +40,8 @@ def mailing_address(names: list[str]) -> Column:
     return F.btrim(line, F.lit(", "))
 
 
-def link_url(link: Link | None) -> Column:
+def link_url(link: Link) -> Column:
     """A link from its template; null when its property is not truthy."""
-    if link is None:
-        return F.lit(None).cast("string")
     if link.field is None:
         return F.lit(link.base)
     value = prop(link.field)
@@ -59,15 +53,15 @@ def parcel_uid(county: Column, number: Column) -> Column:
     return F.concat(F.lower(county), F.lit("_"), F.format_string("%06d", number))
 
 
-def per_county(registry: dict[str, County], build) -> Column:
-    """One expression for all counties: equal expressions share a branch of one CASE."""
-    branches: dict[str, tuple[Column, list[str]]] = {}
+def per_county(registry: dict[str, County], setting, build) -> Column:
+    """One expression for all counties: those with an equal setting share a CASE branch."""
+    groups: dict = {}
     for code, county in registry.items():
-        expression = build(county)
-        branches.setdefault(str(expression), (expression, []))[1].append(code)
+        groups.setdefault(setting(county), []).append(code)
     out = F.lit(None).cast("string")
-    for expression, codes in branches.values():
-        out = F.when(F.col("county").isin(*codes), expression).otherwise(out)
+    for value, codes in groups.items():
+        if value:
+            out = F.when(F.col("county").isin(*codes), build(value)).otherwise(out)
     return out
 
 
@@ -125,18 +119,22 @@ def standardize(
 
     def mapped(name: str) -> Column:
         return per_county(
-            registry, lambda c: mapped_value(c.mappings.get(name, []), fallback)
+            registry,
+            lambda c: tuple(c.mappings.get(name, [])),
+            lambda names: mapped_value(list(names), fallback),
         )
 
     def link(kind: str) -> Column:
-        return per_county(registry, lambda c: link_url(c.links.get(kind)))
+        return per_county(registry, lambda c: c.links.get(kind), link_url)
 
     values = {
         "global_parcel_uid": parcel_uid(F.col("county"), F.col("number")),
         "county": F.col("county"),
         "county_parcel_id_num": mapped("parcel_id"),
         "mailing_address": per_county(
-            registry, lambda c: mailing_address(c.mappings.get("mailing_address", []))
+            registry,
+            lambda c: tuple(c.mappings.get("mailing_address", [])),
+            lambda names: mailing_address(list(names)),
         ),
         "property_details_link": link("property_details"),
         "tax_details_link": link("tax_details"),
