@@ -8,7 +8,6 @@ from checks import feeds
 from checks.parcel_checks import ENTRIES_SQL, standardized
 from lotbook.operators import search as S
 from lotbook.operators import search_index as X
-from lotbook.schemas import SEARCH_REQUEST
 from lotbook.session import checkpointed
 
 # Requests derived from nations: `{text}` is the engine's text type.
@@ -40,11 +39,10 @@ def requests(spark, sf):
     flat = feeds.table(spark, sf, "nation").select(
         *[F.expr(sql.format(text="string")).alias(name) for name, sql in _REQUESTS.items()]
     )
-    typed = flat.select(
+    return flat.select(
         F.col("qid").cast("bigint").alias("qid"), "q", some("counties").alias("counties"),
         some("fields").alias("fields"), "lon", "lat", F.col("max_rows").cast("int").alias("max_rows"),
     )
-    return spark.createDataFrame([], SEARCH_REQUEST).unionByName(typed)
 
 
 def prepared(spark, sf):

@@ -197,21 +197,19 @@ def acreage_by_category(land: DataFrame) -> DataFrame:
 def parcel_improvements(
     parcels: DataFrame, improvements: DataFrame, hot_rows: int = HOT_ROWS
 ) -> DataFrame:
-    """Parcels with their improvements, parcels without any included.
+    """Parcels with their improvements (with row position ``ord``), parcels without any too.
 
     A left join cannot split a hot right key. The improvements therefore lead a
     salted inner join, and parcels without any are added.
     """
     with_any = salted_join(
-        improvements.withColumnRenamed("improvement_value", "building_value").withColumn(
-            "_tie", F.xxhash64("improvement_number", "property_address", "year_built", "total_sqft")
-        ),
+        improvements.withColumnRenamed("improvement_value", "building_value"),
         parcels,
         KEY,
         "inner",
-        "_tie",
+        "ord",
         hot_rows,
-    ).drop("_tie")
+    ).drop("ord")
     without = parcels.join(improvements.select(KEY).distinct(), KEY, "left_anti")
     return with_any.unionByName(without, allowMissingColumns=True)
 

@@ -38,9 +38,10 @@ PHYSICAL_BOOST, CLERK_BOOST = 50, 25
 
 # Requests of identical text are ranked once; beyond this many they are salted.
 HOT_REQUESTS = 10_000
-# Candidate keys are split this many ways, so a word in a third of all entries does
-# not land in one task when requests are too many to broadcast.
-SHARDS = 16
+# Candidate keys are split this many ways, so that neither a word in a third of all
+# entries nor a request with a third of all candidates lands in one task when requests
+# are too many to broadcast.
+SHARDS = 64
 
 
 def signed_requests(requests: DataFrame, clean_query: bool = False) -> DataFrame:
@@ -175,7 +176,8 @@ def scored(
     )
     fields = [f"{name}_cleaned" for name in TEXT_FIELDS]
     entries = prepared.select("uid", *fields, "bbox", "physical_address", "clerk_rec")
-    pairs = candidates(distinct, prepared, index).join(entries, "uid").join(distinct, "sig")
+    pairs = candidates(distinct, prepared, index).join(entries, "uid")
+    pairs = _sharded(pairs).join(_every_shard(distinct), ["sig", "_shard"])
     base = F.when(F.size("fields") > 0, score_chosen_fields()).otherwise(score_all_fields())
     return pairs.withColumn("base", base).select(
         "sig",

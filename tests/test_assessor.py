@@ -75,7 +75,7 @@ def test_large_parcels_come_in_parts(tables):
 
 def test_parcel_improvements_keeps_parcels_without(tables):
     for limit in (1, 10**6):
-        out = A.parcel_improvements(tables["parcels"], tables["improvements"].drop("ord"), limit).collect()
+        out = A.parcel_improvements(tables["parcels"], tables["improvements"], limit).collect()
         assert sorted((r.county_parcel_id, r.improvement_number or "") for r in out) == [("RP1", "10"), ("RP1", "2"), ("RP2", "")]
 
 
