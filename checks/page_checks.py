@@ -242,7 +242,9 @@ def canonical_pages(spark, sf):
         "page_id", F.when(k == 1, "https://maps.greenwoodmap.com/x").otherwise("https://example.org/").alias("url"),
         F.when(k == 2, "Lincoln").otherwise("").alias("county"),
     )
-    docs = E.extract_documents(requests, _stored(pages))
+    cores = spark.sparkContext.defaultParallelism
+    rows = E.routed_elements(requests, page_elements(pages.repartition(cores)))
+    docs = E.extract_documents(requests, checkpointed(rows))
     return docs.select("page_id", "route", "county_parcel_id", "owner_name", F.size("developments").cast("bigint").alias("n_developments"))
 
 

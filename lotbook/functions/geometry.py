@@ -182,82 +182,71 @@ def meridian_arc(lat: float) -> float:
     )
 
 
-def from_state_plane(x: Column, y: Column, zone: dict[str, float]) -> Column:
-    """Point struct in degrees: inverse Transverse Mercator (Snyder 1987, eqs. 8-17 to 8-25) in column math."""
-    k0 = zone["k0"]
-    arc = F.lit(meridian_arc(math.radians(zone["lat0"]))) + (y * _FOOT - zone["fn"]) / k0
-    mu = arc / (_A * (1 - _E2 / 4 - 3 * _E2**2 / 64 - 5 * _E2**3 / 256))
-    e1 = (1 - math.sqrt(1 - _E2)) / (1 + math.sqrt(1 - _E2))
-
-    def foot(m: Column) -> Column:
-        return (
-            m
-            + (3 * e1 / 2 - 27 * e1**3 / 32) * F.sin(2 * m)
-            + (21 * e1**2 / 16 - 55 * e1**4 / 32) * F.sin(4 * m)
-            + (151 * e1**3 / 96) * F.sin(6 * m)
-            + (1097 * e1**4 / 512) * F.sin(8 * m)
-        )
-
-    return _spread(bind(mu, foot), (x * _FOOT - zone["fe"]) / k0, zone["lon0"])
-
-
-def _spread(foot_lat: Column, easting: Column, lon0: float) -> Column:
-    """Series around the footpoint latitude, whose sine and cosine are bound once."""
-
-    def solve(b: Column) -> Column:
-        sin, cos, lat = b["s"], b["c"], b["lat"]
-        t = (sin / cos) * (sin / cos)
-        c = _EP2 * cos * cos
-        w = 1 - _E2 * sin * sin
-        n = _A / F.sqrt(w)
-        r = _A * (1 - _E2) / (w * F.sqrt(w))
-        d = b["e"] / n
-        d2 = d * d
-        out_lat = lat - (n * (sin / cos) / r) * (
-            d2 / 2
-            - (5 + 3 * t + 10 * c - 4 * c * c - 9 * _EP2) * d2 * d2 / 24
-            + (61 + 90 * t + 298 * c + 45 * t * t - 252 * _EP2 - 3 * c * c) * d2 * d2 * d2 / 720
-        )
-        out_lon = (
-            d
-            - (1 + 2 * t + c) * d2 * d / 6
-            + (5 - 2 * c + 28 * t - 3 * c * c + 8 * _EP2 + 24 * t * t) * d2 * d2 * d / 120
-        ) / cos
-        return F.struct(
-            (F.lit(lon0) + F.degrees(out_lon)).alias("x"), F.degrees(out_lat).alias("y")
-        )
-
-    def angles(b: Column) -> Column:
-        return F.struct(
-            b["lat"].alias("lat"),
-            F.sin(b["lat"]).alias("s"),
-            F.cos(b["lat"]).alias("c"),
-            b["e"].alias("e"),
-        )
+def _bound(name: str, value: str, body: str) -> str:
+    """SQL of ``body`` with ``name`` evaluated once, see ``functions.bind``."""
+    return f"element_at(transform(array({value}), {name} -> {body}), 1)"
 
-    start = F.struct(foot_lat.alias("lat"), easting.alias("e"))
-    return bind(start, lambda b: bind(angles(b), solve))
 
+def _inverse_sql(x: str, y: str, zone: dict[str, float]) -> str:
+    """Point struct in degrees: inverse Transverse Mercator (Snyder 1987, 8-17 to 8-25).
 
-def to_degrees(x: Column, y: Column, crs: Column) -> Column:
-    """Point struct in WGS84 degrees from the system named in ``crs``."""
-    out = None
-    for name, zone in STATE_PLANE_ZONES.items():
-        here = from_state_plane(x, y, zone)
-        out = F.when(crs == name, here) if out is None else out.when(crs == name, here)
-    return out.otherwise(F.struct(x.alias("x"), y.alias("y")))
+    Written as SQL text, as the series would take hundreds of calls to build.
+    """
 
+    def number(v: float) -> str:
+        return f"{v:.17e}D"
 
-def reproject(geom: Column | str, crs: Column | str) -> Column:
-    """Geometry with every vertex in WGS84 degrees."""
-    geom, crs = col(geom), col(crs)
+    mu = (
+        f"(({number(meridian_arc(math.radians(zone['lat0'])))}"
+        f" + ({y} * {number(_FOOT)} - {number(zone['fn'])}) / {number(zone['k0'])})"
+        f" / {number(_A * (1 - _E2 / 4 - 3 * _E2**2 / 64 - 5 * _E2**3 / 256))})"
+    )
+    e1 = (1 - math.sqrt(1 - _E2)) / (1 + math.sqrt(1 - _E2))
+    series = [
+        3 * e1 / 2 - 27 * e1**3 / 32,
+        21 * e1**2 / 16 - 55 * e1**4 / 32,
+        151 * e1**3 / 96,
+        1097 * e1**4 / 512,
+    ]
+    foot = " + ".join(["m", *[f"{number(c)} * sin({2 * i + 2} * m)" for i, c in enumerate(series)]])
+    e2, ep2, a = number(_E2), number(_EP2), number(_A)
+    lat = (
+        "degrees(f - (n * t / r) * (d * d / 2"
+        f" - (5 + 3 * t * t + 10 * c - 4 * c * c - 9 * {ep2}) * d * d * d * d / 24"
+        f" + (61 + 90 * t * t + 298 * c + 45 * t * t * t * t - 252 * {ep2} - 3 * c * c)"
+        " * d * d * d * d * d * d / 720))"
+    )
+    lon = (
+        f"{number(zone['lon0'])} + degrees((d - (1 + 2 * t * t + c) * d * d * d / 6"
+        f" + (5 - 2 * c + 28 * t * t - 3 * c * c + 8 * {ep2} + 24 * t * t * t * t)"
+        " * d * d * d * d * d / 120) / cos(f))"
+    )
+    east = f"({x} * {number(_FOOT)} - {number(zone['fe'])}) / {number(zone['k0'])}"
+    body = f"named_struct('x', {lon}, 'y', {lat})"
+    body = _bound("d", f"({east}) / n", body)
+    body = _bound("r", f"{a} * (1 - {e2}) / (w * sqrt(w))", body)
+    body = _bound("n", f"{a} / sqrt(w)", body)
+    body = _bound("w", f"1 - {e2} * sin(f) * sin(f)", body)
+    body = _bound("c", f"{ep2} * cos(f) * cos(f)", body)
+    body = _bound("t", "tan(f)", body)
+    return _bound("f", _bound("m", mu, foot), body)
+
+
+def to_degrees_sql(x: str, y: str, crs: str) -> str:
+    """SQL of the point struct in WGS84 degrees from the system named in ``crs``."""
+    branches = " ".join(
+        f"when '{name}' then {_inverse_sql(x, y, zone)}" for name, zone in STATE_PLANE_ZONES.items()
+    )
+    return f"case {crs} {branches} else named_struct('x', {x}, 'y', {y}) end"
 
-    def ring(r: Column) -> Column:
-        return F.transform(r, lambda p: to_degrees(p["x"], p["y"], crs))
 
-    polys = F.transform(geom["polys"], lambda poly: F.transform(poly, ring))
-    moved = F.struct(geom["type"].alias("type"), polys.alias("polys"))
-    return F.when(geom.isNull() | (crs == WGS84), geom).otherwise(moved)
+def reproject(geom: str, crs: str) -> Column:
+    """Geometry column with every vertex in WGS84 degrees; degrees pass unchanged."""
+    point = to_degrees_sql("p.x", "p.y", crs)
+    return F.expr(
+        f"if({geom} is null or {crs} = '{WGS84}', {geom}, named_struct('type', {geom}.type, 'polys',"
+        f" transform({geom}.polys, poly -> transform(poly, ring -> transform(ring, p -> {point})))))"
+    )
 
 
 # ---------------------------------------------------------------- web-mercator tiles

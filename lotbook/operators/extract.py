@@ -60,7 +60,38 @@ def _assignments(df: DataFrame, field: Column, value: Column, *pos) -> DataFrame
 
 def last_values(assignments: DataFrame) -> DataFrame:
     """``page_id, values``: last value of each field, one map per page."""
-    last = B.by_page(assignments).groupBy("page_id", "field").agg(F.max_by("value", "pos").alias("value"))
+    return _value_maps(
+        B.by_page(assignments)
+        .groupBy("page_id", "field")
+        .agg(F.max_by("value", "pos").alias("value"))
+    )
+
+
+def settled_values(assignments: DataFrame) -> DataFrame:
+    """Like ``last_values``, but values of the ``DIVS`` source are guesses.
+
+    A guess counts only where the sources before it left nothing; later sources
+    overwrite as usual.
+    """
+    source = F.col("pos.p0")
+
+    def last_of(condition: Column) -> Column:
+        return F.max_by("value", F.when(condition, F.col("pos")))
+
+    found = (
+        B.by_page(assignments)
+        .groupBy("page_id", "field")
+        .agg(
+            last_of(source < DIVS).alias("early"),
+            last_of(source == DIVS).alias("guess"),
+            last_of(source > DIVS).alias("late"),
+        )
+    )
+    value = F.coalesce("late", F.when(truthy("early"), F.col("early")), "guess", "early")
+    return _value_maps(found.select("page_id", "field", value.alias("value")))
+
+
+def _value_maps(last: DataFrame) -> DataFrame:
     return last.groupBy("page_id").agg(
         F.map_from_entries(F.collect_list(F.struct("field", "value"))).alias("values")
     )
@@ -244,8 +275,8 @@ def general_documents(elements: DataFrame) -> DataFrame:
             paragraphs, F.lit("legal.extended"), F.col("text"), PARAGRAPHS, F.col("seq")
         )
     )
-    guesses = _guess_assignments(elements, early)
-    values = last_values(early.unionByName(guesses).unionByName(late))
+    guesses = _guess_assignments(elements)
+    values = settled_values(early.unionByName(guesses).unionByName(late))
     return documents_of(values, _general_developments(rows))
 
 
@@ -263,25 +294,17 @@ def free_text_sections(elements: DataFrame) -> DataFrame:
     )
 
 
-def _guess_assignments(elements: DataFrame, early: DataFrame) -> DataFrame:
-    """Address and owner read from free text, only where nothing was found before."""
-    found = early.where(F.col("field").isin("physical_address", "owner_name"))
-    known = found.groupBy("page_id", "field").agg(F.max_by("value", "pos").alias("known"))
-    boxes = free_text_sections(elements)
+def _guess_assignments(elements: DataFrame) -> DataFrame:
+    """Address and owner read from free text."""
     address = F.trim(F.regexp_extract("address_section", ADDRESS_TEXT, 1))
     owner = F.trim(F.regexp_extract("owner_section", OWNER_TEXT, 1))
-    guessed = boxes.select(
-        "page_id",
-        F.explode(
-            F.array(
-                F.struct(F.lit("physical_address").alias("field"), address.alias("value")),
-                F.struct(F.lit("owner_name").alias("field"), owner.alias("value")),
-            )
-        ).alias("g"),
-    ).select("page_id", "g.field", "g.value")
-    open_fields = guessed.where(truthy("value")).join(known, ["page_id", "field"], "left")
+    guesses = F.array(
+        F.struct(F.lit("physical_address").alias("field"), address.alias("value")),
+        F.struct(F.lit("owner_name").alias("field"), owner.alias("value")),
+    )
+    guessed = free_text_sections(elements).select("page_id", F.explode(guesses).alias("g"))
     return _assignments(
-        open_fields.where(~truthy("known")), F.col("field"), F.col("value"), DIVS
+        guessed.where(truthy("g.value")), F.col("g.field"), F.col("g.value"), DIVS
     )
 
 
@@ -453,20 +476,24 @@ PAGE_ROUTES = {
 }
 
 
+def routed_elements(requests: DataFrame, elements: DataFrame) -> DataFrame:
+    """Element rows with their page's ``route``; store these to extract several routes."""
+    return elements.join(routed(requests).select("page_id", "route"), "page_id")
+
+
 def extract_documents(requests: DataFrame, elements: DataFrame) -> DataFrame:
     """Documents of all page routes in one plan: each page goes through its route's rules.
 
-    Requests of the two account routes are answered from tables (``documents``). A
-    page that yields nothing still gets an empty document.
+    ``elements`` comes from ``routed_elements``. Requests of the two account routes are
+    answered from tables (``documents``). A page that yields nothing still gets an
+    empty document.
     """
     routes = routed(requests).select("page_id", "route")
-    out = None
+    docs = None
     for route, build in PAGE_ROUTES.items():
-        wanted = routes.where(F.col("route") == route)
-        docs = build(elements.join(wanted, "page_id", "left_semi"))
-        full = wanted.join(docs, "page_id", "left")
-        out = full if out is None else out.unionByName(full)
-    return out
+        part = build(elements.where(F.col("route") == route))
+        docs = part if docs is None else docs.unionByName(part)
+    return routes.where(F.col("route").isin(*PAGE_ROUTES)).join(docs, "page_id", "left")
 
 
 def scrape_requests(requests: DataFrame) -> DataFrame:

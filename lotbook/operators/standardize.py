@@ -93,7 +93,8 @@ def reproject_features(features: DataFrame, declared: DataFrame | None = None) -
     systems = F.broadcast(detect_crs(features, declared))
     return (
         features.join(systems, "county", "left")
-        .withColumn("geom", G.reproject("geom", F.coalesce("crs", F.lit(G.WGS84))))
+        .withColumn("crs", F.coalesce("crs", F.lit(G.WGS84)))
+        .withColumn("geom", G.reproject("geom", "crs"))
         .drop("crs")
     )
 

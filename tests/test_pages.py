@@ -147,7 +147,7 @@ def test_routes_in_one_job(spark):
         [(0, "https://maps.greenwoodmap.com", ""), (1, "https://x", ""), (2, "https://x", "lincoln"), (3, "https://x", "")],
         "page_id bigint, url string, county string",
     )
-    out = {r.page_id: r for r in E.extract_documents(requests, df).collect()}
+    out = {r.page_id: r for r in E.extract_documents(requests, E.routed_elements(requests, df)).collect()}
     assert [out[i].route for i in range(4)] == ["greenwood", "general", "lincoln", "general"]
     assert len(out[0].developments) == 3 and out[1].county_parcel_id == "7" and out[2].legal.lot == "3"
 
