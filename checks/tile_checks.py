@@ -40,7 +40,7 @@ def tile_topk(spark, sf):
 
 def tile_coalesced(spark, sf):
     return tiles.tile_coalesced(_cover(spark, sf), 10).select(
-        "z", "x", "y", "kept", "rest", F.col("rest_area").cast("double").alias("rest_area")
+        "z", "x", "y", "kept", "rest", F.round(F.col("rest_area") * 1000000, 3).cast("double").alias("rest_area")
     )
 
 
@@ -67,6 +67,6 @@ QUERIES = {
     "tile_coalesced": (
         tile_coalesced,
         f"""with {_COVER_SQL} select z, x, y, count(*) filter (rank <= 10) as kept, count(*) filter (rank > 10) as rest,
-          cast(coalesce(sum(area) filter (rank > 10), 0) as double) as rest_area from ranked group by z, x, y""",
+          cast(round(coalesce(sum(area) filter (rank > 10), 0) * 1000000, 3) as double) as rest_area from ranked group by z, x, y""",
     ),
 }

@@ -15,7 +15,8 @@ from lotbook.schemas import STANDARD_FIELDS
 
 def prop(name: str) -> Column:
     """A property of the open bag; null when absent."""
-    return F.try_element_at(F.col("props"), F.lit(name))
+    quoted = name.replace("\\", "\\\\").replace("'", "\\'")
+    return F.expr(f"try_element_at(props, '{quoted}')")
 
 
 def mapped_value(names: list[str], fallback: bool = False) -> Column:
