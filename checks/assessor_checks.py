@@ -232,7 +232,7 @@ def point_lookup(spark, sf):
 # ---------------------------------------------------------------- layer responses
 
 
-def _responses(spark, sf):
+def layer_responses(spark, sf):
     """Layer responses built as JSON from the tables, then read back."""
     orders = feeds.table(spark, sf, "orders")
     account = F.concat(F.lit("R"), F.lpad(F.col("o_custkey").cast("string"), 7, "0"))
@@ -268,7 +268,7 @@ def _responses(spark, sf):
 
 
 def canonical_details(spark, sf):
-    docs = D.layer_documents(*_responses(spark, sf))
+    docs = D.layer_documents(*layer_responses(spark, sf))
     return docs.select(
         "accountno", "part", "county_parcel_id", "tax_id", "mailing_address", "owner_name", "deed",
         F.col("legal.subdivision").alias("subdivision"), F.col("legal.block").alias("block"),

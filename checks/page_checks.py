@@ -6,8 +6,11 @@ from pyspark.sql import Column
 from pyspark.sql import functions as F
 
 from checks import feeds
+from checks.assessor_checks import layer_responses
+from checks.assessor_checks import tables as assessor_tables
 from lotbook.operators import extract as E
 from lotbook.operators import page_blocks as B
+from lotbook.operators.documents import assessor_documents, layer_documents
 from lotbook.operators.labels import TABLE_RULES, span_class
 from lotbook.session import checkpointed
 from lotbook.sources.pages import page_elements, read_pages
@@ -248,6 +251,34 @@ def canonical_pages(spark, sf):
     return docs.select("page_id", "route", "county_parcel_id", "owner_name", F.size("developments").cast("bigint").alias("n_developments"))
 
 
+def request_answers(spark, sf):
+    """Detail requests of all parcels, answered from pages, assessor tables or layers."""
+    ck, k = F.col("ck"), F.col("k")
+    flat = feeds.parcels(spark, sf)
+    account = F.concat(F.lit("R"), F.lpad((ck * 2).cast("string"), 7, "0"))
+    url = (
+        F.when(k == 0, F.concat(F.lit("https://gis.tetoncountywy.gov/#accountno="), account))
+        .when(k == 1, F.concat(F.lit("https://tetonidaho.example/?parcel_id=R-"), F.lpad((ck * 3).cast("string"), 7, "0")))
+        .when(k == 2, F.concat(F.lit("https://lincoln.example/"), ck.cast("string")))
+    )
+    county = F.when(k == 2, "lincoln").when(k == 3, "fremont").otherwise("")
+    requests = flat.select(
+        ck.alias("request_id"), county.alias("county"),
+        F.create_map(F.lit("property_details"), url, F.lit("tax"), F.lit("u")).alias("links"),
+    )
+    sections = section_pages(spark, sf).where("page_id % 4 <> 0")
+    pages = E.section_documents(_stored(sections)).withColumn(
+        "url", F.concat(F.lit("https://lincoln.example/"), F.col("page_id").cast("string"))
+    )
+    answered = E.answer_requests(
+        requests, pages, assessor_documents(assessor_tables(spark, sf)), layer_documents(*layer_responses(spark, sf))
+    )
+    return answered.select(
+        "request_id", "tax_domain", "details_route", F.col("document.owner_name").alias("owner_name"),
+        F.size("document.developments").cast("bigint").alias("n_developments"),
+    )
+
+
 _MONEY = "'$' || format('{{:,}}', ck * {})"
 
 # A development section takes all later rows of its page, lists included, and in a list
@@ -340,6 +371,17 @@ QUERIES = {
     "general_documents": (general_documents, _GENERAL_SQL),
     "table_documents": (table_documents, _TABLE_SQL),
     "section_documents": (section_documents, _SECTION_SQL),
+    "request_answers": (
+        request_answers,
+        f"""with {P}, o as (select o_custkey as c, count(*) as n, count(*) filter (o_orderkey % 3 = 2) as im from orders group by 1)
+          select p.ck as request_id, case p.k when 2 then 'lincoln' when 3 then 'fremont' end as tax_domain,
+            case p.k when 0 then 'teton' when 1 then 'teton_idaho' when 2 then 'lincoln' end as details_route,
+            case p.k when 0 then acct.owner when 1 then par.owner when 2 then case when p.ck % 4 <> 0 then p.owner end end as owner_name,
+            case p.k when 0 then case when acct.ck is not null then coalesce(oa.n, 0) end when 1 then case when par.ck is not null then coalesce(op.im, 0) end
+              when 2 then case when p.ck % 4 <> 0 then 1 end end as n_developments
+          from p left join p acct on acct.ck = p.ck * 2 left join p par on par.ck = p.ck * 3
+            left join o oa on oa.c = p.ck * 2 left join o op on op.c = p.ck * 3""",
+    ),
     "canonical_pages": (
         canonical_pages,
         f"""with {P} select ck as page_id, case ck // 3 % 3 when 0 then 'general' when 1 then 'greenwood' else 'lincoln' end as route, pid as county_parcel_id,

@@ -11,7 +11,12 @@ from pyspark.sql import functions as F
 
 from lotbook.functions.numbers import money_before, money_total, number_text, numeric_or_text
 from lotbook.functions.text import collapse, label_key, truthy
-from lotbook.functions.urls import extraction_route, record_domain
+from lotbook.functions.urls import (
+    account_of_url,
+    extraction_route,
+    parcel_of_url,
+    record_domain,
+)
 from lotbook.operators import page_blocks as B
 from lotbook.operators.documents import (
     ACREAGE_FIELDS,
@@ -33,6 +38,7 @@ from lotbook.operators.labels import (
     hits,
     matching_fields,
 )
+from lotbook.operators.skew import salted_join
 
 # Order in which the sources of a page are read; later ones overwrite.
 TABLES, LISTS, SPANS, DIVS, STRONGS, PARAGRAPHS = range(6)
@@ -514,3 +520,54 @@ def scrape_requests(requests: DataFrame) -> DataFrame:
     )
 
 
+DOCUMENT_COLUMNS = [
+    "county_parcel_id",
+    "tax_id",
+    "physical_address",
+    "mailing_address",
+    "owner_name",
+    "deed",
+    "legal",
+    "tax_district",
+    "total_acres",
+    "acreage_breakdown",
+    "value_summary",
+    "developments",
+]
+
+
+def answer_requests(
+    requests: DataFrame,
+    page_documents: DataFrame,
+    parcel_documents: DataFrame,
+    account_documents: DataFrame,
+) -> DataFrame:
+    """``county, links`` requests (with ``request_id``) and their document, if any.
+
+    The route decides where the document comes from: the saved page of the link
+    (``page_documents`` with ``url``), the assessor tables by parcel id, or the layer
+    responses by account. All documents meet in one keyed union and one join; links
+    asked for very often are salted. A request without an answer keeps a null
+    document.
+    """
+    split = scrape_requests(requests)
+    url = F.try_element_at(F.col("links"), F.lit("property_details"))
+    route = F.col("details_route")
+    key = (
+        F.when(route == "teton_idaho", F.concat(F.lit("parcel:"), parcel_of_url(url)))
+        .when(route == "teton", F.concat(F.lit("account:"), account_of_url(url)))
+        .when(route.isNotNull(), F.concat(F.lit("page:"), url))
+    )
+
+    def keyed(documents: DataFrame, kind: str, by: str) -> DataFrame:
+        return documents.select(
+            F.concat(F.lit(f"{kind}:"), F.col(by)).alias("_key"),
+            F.struct(*DOCUMENT_COLUMNS).alias("document"),
+        )
+
+    found = (
+        keyed(page_documents, "page", "url")
+        .unionByName(keyed(parcel_documents, "parcel", "county_parcel_id"))
+        .unionByName(keyed(account_documents, "account", "accountno"))
+    )
+    return salted_join(split.withColumn("_key", key), found, "_key", "left", "request_id").drop("_key")

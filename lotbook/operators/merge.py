@@ -20,6 +20,17 @@ def last_per_key(df: DataFrame, key: str, value: Column, order: str, into: str)
     return df.groupBy(key).agg(F.max_by(value, F.col(order)).alias(into))
 
 
+def last_records(rows: DataFrame, key: str) -> DataFrame:
+    """Records ``src_ord, props`` of many part files, one per key: the last one read.
+
+    Records without the key are left out.
+    """
+    keyed = rows.withColumn("_key", _truthy_key(prop(key))).where(F.col("_key").isNotNull())
+    return keyed.groupBy("_key").agg(
+        F.max("src_ord").alias("src_ord"), F.max_by("props", "src_ord").alias("props")
+    ).drop("_key")
+
+
 def _left_merge(
     left: DataFrame,
     left_key: Column,

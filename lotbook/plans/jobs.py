@@ -15,12 +15,15 @@ from pyspark.sql import functions as F
 from lotbook.config import COUNTIES, County
 from lotbook.operators.assessor import TABLES, typed_table
 from lotbook.operators.documents import assessor_documents
+from lotbook.operators.extract import extract_documents, routed_elements
 from lotbook.operators.merge import join_overwrite
+from lotbook.operators.page_blocks import list_page_records
 from lotbook.operators.search_index import search_entries
 from lotbook.operators.standardize import parse_descriptions, standardize
 from lotbook.sinks.features import write_search_index, write_standardized
 from lotbook.sinks.tables import expire_runs, load_table, publish, write_parcel_index
 from lotbook.sources.features import file_bucket, read_feature_lines, read_json_records
+from lotbook.sources.pages import page_elements, read_elements, read_pages, write_elements
 from lotbook.sources.tables import read_assessor
 
 Stage = Callable[[DataFrame], DataFrame]
@@ -122,6 +125,39 @@ def assessor_job(
     ).write.mode("overwrite").parquet(f"{target}/documents")
 
 
+def list_page_job(spark: SparkSession, pages_path: str, good_path: str, bad_path: str) -> None:
+    """List pages to account records, one per account; unusable boxes to a quarantine."""
+    elements = page_elements(read_pages(spark, pages_path))
+    kept = elements.where(F.col("kind").isin("dt", "dd", "div"))
+    write_elements(kept, f"{good_path}/elements")
+    records = list_page_records(read_elements(spark, f"{good_path}/elements"))
+    last = F.struct("page_id", "box")
+    good = records.where("valid").groupBy("account").agg(F.max_by("record", last).alias("record"))
+    good.select(F.to_json("record").alias("value")).write.mode("overwrite").text(
+        f"{good_path}/records"
+    )
+    records.where("not valid").select("page_id", "box", "record").write.mode("overwrite").json(
+        bad_path
+    )
+
+
+def page_documents_job(
+    spark: SparkSession, requests: DataFrame, pages_path: str, target: str
+) -> None:
+    """Saved pages to canonical documents.
+
+    ``requests`` has ``page_id, url, county``. Element rows are written by route and
+    kind first: pages are parsed once, and each rule reads only what it uses.
+    """
+    elements = routed_elements(requests, page_elements(read_pages(spark, pages_path)))
+    elements.write.mode("overwrite").partitionBy("route", "kind").parquet(f"{target}/elements")
+    stored = spark.read.parquet(f"{target}/elements")
+    documents = extract_documents(requests, stored).join(
+        requests.select("page_id", "url"), "page_id"
+    )
+    documents.write.mode("overwrite").parquet(f"{target}/documents")
+
+
 def nightly_refresh(
     spark: SparkSession,
     inputs: dict[str, CountyInput],

@@ -222,3 +222,36 @@ def test_assessor_job(spark, tmp_path):
     doc = spark.read.parquet(str(tmp_path / "out" / "documents")).collect()[0]
     assert doc.county_parcel_id == "RP1" and len(doc.developments) == 1 and doc.acreage_breakdown.residential == 1.0
     assert spark.read.json(str(tmp_path / "out" / "parcel_index" / "metadata")).collect()[0].total_parcels == 1
+
+
+LIST_PAGE = (
+    "<div class='ibox'><dl><dt>Account #</dt><dd><a>R1</a></dd><dt>Address</dt><dd>{}</dd></dl></div>"
+    "<div class='ibox'><dl><dt>Address</dt><dd>lost</dd></dl></div>"
+)
+
+
+def test_list_page_job_feeds_the_address_join(spark, tmp_path):
+    pages = [(1, "u", LIST_PAGE.format("old")), (2, "u", LIST_PAGE.format("new"))]
+    spark.createDataFrame(pages, "page_id bigint, url string, html string").write.parquet(str(tmp_path / "p"))
+    jobs.list_page_job(spark, str(tmp_path / "p"), str(tmp_path / "g"), str(tmp_path / "b"))
+    rows = F_.read_json_records(spark, str(tmp_path / "g" / "records")).collect()
+    assert [dict(r.props) for r in rows] == [{"Account #": "R1", "Address": "new"}]
+    assert spark.read.json(str(tmp_path / "b")).count() == 2
+
+
+def test_page_documents_job(spark, tmp_path):
+    pages = [(1, "u1", "<table><tr><td>PIDN</td><td>7</td></tr></table>"), (2, "u2", "<dl><dt>Lot</dt><dd>3</dd></dl>")]
+    spark.createDataFrame(pages, "page_id bigint, url string, html string").write.parquet(str(tmp_path / "p"))
+    requests = spark.createDataFrame([(1, "u1", ""), (2, "u2", "Lincoln")], "page_id bigint, url string, county string")
+    jobs.page_documents_job(spark, requests, str(tmp_path / "p"), str(tmp_path / "t"))
+    out = {r.url: r for r in spark.read.parquet(str(tmp_path / "t" / "documents")).collect()}
+    assert out["u1"].county_parcel_id == "7" and out["u2"].legal.lot == "3"
+
+
+def test_part_files_keep_the_last_record(spark, tmp_path):
+    from lotbook.operators.merge import last_records
+
+    (tmp_path / "part_0.jsonl").write_text('{"Account #":"1","v":"a"}\n{"Account #":"2","v":"b"}\n{"v":"none"}\n')
+    (tmp_path / "part_1.jsonl").write_text('{"Account #":"1","v":"c"}\n')
+    rows = last_records(F_.read_json_records(spark, str(tmp_path)), "Account #").collect()
+    assert sorted((r.props["Account #"], r.props["v"]) for r in rows) == [("1", "c"), ("2", "b")]
