@@ -51,19 +51,28 @@ def map_of_pairs(pairs: Column) -> Column:
     return F.coalesce(bind(pairs, build), no_properties())
 
 
+# The common entities, the ampersand last so that it starts no new one.
+_ENTITIES = [
+    ("&nbsp;", " "),
+    ("&lt;", "<"),
+    ("&gt;", ">"),
+    ("&quot;", '"'),
+    ("&#39;", "'"),
+    ("&amp;", "&"),
+]
+
+
 def markup_text(c: Column) -> Column:
-    """Text of a small markup fragment: tags out, the five common entities decoded."""
-    bare = F.regexp_replace(c, r"<[^>]*>", "")
-    for entity, char in [
-        ("&nbsp;", " "),
-        ("&lt;", "<"),
-        ("&gt;", ">"),
-        ("&quot;", '"'),
-        ("&#39;", "'"),
-        ("&amp;", "&"),
-    ]:
-        bare = F.replace(bare, F.lit(entity), F.lit(char))
-    return strip(bare)
+    """Text of a small markup fragment: tags out, common entities decoded."""
+
+    def decoded(text: Column) -> Column:
+        out = text
+        for entity, char in _ENTITIES:
+            out = F.replace(out, F.lit(entity), F.lit(char))
+        return F.when(text.contains("&"), out).otherwise(text)
+
+    bare = F.when(c.contains("<"), F.regexp_replace(c, r"<[^>]*>", "")).otherwise(c)
+    return strip(bind(bare, decoded))
 
 
 def parse_description(html: Column | str) -> Column:

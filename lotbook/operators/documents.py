@@ -5,6 +5,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from lotbook.functions.bind import bind
 from lotbook.functions.legal import legal_part
 from lotbook.functions.maps import truthy_only
 from lotbook.functions.numbers import number_text
@@ -378,9 +379,9 @@ def layer_documents(
     field = land_type_field(land_type)
 
     def building(entries: Column) -> Column:
-        attributes = F.map_from_entries(entries)
-        return labelled(
-            BUILDING_LABELS, lambda a: F.try_element_at(attributes, F.lit(a))
+        return bind(
+            F.map_from_entries(entries),
+            lambda m: labelled(BUILDING_LABELS, lambda a: F.try_element_at(m, F.lit(a))),
         )
 
     columns = {

@@ -5,6 +5,8 @@ from __future__ import annotations
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
+from lotbook.functions.bind import bind
+
 # Rules of the general pages, label pattern to document field. Order
 # decides: the first field with a matching pattern takes the value.
 GENERAL_RULES: list[tuple[str, list[str]]] = [
@@ -174,29 +176,41 @@ def hits(label: Column, patterns: list[str]) -> Column:
 
 def first_field(label: Column, rules: list[tuple[str, list[str]]]) -> Column:
     """Field of the first matching rule, or null."""
-    out = None
-    for name, patterns in rules:
-        hit = hits(label, patterns)
-        out = F.when(hit, name) if out is None else out.when(hit, name)
-    return out
+
+    def chain(text: Column) -> Column:
+        out = None
+        for name, patterns in rules:
+            hit = hits(text, patterns)
+            out = F.when(hit, name) if out is None else out.when(hit, name)
+        return out
+
+    return bind(label, chain)
 
 
 def matching_fields(label: Column, rules: list[tuple[str, list[str]]]) -> Column:
     """All fields with a matching rule, in order."""
-    marks = [F.when(hits(label, patterns), F.lit(name)) for name, patterns in rules]
-    return F.filter(F.array(*marks), lambda f: f.isNotNull())
+
+    def marks(text: Column) -> Column:
+        found = [F.when(hits(text, patterns), F.lit(name)) for name, patterns in rules]
+        return F.filter(F.array(*found), lambda f: f.isNotNull())
+
+    return bind(label, marks)
 
 
 def building_targets(label: Column) -> Column:
     """Attributes the first matching building rule fills; null when none matches."""
-    out = None
-    for pattern, absent, targets in BUILDING_RULES:
-        hit = hits(label, [pattern])
-        if absent:
-            hit = hit & ~label.contains(absent)
-        value = F.array(*[F.lit(t) for t in targets])
-        out = F.when(hit, value) if out is None else out.when(hit, value)
-    return out
+
+    def chain(text: Column) -> Column:
+        out = None
+        for pattern, absent, targets in BUILDING_RULES:
+            hit = hits(text, [pattern])
+            if absent:
+                hit = hit & ~text.contains(absent)
+            value = F.array(*[F.lit(t) for t in targets])
+            out = F.when(hit, value) if out is None else out.when(hit, value)
+        return out
+
+    return bind(label, chain)
 
 
 def _any_word(text: Column, words: list[str]) -> Column:
@@ -212,12 +226,14 @@ def span_class(text: Column) -> Column:
     ``ST`` is contained in ``TRUST``, so most owners read as addresses. Results must
     keep that.
     """
-    upper = F.upper(text)
-    return F.when(
-        F.length(text) > 2,
-        F.when(_any_word(upper, ADDRESS_WORDS), "property_address")
-        .when(_any_word(upper, OWNER_WORDS), "owner_name")
-        .when(text.endswith("%"), "percent_ownership")
-        .when(text.rlike(r"^[0-9]{5}$"), "zip_code")
-        .when(upper.isin(*STATE_WORDS), "state"),
-    )
+
+    def chain(upper: Column) -> Column:
+        return (
+            F.when(_any_word(upper, ADDRESS_WORDS), "property_address")
+            .when(_any_word(upper, OWNER_WORDS), "owner_name")
+            .when(upper.endswith("%"), "percent_ownership")
+            .when(upper.rlike(r"^[0-9]{5}$"), "zip_code")
+            .when(upper.isin(*STATE_WORDS), "state")
+        )
+
+    return F.when(F.length(text) > 2, bind(F.upper(text), chain))
