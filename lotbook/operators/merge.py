@@ -129,7 +129,10 @@ def merge_by_parsed_key(
     """
 
     def parsed(df: DataFrame) -> DataFrame:
-        return df.withColumn("_parsed", M.parse_description(prop("description")))
+        # Exploding a one-element array keeps the parse in one place: filters on the
+        # key would otherwise be pushed below it and parse every description again.
+        once = F.explode(F.array(M.parse_description(prop("description"))))
+        return df.withColumn("_parsed", once)
 
     def parsed_key() -> Column:
         value = strip(F.try_element_at(F.col("_parsed"), F.lit(key)))

@@ -19,13 +19,18 @@ _NULL_SPREAD = 64
 def hot_keys(df: DataFrame, keys: list[str], limit: int) -> DataFrame:
     """Keys with more than ``limit`` rows and into how many parts to split each.
 
-    Counts combine on the map side. A key must also hold more than one in
-    ``MAX_HOT_KEYS`` of all rows, so at most that many can qualify: the bound that
-    makes the result safe to broadcast. A key below it is smaller than a usual task.
+    Counts combine on the map side. At most ``MAX_HOT_KEYS`` keys can qualify, the
+    bound that makes the result safe to broadcast: with the default limit it would
+    take more than 10^12 rows to have more, and with a smaller limit a key must also
+    hold more than one in ``MAX_HOT_KEYS`` of all rows. A key below that is smaller
+    than a usual task.
     """
     counts = df.groupBy(*keys).agg(F.count(F.lit(1)).alias("_rows"))
-    total = counts.agg(F.sum("_rows")).scalar()
-    threshold = F.greatest(F.lit(limit), F.coalesce(total, F.lit(0)) / F.lit(MAX_HOT_KEYS))
+    threshold = F.lit(limit)
+    if limit < HOT_ROWS:
+        total = counts.agg(F.sum("_rows")).scalar()
+        share = F.coalesce(total, F.lit(0)) / F.lit(MAX_HOT_KEYS)
+        threshold = F.greatest(threshold, share)
     return counts.where(F.col("_rows") > threshold).select(
         *keys, F.ceil(F.col("_rows") / limit).cast("int").alias("_parts")
     )
