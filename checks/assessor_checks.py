@@ -225,7 +225,7 @@ def point_lookup(spark, sf):
         F.concat(F.lit("R-"), F.lpad((F.col("o_custkey") * 2).cast("string"), 7, "0")).alias("parcel_id")
     )
     docs = D.assessor_documents(tables(spark, sf)).where(F.col("part") == 0)
-    found = A.lookup_all(docs, wanted, "Teton Idaho", "teton_county_id_details")
+    found = A.lookup_all(docs, wanted, "Teton Idaho", "assessor tables")
     return found.select("parcel_id", "county", "source", "owner_name", "error")
 
 
@@ -330,7 +330,7 @@ QUERIES = {
     "point_lookup": (
         point_lookup,
         f"""with {P}, w as (select distinct concat('R-', lpad(cast(o_custkey * 2 as varchar), 7, '0')) as parcel_id from orders where o_totalprice > 400000)
-          select parcel_id, 'Teton Idaho' as county, case when pid is not null then 'teton_county_id_details' end as source,
+          select parcel_id, 'Teton Idaho' as county, case when pid is not null then 'assessor tables' end as source,
             owner as owner_name, case when pid is null then 'Parcel not found' end as error from w left join p on parcel_id = pid""",
     ),
     "canonical_details": (canonical_details, _DETAILS_SQL),
