@@ -4,16 +4,34 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
 
-from lotbook.llm import mixing, near_dups, packing, quality_model, quality_rules, toxicity
+from lotbook.llm import (
+    html_text,
+    mixing,
+    near_dups,
+    packing,
+    quality_model,
+    quality_rules,
+    topk,
+    toxicity,
+    warc,
+)
 from lotbook.llm.common import table
 
 
+def op2_warc(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return warc.page_records(table(spark, sf_dir, "pages"))
+
+
 def op3_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
     return quality_model.quality_scores(
         table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels")
     )
 
 
+def op4_top_k(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return topk.top_k(topk.integer_vectors(table(spark, sf_dir, "embeddings")))
+
+
 def op5_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
     return toxicity.toxicity_table(
         table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels")
@@ -39,13 +57,59 @@ def op9_quality_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
     return quality_rules.quality_table(docs)
 
 
+def op10_html_text(spark: SparkSession, sf_dir: str) -> DataFrame:
+    pages = table(spark, sf_dir, "pages").select("page_id", "url", "html")
+    return html_text.extract_pages(pages).select("page_id", "url", "_main.text", "_main.n_chars")
+
+
 QUERIES = {
+    "op2_warc": op2_warc,
     "op3_quality": op3_quality,
+    "op4_top_k": op4_top_k,
     "op5_toxicity": op5_toxicity,
     "op6_near_duplicates": op6_near_duplicates,
     "op7_mixing": op7_mixing,
     "op8_packing": op8_packing,
     "op9_quality_rules": op9_quality_rules,
+    "op10_html_text": op10_html_text,
 }
 
-ORACLE_SQL: dict[str, str] = {}
+_WARC_SQL = """
+with p as (
+    select page_id, coalesce(html, '') as payload from pages
+), d as (
+    select page_id, cast(octet_length(encode(payload)) as bigint) as payload_bytes,
+        sha256(payload) as payload_digest
+    from p
+), r as (
+    select *, row_number() over (partition by payload_digest order by page_id) as n,
+        min(page_id) over (partition by payload_digest) as first_id
+    from d
+)
+select page_id, payload_bytes, payload_digest,
+    case when n > 1 and payload_bytes >= 100 then 'revisit' else 'response' end as record_type,
+    case when n > 1 and payload_bytes >= 100 then first_id end as refers_to
+from r
+"""
+
+_TOP_K_SQL = """
+with v as (
+    select vec_id, list_transform(embedding, lambda x: cast(floor(64 * cast(x as double)) as bigint)) as v
+    from embeddings
+    where vec_id is not null and embedding is not null
+        and len(list_filter(embedding, lambda x: x is null or not isfinite(x))) = 0
+), s as (
+    select q.vec_id as query_id, c.vec_id,
+        cast(list_sum(list_transform(list_zip(q.v, c.v), lambda p: p[1] * p[2])) as bigint) as score
+    from v q join v c on c.vec_id <> q.vec_id
+    where q.vec_id % 20 = 0
+), r as (
+    select *, row_number() over (partition by query_id order by score desc, vec_id) as rank from s
+)
+select query_id, cast(rank as integer) as rank, vec_id, score from r where rank <= 20
+"""
+
+ORACLE_SQL: dict[str, str] = {
+    "op4_top_k": _TOP_K_SQL,
+    "op2_warc": _WARC_SQL,
+}
