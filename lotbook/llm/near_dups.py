@@ -238,18 +238,29 @@ class _Linker:
         outside the leader's class afterwards, it is compared with the nodes that the
         triangle inequality of the Jaccard distance leaves possible. Buckets with too
         many such pairs go by their rarest shingles, and if they came from there
-        (``exact``), to the next leader.
+        (``exact``), to the next leader for as long as that halves what is loose.
         """
-        active, apart = stored(keys, "keys"), 1 - self.similarity
+        active, apart, waiting = stored(keys, "keys"), 1 - self.similarity, None
         while True:
+            sizes = stored(
+                active.groupBy("key").agg(F.count(F.lit(1)).alias("n")).where(F.col("n") > 1),
+                "sizes",
+            )
+            active = stored(active.join(sizes, "key"), "shared")
+            # The node that shares keys with most others is the likeliest centre of a bucket.
+            central = stored(active.groupBy("_node").agg(F.sum("n").alias("weight")), "central")
             leaders = stored(
-                active.groupBy("key")
-                .agg(F.min("_node").alias("leader"), F.count(F.lit(1)).alias("n"))
-                .where(F.col("n") > 1),
+                active.join(central, "_node")
+                .groupBy("key")
+                .agg(F.max(F.struct("weight", "_node")).alias("best"))
+                .select("key", F.col("best._node").alias("leader")),
                 "leaders",
             )
             members = stored(
-                active.join(leaders, "key").where(F.col("_node") != F.col("leader")), "members"
+                active.join(leaders, "key")
+                .where(F.col("_node") != F.col("leader"))
+                .select("key", "_node", "leader"),
+                "members",
             )
             pairs = members.select(F.col("_node").alias("a"), F.col("leader").alias("b"))
             tested = self.verify(pairs.distinct())
@@ -286,8 +297,13 @@ class _Linker:
                 return
             if exact:
                 rest = near.join(large, "key", "left_semi")
-                self._compare_loose(rest, apart, among_loose=False)
-                active = stored(rest.where("loose").select("key", "_node"), "keys")
+                loose = rest.where("loose").select("_node").distinct().count()
+                # Leaders no longer halve what is loose: compare what can be similar.
+                done = waiting is not None and 2 * loose > waiting
+                self._compare_loose(rest, apart, among_loose=done)
+                if done:
+                    return
+                active, waiting = rest.where("loose").select("key", "_node"), loose
                 continue
             rest = active.join(large, "key", "left_semi").select("_node").distinct()
             self.link(self.prefix_keys(rest), exact=True)

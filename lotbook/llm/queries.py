@@ -6,6 +6,7 @@ from pyspark.sql import DataFrame, SparkSession
 
 from lotbook.llm import (
     html_text,
+    licences,
     mixing,
     near_dups,
     packing,
@@ -18,6 +19,10 @@ from lotbook.llm import (
 from lotbook.llm.common import table
 
 
+def op1_licences(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return licences.scan_documents(table(spark, sf_dir, "documents"))
+
+
 def op2_warc(spark: SparkSession, sf_dir: str) -> DataFrame:
     return warc.page_records(table(spark, sf_dir, "pages"))
 
@@ -63,6 +68,7 @@ def op10_html_text(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 QUERIES = {
+    "op1_licences": op1_licences,
     "op2_warc": op2_warc,
     "op3_quality": op3_quality,
     "op4_top_k": op4_top_k,
