@@ -81,8 +81,8 @@ FAMILIES = [*TEMPLATES, UNKNOWN]
 # Words of which every template has one and ordinary paragraphs few: the rest of the
 # corpus shares no feature but common words with any template and is unknown at once.
 CUES = (
-    "licen[sc]\\w*|copyright|rights|reserved|permission|permitted|redistribut\\w*|public domain|"
-    "cc0|creative commons|gnu|mozilla|apache|mit|bsd"
+    "licen[sc]\\w*|copyright|rights reserved|permission|permitted|redistribut\\w*|"
+    "public domain|cc0|cc[ -]by|creative commons"
 )
 # Paragraphs of the corpus that serve as examples of no licence.
 MAX_NEGATIVES = 4_000
@@ -169,12 +169,15 @@ def _with_features(rows: DataFrame) -> DataFrame:
     return model.transform(rows.withColumn("_grams", grams(words_of(F.col("text")))))
 
 
-def _probabilities(raw: Column, temperature: float) -> Column:
-    """Softmax of the scores divided by the temperature."""
-    scaled = F.transform(raw, lambda x: x / F.lit(temperature))
-    powers = F.transform(scaled, lambda x: F.exp(x - F.array_max(scaled)))
-    total = F.aggregate(powers, F.lit(0.0), lambda a, x: a + x)
-    return F.transform(powers, lambda x: x / total)
+def _loss(raw: Column, label: Column, temperature: float) -> Column:
+    """Negative log of the probability of the label's class, scores over the temperature."""
+    own = F.element_at(raw, (label + 1).cast("int")) - F.array_max(raw)
+    return -own / F.lit(temperature) - F.log(_highest_probability(raw, temperature))
+
+
+def _highest_probability(raw: Column, temperature: float) -> Column:
+    powers = F.transform(raw, lambda x: F.exp((x - F.array_max(raw)) / F.lit(temperature)))
+    return 1 / F.aggregate(powers, F.lit(0.0), lambda a, x: a + x)
 
 
 def train(docs: DataFrame) -> tuple[LogisticRegressionModel, float]:
@@ -195,25 +198,21 @@ def train(docs: DataFrame) -> tuple[LogisticRegressionModel, float]:
         .limit(MAX_NEGATIVES)
         .select(F.lit(UNKNOWN).alias("family"), "text")
     )
-    examples = stored(_examples(spark).unionByName(plain).distinct(), "examples")
+    # Bounded in number, so one partition: the learner passes over them many times.
+    examples = stored(_examples(spark).unionByName(plain).distinct(), "examples").coalesce(1)
     number = F.array_position(F.array(*map(F.lit, FAMILIES)), F.col("family")) - 1
     examples = _with_features(examples).withColumn("label", number.cast("double"))
     part = F.pmod(F.xxhash64("text"), F.lit(CALIBRATE[0])) == CALIBRATE[1]
     learner = LogisticRegression(
-        family="multinomial", featuresCol="_features", regParam=2e-4, maxIter=60
+        family="multinomial", featuresCol="_features", regParam=2e-4, maxIter=40
     )
     model = learner.fit(examples.where(~part))
-    scored = model.transform(examples.where(part))
-    raw = vector_to_array("rawPrediction")
+    scored = model.transform(examples.where(part)).select(
+        vector_to_array("rawPrediction").alias("_raw"), "label"
+    )
+    scored = stored(scored, "calibration")
     losses = [
-        F.avg(
-            -F.log(
-                F.greatest(
-                    F.lit(1e-9),
-                    F.element_at(_probabilities(raw, t), (F.col("label") + 1).cast("int")),
-                )
-            )
-        ).alias(f"t{i}")
+        F.avg(_loss(F.col("_raw"), F.col("label"), t)).alias(f"t{i}")
         for i, t in enumerate(TEMPERATURES)
     ]
     row = scored.agg(*losses).first()
@@ -259,14 +258,22 @@ def scan_paragraphs(docs: DataFrame) -> DataFrame:
     """
     model, temperature = train(docs)
     cued = paragraphs_of(docs).where(F.lower("text").rlike(rf"\b(?:{CUES})\b"))
-    scored = model.transform(_with_features(cued))
-    chances = _probabilities(vector_to_array("rawPrediction"), temperature)
+    scored = model.transform(_with_features(cued)).select(
+        "_row",
+        "doc_id",
+        "paragraph",
+        "text",
+        vector_to_array("rawPrediction").alias("_raw"),
+        _runs(words_of(F.col("text")), 3).alias("_runs"),
+    )
+    # Few paragraphs have a cue; written, so that what follows is planned on plain columns.
+    scored = stored(scored, "cued")
     families = F.array(*map(F.lit, FAMILIES))
-    scored = scored.withColumn("_p", chances).withColumn("probability", F.array_max("_p"))
-    place = F.array_position("_p", F.col("probability")).cast("int")
-    scored = scored.withColumn("family", F.element_at(families, place))
-    scored = scored.withColumn("_runs", _runs(words_of(F.col("text")), 3)).join(
-        _template_runs(docs.sparkSession), "family", "left"
+    place = F.array_position("_raw", F.array_max("_raw")).cast("int")
+    scored = (
+        scored.withColumn("family", F.element_at(families, place))
+        .withColumn("probability", _highest_probability(F.col("_raw"), temperature))
+        .join(_template_runs(docs.sparkSession), "family", "left")
     )
     confirmed = (
         (F.col("family") != UNKNOWN)
