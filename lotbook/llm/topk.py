@@ -11,7 +11,7 @@ from __future__ import annotations
 
 import numpy as np
 import pandas as pd
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from lotbook.llm.common import stored
@@ -21,7 +21,8 @@ SCALE = 64
 QUERY_EVERY = 20
 QUERY_BLOCK = 2_048
 CANDIDATE_BLOCK = 16_384
-BUCKETS = 1_024
+BUCKET_BITS = 10
+BUCKETS = 1 << BUCKET_BITS
 # Queries scored at a time inside a block: their scores take about 30 MB.
 SLICE = 256
 
@@ -125,7 +126,7 @@ def top_k(vectors: DataFrame, k: int = K, every: int = QUERY_EVERY) -> DataFrame
     state = queries.select(
         "_query",
         (-bound).alias("low"),
-        F.ceil((2 * bound + 1) / F.lit(BUCKETS)).cast("long").alias("width"),
+        _bucket_width(2 * bound + 1).alias("width"),
         (2 * bound + 1).alias("span"),
         F.lit(0).cast("long").alias("above"),
     )
@@ -146,7 +147,7 @@ def top_k(vectors: DataFrame, k: int = K, every: int = QUERY_EVERY) -> DataFrame
             F.when(F.col("at").isNull(), F.col("low"))
             .otherwise(F.col("low") + F.col("at.bucket") * F.col("width"))
             .alias("low"),
-            F.ceil(F.col("width") / F.lit(BUCKETS)).cast("long").alias("width"),
+            _bucket_width(F.col("width")).alias("width"),
             F.col("width").alias("span"),
             (F.col("above") + F.coalesce(F.col("at.up_to") - F.col("at.n"), F.lit(0))).alias(
                 "above"
@@ -164,6 +165,11 @@ def top_k(vectors: DataFrame, k: int = K, every: int = QUERY_EVERY) -> DataFrame
     return ranked.select("query_id", "rank", "vec_id", "score")
 
 
+def _bucket_width(span: Column) -> Column:
+    """Least width with which the buckets cover the span, in whole numbers."""
+    return F.shiftright(span + (BUCKETS - 1), BUCKET_BITS)
+
+
 def _histogram(k: int):
     """Counts of scores by bucket of the query's present range, from the local k-th on.
 
