@@ -206,21 +206,41 @@ def _jaccards(pairs: DataFrame) -> DataFrame:
     return pairs.mapInPandas(compare, "a binary, b binary, sim double")
 
 
+def _shingles_of(texts: DataFrame) -> DataFrame:
+    """``_node``, ``key``: hashes of the distinct shingles of each text."""
+
+    def cut(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        for batch in batches:
+            for first in range(0, len(batch), 256):
+                part = batch.iloc[first : first + 256]
+                own = [np.unique(shingle_hashes(find_words(t))) for t in part["text"]]
+                nodes = part["_node"].to_numpy().repeat([len(o) for o in own])
+                keys = np.concatenate(own).view(np.int64)
+                yield pd.DataFrame({"_node": nodes, "key": keys})
+
+    return texts.mapInPandas(cut, "_node binary, key long")
+
+
 class _Linker:
     """Verified links between nodes that share a key."""
 
     def __init__(self, docs: DataFrame, nodes: DataFrame, similarity: float):
         self.docs, self.nodes, self.similarity = docs, nodes, similarity
         self.links: list[DataFrame] = []
+        self.texts: DataFrame | None = None
+
+    def gather(self, active: DataFrame) -> None:
+        """Texts of the nodes that share a key at all, fetched from the documents once."""
+        if self.texts is None:
+            wanted = active.select("_node").distinct()
+            rows = self.nodes.join(wanted, "_node", "left_semi").select("_node", "_row")
+            texts = self.docs.select("_row", "text").join(rows, "_row").select("_node", "text")
+            self.texts = stored(texts, "texts")
 
     def verify(self, pairs: DataFrame) -> DataFrame:
         """``pairs`` (``a``, ``b``) with their exact similarity; keeps those that link."""
         pairs = stored(pairs, "pairs")
-        wanted = pairs.select(F.col("a").alias("_node")).union(pairs.select("b")).distinct()
-        rows = self.nodes.join(wanted, "_node", "left_semi").select("_node", "_row")
-        texts = stored(
-            self.docs.select("_row", "text").join(rows, "_row").select("_node", "text"), "texts"
-        )
+        texts = self.texts
         both = pairs.join(
             texts.select(F.col("_node").alias("a"), F.col("text").alias("text_a")), "a"
         ).join(texts.select(F.col("_node").alias("b"), F.col("text").alias("text_b")), "b")
@@ -247,6 +267,7 @@ class _Linker:
                 "sizes",
             )
             active = stored(active.join(sizes, "key"), "shared")
+            self.gather(active)
             # The node that shares keys with most others is the likeliest centre of a bucket.
             central = stored(active.groupBy("_node").agg(F.sum("n").alias("weight")), "central")
             leaders = stored(
@@ -281,6 +302,8 @@ class _Linker:
                 .select("key", "_node", "sim", "own", "loose"),
                 "near",
             )
+            open_ = near.groupBy("key").agg(F.max("loose").alias("any")).where("any").select("key")
+            near = self._possible(near.join(stored(open_, "open"), "key", "left_semi"))
             loose = F.count(F.when(F.col("loose"), 1))
             work = stored(
                 near.groupBy("key")
@@ -305,37 +328,57 @@ class _Linker:
                     return
                 active, waiting = rest.where("loose").select("key", "_node"), loose
                 continue
-            rest = active.join(large, "key", "left_semi").select("_node").distinct()
+            rest = near.join(large, "key", "left_semi").select("_node").distinct()
             self.link(self.prefix_keys(rest), exact=True)
             return
 
+    def _possible(self, near: DataFrame) -> DataFrame:
+        """Rows whose node can still have a partner, with its number of shingles.
+
+        ``most`` is how many of them other nodes in question have at all. A partner shares no
+        more, so a node with too many shingles of its own is settled without comparison.
+        """
+        near = stored(near, "open_near")
+        texts = self.texts.join(near.select("_node").distinct(), "_node", "left_semi")
+        shingles = stored(_shingles_of(texts), "shingles")
+        alone = (
+            shingles.groupBy("key")
+            .agg(F.count(F.lit(1)).alias("n"), F.min("_node").alias("_node"))
+            .where(F.col("n") == 1)
+            .groupBy("_node")
+            .agg(F.count(F.lit(1)).alias("alone"))
+        )
+        total = shingles.groupBy("_node").agg(F.count(F.lit(1)).alias("size"))
+        known = stored(total.join(alone, "_node", "left"), "known").select(
+            "_node", "size", (F.col("size") - F.coalesce("alone", F.lit(0))).alias("most")
+        )
+        able = known.where(F.col("most") >= self.similarity * F.col("size") - 1e-9)
+        return stored(near.join(able, "_node"), "possible")
+
     def _compare_loose(self, near: DataFrame, apart: float, among_loose: bool) -> None:
         """Loose nodes against those of their bucket that can be similar to them at all."""
-        near = near.select("key", "_node", "sim", "own", "loose")
+        near = near.select("key", "_node", "sim", "own", "loose", "size", "most")
         a = near.where("loose").alias("a")
         b = (near if among_loose else near.where(~F.col("loose"))).alias("b")
-        # Distances to the leader of two similar nodes differ by at most ``apart``.
-        pairs = a.join(b, F.col("a.key") == F.col("b.key")).where(
-            (F.abs(F.col("a.sim") - F.col("b.sim")) <= apart + 1e-9)
+        shared = F.least("a.most", "b.most")
+        either = F.col("a.size") + F.col("b.size") - shared
+        pairs = a.join(
+            b,
+            (F.col("a.key") == F.col("b.key"))
+            # Distances to the leader of two similar nodes differ by at most ``apart``.
+            & (F.abs(F.col("a.sim") - F.col("b.sim")) <= apart + 1e-9)
+            & (shared >= self.similarity * either - 1e-9)
             & (F.col("a.own") != F.col("b.own"))
-            & (~F.col("b.loose") | (F.col("a._node") < F.col("b._node")))
+            & (~F.col("b.loose") | (F.col("a._node") < F.col("b._node"))),
         )
         pairs = pairs.select(F.col("a._node").alias("a"), F.col("b._node").alias("b"))
         self.verify(pairs.distinct())
 
     def prefix_keys(self, nodes: DataFrame) -> DataFrame:
         """Rarest shingles of each node: similar sets share one of them, without exception."""
-        rows = self.nodes.join(nodes, "_node", "left_semi").select("_node", "_row")
         similarity = self.similarity
-
-        def cut(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-            for batch in batches:
-                for node, text in zip(batch["_node"], batch["text"], strict=True):
-                    own = np.unique(shingle_hashes(find_words(text)))
-                    yield pd.DataFrame({"_node": [node] * len(own), "key": own.view(np.int64)})
-
-        texts = self.docs.select("_row", "text").join(rows, "_row")
-        shingles = stored(texts.mapInPandas(cut, "_node binary, key long"), "shingles")
+        texts = self.texts.join(nodes, "_node", "left_semi")
+        shingles = stored(_shingles_of(texts), "shingles")
         counts = stored(
             shingles.groupBy("key").agg(F.count(F.lit(1)).alias("n")).where(F.col("n") > 1),
             "counts",
