@@ -166,7 +166,9 @@ def paragraphs_of(docs: DataFrame) -> DataFrame:
 def _with_features(rows: DataFrame) -> DataFrame:
     model = CountVectorizerModel.from_vocabulary(vocabulary(), "_grams", "_features")
     model = model.setBinary(True)
-    return model.transform(rows.withColumn("_grams", grams(words_of(F.col("text")))))
+    # Words are a column of their own: inside the n-grams they would be found anew each time.
+    worded = rows.withColumn("_words", words_of(F.col("text")))
+    return model.transform(worded.withColumn("_grams", grams(F.col("_words"))))
 
 
 def _loss(raw: Column, label: Column, temperature: float) -> Column:
@@ -264,7 +266,7 @@ def scan_paragraphs(docs: DataFrame) -> DataFrame:
         "paragraph",
         "text",
         vector_to_array("rawPrediction").alias("_raw"),
-        _runs(words_of(F.col("text")), 3).alias("_runs"),
+        _runs(F.col("_words"), 3).alias("_runs"),
     )
     # Few paragraphs have a cue; written, so that what follows is planned on plain columns.
     scored = stored(scored, "cued")
