@@ -156,7 +156,7 @@ def _document_columns(docs: DataFrame) -> DataFrame:
         return F.array_join(F.transform(array, item), ";")
 
     return docs.select(
-        "county_parcel_id", "part", "tax_id", "physical_address", "mailing_address", "owner_name", "deed",
+        "county_parcel_id", "tax_id", "physical_address", "mailing_address", "owner_name", "deed",
         "tax_district", "total_acres", F.col("legal.location").alias("location"),
         *[F.col(f"acreage_breakdown.{n}").alias(n) for n in D.ACREAGE_FIELDS],
         F.col("value_summary.total_value").alias("total_value"), F.col("value_summary.land").alias("land_value"),
@@ -186,7 +186,7 @@ _DOCUMENTS_SQL = f"""with {P}, t as ({_TYPED_SQL}),
     from o where o_orderkey % 3 = 2 group by 1),
   lg as (select county_parcel_id, concat(o_orderpriority, ' ', o_orderstatus) as location from o where o_orderkey % 3 = 0
     qualify row_number() over (partition by county_parcel_id order by o_orderkey) = 1)
-  select t.county_parcel_id, 0 as part, deed_reference1 as tax_id, physical_address,
+  select t.county_parcel_id, deed_reference1 as tax_id, physical_address,
     array_to_string(list_filter([mailing_address_line1, mailing_address_line2, mailing_city, mailing_state, mailing_zip], lambda x: x <> ''), ', ') as mailing_address,
     owner_name, array_to_string(list_filter([deed_reference1, deed_reference2, deed_reference3, deed_reference4, deed_reference5], lambda x: x <> ''), '; ') as deed,
     tax_district, {_plain('total_acres')} as total_acres, coalesce(location, '') as location,
@@ -220,11 +220,11 @@ def duplicate_keys(spark, sf):
 
 
 def point_lookup(spark, sf):
-    """Documents of the parcels that large orders name, found or not."""
-    wanted = feeds.table(spark, sf, "orders").where(F.col("o_totalprice") > 400000).select(
+    """Documents of the parcels that orders name, found or not."""
+    wanted = feeds.table(spark, sf, "orders").select(
         F.concat(F.lit("R-"), F.lpad((F.col("o_custkey") * 2).cast("string"), 7, "0")).alias("parcel_id")
     )
-    docs = D.assessor_documents(tables(spark, sf)).where(F.col("part") == 0)
+    docs = D.assessor_documents(tables(spark, sf))
     found = A.lookup_all(docs, wanted, "Teton Idaho", "assessor tables")
     return found.select("parcel_id", "county", "source", "owner_name", "error")
 
@@ -263,14 +263,14 @@ def layer_responses(spark, sf):
     return (
         read(flat.withColumn("ord", F.col("ck")), parcel),
         read(orders.withColumn("ord", F.col("o_orderkey")), building),
-        read(flat.withColumn("ord", F.col("ck")).where("ck % 5 <> 0"), land),
+        read(flat.withColumn("ord", F.col("ck")), land),
     )
 
 
 def canonical_details(spark, sf):
     docs = D.layer_documents(*layer_responses(spark, sf))
     return docs.select(
-        "accountno", "part", "county_parcel_id", "tax_id", "mailing_address", "owner_name", "deed",
+        "accountno", "county_parcel_id", "tax_id", "mailing_address", "owner_name", "deed",
         F.col("legal.subdivision").alias("subdivision"), F.col("legal.block").alias("block"),
         F.col("legal.township").alias("township"), F.col("value_summary.total_value").alias("total_value"),
         F.col("acreage_breakdown.residential").alias("residential"), F.col("acreage_breakdown.other").alias("other"),
@@ -279,12 +279,12 @@ def canonical_details(spark, sf):
 
 
 _DETAILS_SQL = f"""with {P}, b as (select o_custkey as ck, string_agg(concat(o_orderkey, '|', o_orderpriority, '|', 3), ';' order by o_orderkey) as developments from orders group by 1)
-  select concat('R', lpad(cast(p.ck as varchar), 7, '0')) as accountno, 0 as part, pid as county_parcel_id, coalesce(taxid, '') as tax_id,
+  select concat('R', lpad(cast(p.ck as varchar), 7, '0')) as accountno, pid as county_parcel_id, coalesce(taxid, '') as tax_id,
     array_to_string(list_filter([addr, city], lambda x: x is not null and x <> ''), ', ') as mailing_address, owner as owner_name, coalesce(deed, '') as deed,
     ltype as subdivision, cast(k as varchar) as block,
     regexp_extract(concat('LOT ', p.ck, ', ', ltype, ', BLOCK ', k), '(?i)T(\\d+)', 1) as township, worth as total_value,
-    case when p.ck % 5 <> 0 and p.ck % 2 = 0 then cast(acres as double) else 0 end as residential,
-    case when p.ck % 5 <> 0 and p.ck % 2 <> 0 then cast(acres as double) else 0 end as other,
+    case when p.ck % 2 = 0 then cast(acres as double) else 0 end as residential,
+    case when p.ck % 2 <> 0 then cast(acres as double) else 0 end as other,
     coalesce(developments, '') as developments
   from p left join b on p.ck = b.ck"""
 
@@ -329,7 +329,7 @@ QUERIES = {
     ),
     "point_lookup": (
         point_lookup,
-        f"""with {P}, w as (select distinct concat('R-', lpad(cast(o_custkey * 2 as varchar), 7, '0')) as parcel_id from orders where o_totalprice > 400000)
+        f"""with {P}, w as (select distinct concat('R-', lpad(cast(o_custkey * 2 as varchar), 7, '0')) as parcel_id from orders)
           select parcel_id, 'Teton Idaho' as county, case when pid is not null then 'assessor tables' end as source,
             owner as owner_name, case when pid is null then 'Parcel not found' end as error from w left join p on parcel_id = pid""",
     ),

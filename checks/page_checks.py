@@ -142,7 +142,7 @@ def html_headers(spark, sf):
     """Rows of general tables as pairs, named by the header above them."""
     rows = B.keyed_rows(B.table_rows(_stored(general_pages(spark, sf))))
     shown = F.array_join(F.transform("pairs", lambda p: F.concat(p["key"], F.lit("="), p["value"])), ";")
-    return rows.where(F.col("block") <= 2).select("page_id", "block", "row", "kind", shown.alias("pairs"))
+    return rows.select("page_id", "block", "row", "kind", shown.alias("pairs"))
 
 
 def html_pairs(spark, sf):
@@ -324,7 +324,11 @@ QUERIES = {
           union all select ck, 2, 0, 'pair', concat('Parcel Number:=', pid) from p
           union all select ck, 2, 1, 'pair', concat('Tax ID=', coalesce(taxid, '')) from p
           union all select ck, 2, 2, 'note', 'note=only a note' from p
-          union all select ck, 2, 3, 'values', 'values=1 2 3 4' from p) select * from r""",
+          union all select ck, 2, 3, 'values', 'values=1 2 3 4' from p
+          union all select ck, 3, 0, 'pair', concat('Building ID=', ck) from p where ck % 3 = 0
+          union all select ck, 3, 1, 'pair', concat('Year Built=', 1950 + ck % 70) from p where ck % 3 = 0
+          union all select ck, 3, 2, 'pair', 'Property Type=Cabin' from p where ck % 3 = 0
+          union all select ck, 4, 0, 'pair', 'Building ID=empty' from p where ck % 3 = 0) select * from r""",
     ),
     "html_pairs": (
         html_pairs,

@@ -146,7 +146,7 @@ def clean_text(spark, sf):
         T.clean_search("text").alias("cleaned"),
         T.collapse("text").alias("collapsed"),
         T.label_key("text").alias("label"),
-        T.description_key(F.left("source", F.lit(100))).alias("source_key"),
+        T.description_key("source").alias("source_key"),
     )
 
 
@@ -177,8 +177,8 @@ def _merged_columns(df):
 
 
 def _address_rows(spark, sf):
-    """Addresses of two thirds of the orders, so that some parcels have none."""
-    return feeds.addresses(spark, sf).where(F.col("src_ord") % 5 < 2).select("src_ord", "props")
+    """Addresses of all orders; parcels without an id (each seventh) stay unmatched."""
+    return feeds.addresses(spark, sf).select("src_ord", "props")
 
 
 def merge_by_id(spark, sf):
@@ -205,7 +205,7 @@ def _merge_sql(truthy_only: bool, hot_null: bool) -> str:
         return f"case when f.ok is not null then {new} else {own} end"
 
     return f"""with {P}, {feeds.ADDRESSES_SQL},
-      f as (select * from a where ok % 5 < 2 qualify row_number() over (partition by apid order by ok desc) = 1)
+      f as (select * from a qualify row_number() over (partition by apid order by ok desc) = 1)
       select ck as src_ord, case when ck % 7 = 0 then '' else pid end as pidn,
         {over('site', 'phys')} as site, {over('note', "'own'")} as note,
         cast(f.ok as varchar) as fid, f.ok is not null as matched
@@ -252,7 +252,7 @@ def merge_by_parsed_key(spark, sf):
 
 
 _PARSED_SQL = f"""with {P}, {feeds.ADDRESSES_SQL},
-  f as (select * from a where ok % 5 < 2 qualify row_number() over (partition by apid order by ok desc) = 1)
+  f as (select * from a qualify row_number() over (partition by apid order by ok desc) = 1)
   select ck as src_ord, case when ck % 7 <> 0 then pid end as pid,
     coalesce(site, nullif(phys, '')) as site,
     coalesce(nullif(note, ''), 'own') as note, 'A < B' as owner, f.ok is not null as matched
@@ -294,11 +294,7 @@ def spatial_counts(spark, sf):
 
 
 def spatial_multi(spark, sf):
-    listed = spatial.multiple_matches(checkpointed(spatial.spatial_matches(*_pair(spark, sf))))
-    return listed.select(
-        "parcel_ord", "addresses",
-        F.array_join(F.transform("addr_ords", lambda a: a.cast("string")), ",").alias("addr_ords"),
-    )
+    return spatial.multiple_matches(checkpointed(spatial.spatial_matches(*_pair(spark, sf))))
 
 
 _SPACE = f"with {P}, {feeds.ADDRESSES_SQL}, {feeds.MATCHES_SQL}"
@@ -324,8 +320,8 @@ def coords_2d(spark, sf):
         number("x0"), F.lit(","), (F.col("y0") + F.col("h")).cast("string"), F.lit(",1]]"),
     )
     multi = F.col("ck") % 2 == 0
-    text = F.when(multi, F.concat(F.lit("[[["), F.substring(ring, 2, 100000), F.lit("]]"))).otherwise(
-        F.concat(F.lit("[["), F.substring(ring, 2, 100000), F.lit("]"))
+    text = F.when(multi, F.concat(F.lit("[[["), F.substring(ring, F.lit(2), F.length(ring)), F.lit("]]"))).otherwise(
+        F.concat(F.lit("[["), F.substring(ring, F.lit(2), F.length(ring)), F.lit("]"))
     )
     geom = G.parse_geometry(F.when(multi, "MultiPolygon").otherwise("Polygon"), text)
     parsed = feeds.parcels(spark, sf).select("ck", geom.alias("geom"))
@@ -512,9 +508,11 @@ def county_totals(spark, sf):
 
 
 def missing_counties(spark, sf):
-    """Expected county codes (one per nation) without any parcel of a small balance."""
+    """Expected county codes (one per nation) whose least balance is not below -900."""
     expected = feeds.table(spark, sf, "nation").select(F.col("n_nationkey").alias("k"), "n_name")
-    present = feeds.table(spark, sf, "customer").where(F.col("c_acctbal") < -900).select(F.col("c_nationkey").alias("k"))
+    present = feeds.table(spark, sf, "customer").groupBy(F.col("c_nationkey").alias("k")).agg(
+        F.min("c_acctbal").alias("least")
+    ).where(F.col("least") < -900)
     return expected.join(present, "k", "left_anti")
 
 
@@ -562,7 +560,7 @@ QUERIES = {
         """select doc_id, trim(regexp_replace(lower(text), '[^\\p{L}\\p{N}_]+', ' ', 'g')) as cleaned,
              trim(regexp_replace(text, '[\\s\\x{00A0}]+', ' ', 'g')) as collapsed,
              lower(trim(replace(trim(regexp_replace(text, '[\\s\\x{00A0}]+', ' ', 'g')), ':', ''))) as label,
-             regexp_replace(lower(trim(left(source, 100))), '\\s+', '_', 'g') as source_key from documents""",
+             regexp_replace(lower(trim(source)), '\\s+', '_', 'g') as source_key from documents""",
     ),
     "merge_by_id": (merge_by_id, _merge_sql(True, False)),
     "merge_scraped": (merge_scraped, _merge_sql(True, False)),
@@ -590,8 +588,9 @@ QUERIES = {
     ),
     "spatial_multi": (
         spatial_multi,
-        f"""{_SPACE} select ck as parcel_ord, count(*) as addresses,
-          string_agg(cast(ok as varchar), ',' order by ok) as addr_ords from m group by ck having count(*) > 1""",
+        f"""{_SPACE} select ck as parcel_ord, count(*) over (partition by ck) as addresses,
+          row_number() over (partition by ck order by ok) as position, ok as addr_ord
+          from m qualify count(*) over (partition by ck) > 1""",
     ),
     "bbox": (bbox, f"with {STANDARD_SQL} select ck as src_ord, xmin, ymin, xmax, ymax from std"),
     "coords_2d": (

@@ -29,9 +29,7 @@ def tile_counts(spark, sf):
 
 
 def tile_lists(spark, sf):
-    listed = tiles.tile_lists(_cover(spark, sf).where(F.col("z") <= 12), max_items=100_000)
-    uids = F.array_join(F.transform("uids", lambda u: u.cast("string")), ",")
-    return listed.select("z", "x", "y", "part", uids.alias("uids"))
+    return tiles.tile_lists(_cover(spark, sf))
 
 
 def tile_topk(spark, sf):
@@ -60,8 +58,7 @@ QUERIES = {
     "tile_counts": (tile_counts, f"with {_COVER_SQL} select z, x, y, count(*) as features from tc group by z, x, y"),
     "tile_lists": (
         tile_lists,
-        f"""with {_COVER_SQL} select z, x, y, 0 as part, string_agg(cast(uid as varchar), ',' order by uid) as uids
-          from tc where z <= 12 group by z, x, y""",
+        f"with {_COVER_SQL} select z, x, y, row_number() over (partition by z, x, y order by uid) as position, uid from tc",
     ),
     "tile_topk": (tile_topk, f"with {_COVER_SQL} select z, x, y, rank, uid from ranked where rank <= 10"),
     "tile_coalesced": (

@@ -1,4 +1,4 @@
-"""Canonical property documents: nested, one row per parcel (or bounded parts of it)."""
+"""Canonical property documents: nested, one row per parcel."""
 
 from __future__ import annotations
 
@@ -11,8 +11,7 @@ from lotbook.functions.maps import truthy_only
 from lotbook.functions.numbers import number_text
 from lotbook.functions.text import join_parts
 from lotbook.operators.assessor import KEY, acreage_by_category
-from lotbook.operators.nesting import MAX_ITEMS, nest
-from lotbook.operators.skew import hot_keys, with_all_parts, with_part
+from lotbook.operators.nesting import nest
 
 LEGAL_FIELDS = ["subdivision", "lot", "block", "section", "township", "range", "location"]
 ACREAGE_FIELDS = ["residential", "agricultural", "commercial", "industrial", "other"]
@@ -201,16 +200,29 @@ def _items(name: str) -> Column:
 
 
 def _newest_first(name: str) -> Column:
-    return F.transform(F.sort_array(F.collect_list(name), asc=False), lambda s: s["item"])
+    """Items by ``sort`` descending, missing ones last, ties by ``tie`` ascending."""
+
+    def order(a: Column, b: Column) -> Column:
+        later = a["sort"].isNotNull() & (b["sort"].isNull() | (a["sort"] > b["sort"]))
+        sooner = b["sort"].isNotNull() & (a["sort"].isNull() | (b["sort"] > a["sort"]))
+        return (
+            F.when(later, -1)
+            .when(sooner, 1)
+            .when(a["tie"] < b["tie"], -1)
+            .when(a["tie"] > b["tie"], 1)
+            .otherwise(0)
+        )
+
+    return F.transform(F.array_sort(F.collect_list(name), order), lambda s: s["item"])
 
 
-def assessor_documents(tables: dict[str, DataFrame], max_items: int = MAX_ITEMS) -> DataFrame:
+def assessor_documents(tables: dict[str, DataFrame]) -> DataFrame:
     """Documents from the six assessor tables, each with a row position ``ord``.
 
     Scalars (first legal row, acreage) are aggregated per parcel first. Then parcels
     and all four kinds of children meet in one union and one shuffle, instead of a
-    chain of joins whose child rows would multiply. A parcel with more than
-    ``max_items`` children comes in several ``part`` rows with the same scalars.
+    chain of joins whose child rows would multiply. A parcel is one document with all
+    its children in total order, however many it has.
     """
     legal = tables["legal_descriptions"]
     lines = F.array_join(
@@ -251,7 +263,7 @@ def assessor_documents(tables: dict[str, DataFrame], max_items: int = MAX_ITEMS)
             tables["sales"],
             F.struct(
                 F.col("sale_date").alias("sort"),
-                (-F.col("ord")).alias("tie"),
+                F.col("ord").alias("tie"),
                 F.struct(
                     "sale_date", "valid_sale", "sale_price", "personal_property_included"
                 ).alias("item"),
@@ -261,7 +273,7 @@ def assessor_documents(tables: dict[str, DataFrame], max_items: int = MAX_ITEMS)
             tables["permits"],
             F.struct(
                 F.col("permit_filing_date").alias("sort"),
-                (-F.col("ord")).alias("tie"),
+                F.col("ord").alias("tie"),
                 F.struct(
                     "permit_ref_number", "permit_filing_date", "permit_description", "permit_type"
                 ).alias("item"),
@@ -270,18 +282,15 @@ def assessor_documents(tables: dict[str, DataFrame], max_items: int = MAX_ITEMS)
     }
     children = None
     for name, (table, item) in kinds.items():
-        rows = table.select(KEY, "ord", item.alias(name))
+        rows = table.select(KEY, item.alias(name))
         children = rows if children is None else children.unionByName(rows, allowMissingColumns=True)
 
-    hot = hot_keys(children.select(KEY), [KEY], max_items)
     head = header.select(
         KEY, F.struct(*[c for c in header.columns if c != KEY]).alias("header")
     )
-    rows = with_part(children, hot, [KEY], "ord", "part").drop("ord").unionByName(
-        with_all_parts(head, hot, [KEY], "part"), allowMissingColumns=True
-    )
     nested = (
-        rows.groupBy(KEY, "part")
+        children.unionByName(head, allowMissingColumns=True)
+        .groupBy(KEY)
         .agg(
             F.first("header", ignorenulls=True).alias("h"),
             _items("improvement").alias("improvements"),
@@ -325,7 +334,6 @@ def assessor_documents(tables: dict[str, DataFrame], max_items: int = MAX_ITEMS)
         **{f"acreage.{n}": h[n] for n in ACREAGE_FIELDS},
     }
     return nested.select(
-        "part",
         *canonical(columns),
         "detailed_land_records",
         "sales_history",
@@ -346,9 +354,7 @@ def land_type_field(land_type: Column) -> Column:
     return out.otherwise("other")
 
 
-def layer_documents(
-    parcels: DataFrame, buildings: DataFrame, land: DataFrame, max_items: int = MAX_ITEMS
-) -> DataFrame:
+def layer_documents(parcels: DataFrame, buildings: DataFrame, land: DataFrame) -> DataFrame:
     """Documents from layer responses ``accountno, ord, attributes`` of three layers.
 
     The first parcel and land rows represent the account; every building is kept.
@@ -362,7 +368,6 @@ def layer_documents(
         ["accountno"],
         "ord",
         F.map_entries("attributes"),
-        limit=max_items,
         into="buildings",
     )
     spine = (
@@ -407,6 +412,4 @@ def layer_documents(
         "developments": F.transform("buildings", building),
         **{f"acreage.{n}": F.when(field == n, acres) for n in ACREAGE_FIELDS},
     }
-    return spine.select(
-        "accountno", F.coalesce("part", F.lit(0)).alias("part"), *canonical(columns)
-    )
+    return spine.select("accountno", *canonical(columns))

@@ -565,8 +565,12 @@ def answer_requests(
             F.struct(*DOCUMENT_COLUMNS).alias("document"),
         )
 
+    # Of several saved pages of one address the last answers: one answer per request.
+    last = page_documents.groupBy("url").agg(
+        F.max_by(F.struct(*DOCUMENT_COLUMNS), "page_id").alias("_last")
+    )
     found = (
-        keyed(page_documents, "page", "url")
+        keyed(last.select("url", "_last.*"), "page", "url")
         .unionByName(keyed(parcel_documents, "parcel", "county_parcel_id"))
         .unionByName(keyed(account_documents, "account", "accountno"))
     )

@@ -1,14 +1,10 @@
-"""Child rows nested into arrays of bounded length."""
+"""Child rows nested into one ordered array per key."""
 
 from __future__ import annotations
 
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from lotbook.operators.skew import hot_keys, with_part
-
-MAX_ITEMS = 10_000
-
 
 def nest(
     df: DataFrame,
@@ -16,22 +12,16 @@ def nest(
     tie: str,
     item: Column,
     sort_key: Column | None = None,
-    descending: bool = False,
-    limit: int = MAX_ITEMS,
     into: str = "items",
 ) -> DataFrame:
-    """``keys, part, into``: the items of each key in order, ``tie`` breaking ties.
+    """``keys, into``: all items of each key in total order, ``tie`` breaking ties.
 
-    A key with up to ``limit`` items gets one row, part 0. A hot one (see ``hot_keys``)
-    gets several parts of about ``limit`` items, each in order, so no task or row ever
-    holds an unbounded group and nothing is dropped; merging a key's parts by the sort
-    key gives its total order. ``tie`` must be unique within a key and numeric.
+    One row per key whatever its size: tasks collect their own items of a key first, and
+    the pieces meet in one shuffle. Use it where a key's own record bounds the list, a parcel's
+    children; lists without such a bound are rows with a position (``positions``).
     """
-    parted = with_part(df, hot_keys(df, keys, limit), keys, tie, "part")
-    order = F.col(tie) if not descending else -F.col(tie)
     head = [] if sort_key is None else [sort_key.alias("sort")]
-    packed = F.collect_list(F.struct(*head, order.alias("tie"), item.alias("item")))
-    ordered = F.sort_array(packed, asc=not descending)
-    return parted.groupBy(*keys, "part").agg(
-        F.transform(ordered, lambda s: s["item"]).alias(into)
+    packed = F.collect_list(F.struct(*head, F.col(tie).alias("tie"), item.alias("item")))
+    return df.groupBy(*keys).agg(
+        F.transform(F.sort_array(packed), lambda s: s["item"]).alias(into)
     )

@@ -5,6 +5,8 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from lotbook.session import checkpointed
+
 BUCKET_ROWS = 1_000_000
 
 
@@ -47,3 +49,14 @@ def number_rows(
 def position_bucket(position: Column, rows: int = BUCKET_ROWS) -> Column:
     """Bucket of a numeric source position."""
     return F.floor(position / F.lit(rows))
+
+
+def positions(df: DataFrame, keys: list[str], order_by: list[str], into: str) -> DataFrame:
+    """1-based position of each row in its key, for keys and orders of any type.
+
+    Rows are dealt by ranges of key and order, so a key with very many rows spans several
+    ranges, and the ranges are its buckets. The ranges come from a sample; they are
+    checkpointed, so that every pass sees the same ones.
+    """
+    ranged = df.repartitionByRange(*keys, *order_by).withColumn("_range", F.spark_partition_id())
+    return number_rows(checkpointed(ranged), keys, order_by, F.col("_range"), into).drop("_range")

@@ -11,27 +11,17 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 HOT_ROWS = 1_000_000
-# No more keys than this are ever broadcast.
-MAX_HOT_KEYS = 1_000_000
 _NULL_SPREAD = 64
 
 
 def hot_keys(df: DataFrame, keys: list[str], limit: int) -> DataFrame:
     """Keys with more than ``limit`` rows and into how many parts to split each.
 
-    Counts combine on the map side. At most ``MAX_HOT_KEYS`` keys can qualify, the
-    bound that makes the result safe to broadcast: with the default limit it would
-    take more than 10^12 rows to have more, and with a smaller limit a key must also
-    hold more than one in ``MAX_HOT_KEYS`` of all rows. A key below that is smaller
-    than a usual task.
+    Counts combine on the map side. Whether a key is hot depends on its own rows alone.
+    The result is joined without a hint, so Spark's size check decides on a broadcast.
     """
     counts = df.groupBy(*keys).agg(F.count(F.lit(1)).alias("_rows"))
-    threshold = F.lit(limit)
-    if limit < HOT_ROWS:
-        total = counts.agg(F.sum("_rows")).scalar()
-        share = F.coalesce(total, F.lit(0)) / F.lit(MAX_HOT_KEYS)
-        threshold = F.greatest(threshold, share)
-    return counts.where(F.col("_rows") > threshold).select(
+    return counts.where(F.col("_rows") > limit).select(
         *keys, F.ceil(F.col("_rows") / limit).cast("int").alias("_parts")
     )
 
@@ -44,7 +34,7 @@ def part_of(salt_on: Column, parts: Column) -> Column:
 def with_part(
     df: DataFrame, hot: DataFrame, keys: list[str], salt_on: str, into: str = "_salt"
 ) -> DataFrame:
-    marked = df.join(F.broadcast(hot), keys, "left")
+    marked = df.join(hot, keys, "left")
     return marked.withColumn(into, part_of(F.col(salt_on), F.col("_parts"))).drop("_parts")
 
 
@@ -52,7 +42,7 @@ def with_all_parts(
     df: DataFrame, hot: DataFrame, keys: list[str], into: str = "_salt"
 ) -> DataFrame:
     """Every row once per part of its key."""
-    marked = df.join(F.broadcast(hot), keys, "left")
+    marked = df.join(hot, keys, "left")
     every = F.sequence(F.lit(0), F.coalesce(F.col("_parts"), F.lit(1)) - 1)
     return marked.withColumn(into, F.explode(every)).drop("_parts")
 
@@ -71,7 +61,7 @@ def salted_join(
     nothing, so they are spread too instead of meeting in one task.
     """
     hot = hot_keys(left.where(F.col(key).isNotNull()), [key], limit)
-    spread = left.join(F.broadcast(hot), key, "left").withColumn(
+    spread = left.join(hot, key, "left").withColumn(
         "_salt",
         F.when(F.col(key).isNull(), part_of(F.col(salt_on), F.lit(_NULL_SPREAD))).otherwise(
             part_of(F.col(salt_on), F.col("_parts"))

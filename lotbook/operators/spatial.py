@@ -14,7 +14,7 @@ from pyspark.sql import functions as F
 
 from lotbook.functions import geometry as G
 from lotbook.functions import maps as M
-from lotbook.operators.nesting import MAX_ITEMS, nest
+from lotbook.operators.numbering import number_rows, position_bucket
 from lotbook.operators.skew import HOT_ROWS, hot_keys, with_all_parts, with_part
 
 # Side of the finest cell in degrees (about 200 m), growth per level, levels.
@@ -144,19 +144,18 @@ def spatial_counts(matches: DataFrame, addresses: DataFrame) -> DataFrame:
     )
 
 
-def multiple_matches(matches: DataFrame, max_items: int = MAX_ITEMS) -> DataFrame:
-    """Parcels with more than one address: ``parcel_ord, part, addresses, addr_ords``.
+def multiple_matches(matches: DataFrame) -> DataFrame:
+    """Parcels with more than one address: ``parcel_ord, addresses, position, addr_ord``.
 
-    A parcel with very many addresses lists them over several parts.
+    One row per address, in order of its number; a parcel with very many addresses is
+    numbered in blocks of source positions.
     """
     crowded = (
         matches.groupBy("parcel_ord")
         .agg(F.count(F.lit(1)).alias("addresses"))
         .where(F.col("addresses") > 1)
     )
-    listed = nest(
-        matches, ["parcel_ord"], "addr_ord", F.col("addr_ord"), limit=max_items, into="addr_ords"
-    )
-    return listed.join(crowded, "parcel_ord").select(
-        "parcel_ord", "part", "addresses", "addr_ords"
-    )
+    listed = matches.join(crowded, "parcel_ord")
+    bucket = position_bucket(F.col("addr_ord"))
+    numbered = number_rows(listed, ["parcel_ord"], ["addr_ord"], bucket, "position")
+    return numbered.select("parcel_ord", "addresses", "position", "addr_ord")

@@ -6,7 +6,7 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from lotbook.functions import geometry as G
-from lotbook.operators.nesting import MAX_ITEMS, nest
+from lotbook.operators.numbering import positions
 
 # Zoom bands as (name, lowest, highest).
 ZOOM_BANDS = [("low", 6, 12), ("mid", 13, 16), ("high", 17, 17)]
@@ -48,10 +48,12 @@ def tile_counts(cover: DataFrame) -> DataFrame:
     return cover.groupBy(*_TILE).agg(F.count(F.lit(1)).alias("features"))
 
 
-def tile_lists(cover: DataFrame, max_items: int = MAX_ITEMS) -> DataFrame:
-    """``z, x, y, part, uids``: the features of each tile in bounded lists."""
-    keyed = cover.withColumn("_tie", F.xxhash64("uid"))
-    return nest(keyed, _TILE, "_tie", F.col("uid"), F.col("uid"), limit=max_items, into="uids")
+def tile_lists(cover: DataFrame) -> DataFrame:
+    """``z, x, y, position, uid``: the features of each tile in order of uid.
+
+    A tile has no bound on its features, so its list is rows, the same for every size.
+    """
+    return positions(cover.select(*_TILE, "uid"), _TILE, ["uid"], "position")
 
 
 def tile_largest(cover: DataFrame, keep: int) -> DataFrame:

@@ -120,8 +120,8 @@ def assessor_job(
         {**loaded, "parcels": loaded["parcels"].drop("ord", "last_updated")}
     )
     # Sorted by key inside files, so a lookup skips row groups by their statistics.
-    documents.repartitionByRange("county_parcel_id", "part").sortWithinPartitions(
-        "county_parcel_id", "part"
+    documents.repartitionByRange("county_parcel_id").sortWithinPartitions(
+        "county_parcel_id"
     ).write.mode("overwrite").parquet(f"{target}/documents")
 
 

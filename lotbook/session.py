@@ -2,8 +2,6 @@
 
 from __future__ import annotations
 
-import tempfile
-
 from pyspark.sql import DataFrame, SparkSession
 
 # AQE re-plans joins from real sizes and splits skewed partitions. No broadcast
@@ -27,14 +25,15 @@ def job_session(app: str, **extra: str) -> SparkSession:
 
 
 def checkpointed(df: DataFrame) -> DataFrame:
-    """Cut lineage with a reliable checkpoint in the folder the cluster names.
+    """Cut lineage with a reliable checkpoint in a folder that all executors share.
 
-    The folder is read from ``spark.checkpoint.dir``. Only where that is unset (a
-    laptop, a test) is a temporary folder used.
+    The folder is the one ``spark.checkpoint.dir`` names; where that is unset, one in the
+    warehouse, which is shared too. No folder of a single machine is ever used.
     """
     spark = df.sparkSession
     context = spark.sparkContext
     if context.getCheckpointDir() is None:
         shared = spark.conf.get("spark.checkpoint.dir", None)
-        context.setCheckpointDir(shared or tempfile.mkdtemp(prefix="lotbook-checkpoint-"))
+        warehouse = spark.conf.get("spark.sql.warehouse.dir").rstrip("/")
+        context.setCheckpointDir(shared or f"{warehouse}/lotbook-checkpoints")
     return df.checkpoint(eager=True)

@@ -34,9 +34,14 @@ def dated_path(base: str, county: str, day: str) -> str:
 
 
 def write_dated(df: DataFrame, base: str) -> None:
-    """Append under ``county=/snapshot_date=`` of today."""
+    """Write under ``county=/snapshot_date=`` of today; a rerun replaces the day's rows."""
     dated = df.withColumn("snapshot_date", F.date_format(F.current_date(), "yyyyMMdd"))
-    dated.write.mode("append").partitionBy("county", "snapshot_date").parquet(base)
+    (
+        dated.write.mode("overwrite")
+        .option("partitionOverwriteMode", "dynamic")
+        .partitionBy("county", "snapshot_date")
+        .parquet(base)
+    )
 
 
 def read_dated(spark: SparkSession, base: str, county: str, day: str) -> DataFrame:

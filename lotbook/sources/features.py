@@ -10,6 +10,9 @@ from lotbook.functions.maps import no_properties
 from lotbook.schemas import FEATURE_JSON
 
 
+_FEATURE_NAMES = ["type", "id", "properties", "geometry"]
+
+
 def file_exists(spark: SparkSession, path: str) -> bool:
     """Whether a path exists, on any file system Spark can read."""
     target = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(path)
@@ -21,7 +24,7 @@ def file_bucket() -> Column:
     return F.struct("src_ord.file", "src_ord.block")
 
 
-def _line_position() -> Column:
+def line_position() -> Column:
     """Reading order of a line: file, start of its block, order inside the scan task.
 
     Blocks are read front to back, so the order inside a block is the file's own.
@@ -34,24 +37,35 @@ def _line_position() -> Column:
 
 
 def read_feature_lines(spark: SparkSession, path: str, county: str | None = None) -> DataFrame:
-    """One-feature-per-line collections as ``county, src_ord, feature_id, props, geom``.
+    """Collections as ``county, src_ord, feature_id, props, geom``, a feature per row.
 
-    The default scan: files split at any line, whatever their size. Without
-    ``county`` the code comes from ``county=`` directories. Lines that do not parse
-    have their text in ``corrupt``.
+    The default scan: files split at any line, whatever their size. A line may hold one
+    feature or a whole collection. Without ``county`` the code comes from ``county=``
+    directories. Lines that do not parse have their text in ``corrupt``.
     """
     lines = spark.read.text(path)
     code = F.col("county") if county is None else F.lit(county)
     placed = lines.select(
-        code.alias("county"), _line_position().alias("src_ord"), F.trim("value").alias("line")
+        code.alias("county"), line_position().alias("src_ord"), F.trim("value").alias("line")
     )
     record = F.rtrim("line", F.lit(","))
-    parsed = F.from_json(
-        record, FEATURE_JSON + ", _bad string", {"columnNameOfCorruptRecord": "_bad"}
+    whole = f"{FEATURE_JSON}, features array<struct<{FEATURE_JSON}>>, _bad string"
+    parsed = F.from_json(record, whole, {"columnNameOfCorruptRecord": "_bad"})
+    # A line that opens the list of features is the collection's head, not a feature.
+    head = F.col("line").endswith("[")
+    rows = placed.where(F.col("line").startswith("{") & (F.length("line") > 2) & ~head)
+    rows = rows.withColumn("_all", parsed)
+    # A collection on one line is exploded; any other line is its own only feature.
+    one = F.array(F.struct(*[F.col(f"_all.{n}") for n in _FEATURE_NAMES]))
+    features = rows.select(
+        "county",
+        "src_ord",
+        F.col("_all._bad").alias("corrupt"),
+        F.posexplode(F.coalesce("_all.features", one)).alias("pos", "f"),
     )
-    features = placed.where(F.col("line").startswith("{") & (F.length("line") > 2))
-    return features.withColumn("f", parsed).select(
-        "county", "src_ord", *_feature_columns("f"), F.col("f._bad").alias("corrupt")
+    order = F.struct("src_ord.file", "src_ord.block", "src_ord.line", F.col("pos").alias("pos"))
+    return features.select(
+        "county", order.alias("src_ord"), *_feature_columns("f"), "corrupt"
     )
 
 
@@ -106,7 +120,7 @@ def read_json_records(spark: SparkSession, path: str, array: bool = False) -> Da
     """JSON lines, or a plain JSON array, as ``src_ord, props``; anything else is an error."""
     raw = (
         spark.read.text(path, wholetext=array)
-        .select(_line_position().alias("src_ord"), F.trim("value").alias("value"))
+        .select(line_position().alias("src_ord"), F.trim("value").alias("value"))
         .where(F.col("value") != "")
     )
     if not array:
@@ -126,7 +140,7 @@ def read_address_points(spark: SparkSession, path: str) -> DataFrame:
     line = F.rtrim(F.trim("value"), F.lit(","))
     raw = (
         spark.read.text(path)
-        .select(_line_position().alias("src_ord"), line.alias("line"))
+        .select(line_position().alias("src_ord"), line.alias("line"))
         .where(F.col("line").startswith("{") & (F.length("line") > 2))
         .withColumn("f", F.from_json("line", FEATURE_JSON))
     )

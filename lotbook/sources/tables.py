@@ -7,14 +7,19 @@ from pyspark.sql import functions as F
 
 from lotbook.config import COUNTIES, EXTRA_LAYERS
 from lotbook.operators.assessor import EXPECTED_FILES, source_schema
+from lotbook.sources.features import line_position
 
 
 def read_assessor(spark: SparkSession, path: str, table: str, fmt: str = "csv") -> DataFrame:
-    """One source table with all columns as text and its row position ``ord``."""
+    """One source table with all columns as text and its row position ``ord``.
+
+    The position is file, block and order inside it, so it follows the source over many
+    files whatever the order in which Spark packs them into tasks.
+    """
     reader = spark.read.schema(source_schema(table))
     if fmt == "csv":
         reader = reader.option("header", True)
-    return reader.format(fmt).load(path).withColumn("ord", F.monotonically_increasing_id())
+    return reader.format(fmt).load(path).withColumn("ord", line_position())
 
 
 def missing_files(spark: SparkSession, present: DataFrame) -> DataFrame:
@@ -31,14 +36,12 @@ def read_layer_responses(spark: SparkSession, path: str) -> DataFrame:
     raw = spark.read.schema(
         "features array<struct<attributes: map<string,string>>>"
     ).json(path)
-    return layer_rows(raw)
+    return layer_rows(raw.withColumn("response", line_position()))
 
 
 def layer_rows(responses: DataFrame) -> DataFrame:
-    """Responses' features, one row each, keyed by their account."""
-    return responses.select(
-        F.monotonically_increasing_id().alias("response"), F.posexplode("features").alias("pos", "f")
-    ).select(
+    """Features of responses (``response`` is their position), one row each, by account."""
+    return responses.select("response", F.posexplode("features").alias("pos", "f")).select(
         F.try_element_at(F.col("f.attributes"), F.lit("accountno")).alias("accountno"),
         F.struct("response", "pos").alias("ord"),
         F.col("f.attributes").alias("attributes"),

@@ -54,7 +54,7 @@ def test_documents(tables):
     docs = {r.county_parcel_id: r for r in D.assessor_documents(tables).collect()}
     assert set(docs) == {"RP1", "RP2"}
     d = docs["RP1"]
-    assert (d.part, d.tax_id, d.deed, d.mailing_address) == (0, "d1", "d1; d3", "Box 1, 83")
+    assert (d.tax_id, d.deed, d.mailing_address) == ("d1", "d1; d3", "Box 1, 83")
     assert d.legal.location == "first line" and d.value_summary.total_value == "1200.0" and d.total_acres == ""
     assert [x["Building ID"] for x in d.developments] == ["10", "2"]  # text order
     assert d.developments[1] == {"Building ID": "2", "Year Built": "1990"}
@@ -64,13 +64,23 @@ def test_documents(tables):
     assert docs["RP2"].developments == [] and len(docs["RP2"].building_permits) == 1
 
 
-def test_large_parcels_come_in_parts(tables):
-    whole = D.assessor_documents(tables).where("county_parcel_id = 'RP1'").collect()[0]
-    parts = D.assessor_documents(tables, max_items=3).where("county_parcel_id = 'RP1'").collect()
-    assert len(parts) > 1 and {p.tax_id for p in parts} == {"d1"}
-    for name in ["sales_history", "detailed_land_records"]:
-        together = [tuple(x) for p in parts for x in p[name]]
-        assert sorted(map(str, together)) == sorted(str(tuple(x)) for x in whole[name])
+def test_a_large_parcel_is_one_ordered_document(spark, tables):
+    n = 100_000
+    sales = tables["sales"]
+    days = F.date_format(F.date_add(F.lit("1990-01-01").cast("date"), (F.col("id") % 9000).cast("int")), "yyyy-MM-dd")
+    many = spark.range(n).select(
+        *[
+            {"county_parcel_id": F.lit("RP1"), "sale_date": days, "ord": F.col("id")}
+            .get(f.name, F.lit(None)).cast(f.dataType).alias(f.name)
+            for f in sales.schema
+        ]
+    )
+    docs = D.assessor_documents({**tables, "sales": many}).where("county_parcel_id = 'RP1'")
+    (one,) = docs.collect()
+    dates = [s.sale_date for s in one.sales_history]
+    assert len(dates) == n and dates == sorted(dates, reverse=True)
+    keys = spark.createDataFrame([("RP1",)], "parcel_id string")
+    assert A.lookup_all(docs, keys, "c", "s").count() == 1
 
 
 def test_parcel_improvements_keeps_parcels_without(tables):
@@ -108,8 +118,6 @@ def test_layer_documents(spark):
     assert (doc.county_parcel_id, doc.mailing_address, doc.legal.subdivision, doc.legal.block) == ("p", "A, 8", "ELK", "3")
     assert doc.developments == [{"Building ID": str(i)} for i in range(5)]
     assert doc.acreage_breakdown.residential == 2.5 and doc.acreage_breakdown.agricultural == 0.0
-    parts = D.layer_documents(parcels, buildings, land, max_items=2).collect()
-    assert sorted(d["Building ID"] for p in parts for d in p.developments) == list("01234")
 
 
 def test_label_tables_have_all_labels():

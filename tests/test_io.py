@@ -6,6 +6,7 @@ import pytest
 from pyspark.sql import functions as F
 
 from lotbook.config import EXTRA_LAYERS
+from lotbook.operators.assessor import TABLES
 from lotbook.operators.standardize import standardize
 from lotbook.plans import jobs
 from lotbook.sinks import features as SF
@@ -153,6 +154,9 @@ def test_dated_snapshots(spark, tmp_path):
     ST.write_dated(spark.createDataFrame([("a", 1), ("b", 2)], "county string, v int"), base)
     day = spark.range(1).select(F.date_format(F.current_date(), "yyyyMMdd")).collect()[0][0]
     assert [r.v for r in ST.read_dated(spark, base, "b", day).collect()] == [2]
+    ST.write_dated(spark.createDataFrame([("b", 3)], "county string, v int"), base)
+    assert [r.v for r in ST.read_dated(spark, base, "b", day).collect()] == [3]
+    assert [r.v for r in ST.read_dated(spark, base, "a", day).collect()] == [1]
     assert ST.dated_path("gs://x/", "b", "20240102") == "gs://x/b/ownership_data_20240102"
 
 
@@ -255,3 +259,29 @@ def test_part_files_keep_the_last_record(spark, tmp_path):
     (tmp_path / "part_1.jsonl").write_text('{"Account #":"1","v":"c"}\n')
     rows = last_records(F_.read_json_records(spark, str(tmp_path)), "Account #").collect()
     assert sorted((r.props["Account #"], r.props["v"]) for r in rows) == [("1", "c"), ("2", "b")]
+
+
+def test_a_collection_on_one_line_is_all_its_features(spark, tmp_path):
+    def feature(i):
+        point = '{"type": "Point", "coordinates": [1, 2]}'
+        return f'{{"type": "Feature", "id": "{i}", "properties": {{"n": "{i}"}}, "geometry": {point}}}'
+
+    head, five = '{"type": "FeatureCollection", "features": [', [feature(i) for i in range(5)]
+    (tmp_path / "one.geojson").write_text(head + ", ".join(five) + "]}\n")
+    (tmp_path / "lines.geojson").write_text(head + "\n" + ",\n".join(five) + "\n]}\n")
+    (tmp_path / "bad.geojson").write_text(head + "\n" + five[0] + ",\n" + '{"type": "Feat\n]}\n')
+    for name, good, bad in [("one", 5, 0), ("lines", 5, 0), ("bad", 1, 1)]:
+        rows = F_.read_feature_lines(spark, str(tmp_path / f"{name}.geojson"), "c").orderBy("src_ord").collect()
+        fine = [r for r in rows if r.corrupt is None and r.feature_id is not None]
+        assert [r.feature_id for r in fine] == [str(i) for i in range(good)], name
+        assert sum(r.corrupt is not None for r in rows) == bad
+
+
+def test_positions_follow_the_source_over_files(spark, tmp_path):
+    names = [source for source, _, _ in TABLES["sales"]]
+    head = ",".join(names) + "\n"
+    row = lambda v: ",".join([v, *[""] * (len(names) - 1)]) + "\n"
+    (tmp_path / "a.csv").write_text(head + row("first"))
+    (tmp_path / "b.csv").write_text(head + "".join(row(f"r{i:05}") for i in range(5000)))
+    rows = T.read_assessor(spark, str(tmp_path), "sales").orderBy("ord").collect()
+    assert [r[0] for r in rows] == ["first", *[f"r{i:05}" for i in range(5000)]]

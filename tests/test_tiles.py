@@ -48,11 +48,12 @@ def test_crowded_tiles_keep_the_largest_and_sum_the_rest(spark):
     assert largest[(6, *next(iter(expected(BOXES[0][1], 6))))] == "b"
 
 
-def test_lists_come_in_parts_and_lose_nothing(spark):
+def test_lists_are_rows_in_order_and_lose_nothing(spark):
     many = spark.range(100).select(
         F.concat(F.lit("u"), F.col("id").cast("string")).alias("uid"),
         F.struct(*[F.lit(v).alias(n) for v, n in zip((-110.8, 43.4, -110.8, 43.4), ("xmin", "ymin", "xmax", "ymax"))]).alias("bbox"),
     )
-    listed = tiles.tile_lists(tiles.tile_cover(many, [("x", 6, 6)]), max_items=10).collect()
-    assert len(listed) > 5
-    assert sorted(u for r in listed for u in r.uids) == sorted(f"u{i}" for i in range(100))
+    listed = tiles.tile_lists(tiles.tile_cover(many, [("x", 6, 6)])).collect()
+    ordered = [r.uid for r in sorted(listed, key=lambda r: r.position)]
+    assert ordered == sorted(f"u{i}" for i in range(100))
+    assert sorted(r.position for r in listed) == list(range(1, 101))
