@@ -254,83 +254,76 @@ class _Linker:
     def link(self, keys: DataFrame, exact: bool) -> None:
         """Link all similar nodes that share a key in ``keys`` (``key``, ``_node``).
 
-        Each round compares the nodes of a bucket with its leader. Where a node is
+        The nodes of a bucket are compared with its leader. Where a node is
         outside the leader's class afterwards, it is compared with the nodes that the
         triangle inequality of the Jaccard distance leaves possible. Buckets with too
-        many such pairs go by their rarest shingles, and if they came from there
-        (``exact``), to the next leader for as long as that halves what is loose.
+        many such pairs go by their rarest shingles; those that came from there
+        (``exact``) are compared.
         """
-        active, apart, waiting = stored(keys, "keys"), 1 - self.similarity, None
-        while True:
-            sizes = stored(
-                active.groupBy("key").agg(F.count(F.lit(1)).alias("n")).where(F.col("n") > 1),
-                "sizes",
-            )
-            active = stored(active.join(sizes, "key"), "shared")
-            self.gather(active)
-            # The node that shares keys with most others is the likeliest centre of a bucket.
-            central = stored(active.groupBy("_node").agg(F.sum("n").alias("weight")), "central")
-            leaders = stored(
-                active.join(central, "_node")
-                .groupBy("key")
-                .agg(F.max(F.struct("weight", "_node")).alias("best"))
-                .select("key", F.col("best._node").alias("leader")),
-                "leaders",
-            )
-            members = stored(
-                active.join(leaders, "key")
-                .where(F.col("_node") != F.col("leader"))
-                .select("key", "_node", "leader"),
-                "members",
-            )
-            pairs = members.select(F.col("_node").alias("a"), F.col("leader").alias("b"))
-            tested = self.verify(pairs.distinct())
-            classes = self.classes()
-            near = members.join(
-                tested.select(F.col("a").alias("_node"), F.col("b").alias("leader"), "sim"),
-                ["_node", "leader"],
-            )
-            out = classes.select(F.col("node").alias("_node"), F.col("label").alias("own"))
-            of_leader = classes.select(
-                F.col("node").alias("leader"), F.col("label").alias("theirs")
-            )
-            near = stored(
-                near.join(out, "_node", "left")
-                .join(of_leader, "leader", "left")
-                .withColumn("own", F.coalesce("own", "_node"))
-                .withColumn("loose", F.col("own") != F.coalesce("theirs", "leader"))
-                .select("key", "_node", "sim", "own", "loose"),
-                "near",
-            )
-            open_ = near.groupBy("key").agg(F.max("loose").alias("any")).where("any").select("key")
-            near = self._possible(near.join(stored(open_, "open"), "key", "left_semi"))
-            loose = F.count(F.when(F.col("loose"), 1))
-            work = stored(
-                near.groupBy("key")
-                .agg((loose * F.count(F.lit(1))).alias("work"))
-                .where(F.col("work") > 0),
-                "work",
-            )
-            if work.isEmpty():
-                return
-            small = work.where(F.col("work") <= BUCKET_PAIRS).select("key")
-            large = stored(work.where(F.col("work") > BUCKET_PAIRS).select("key"), "large")
-            self._compare_loose(near.join(small, "key", "left_semi"), apart, among_loose=True)
-            if large.isEmpty():
-                return
-            if exact:
-                rest = near.join(large, "key", "left_semi")
-                loose = rest.where("loose").select("_node").distinct().count()
-                # Leaders no longer halve what is loose: compare what can be similar.
-                done = waiting is not None and 2 * loose > waiting
-                self._compare_loose(rest, apart, among_loose=done)
-                if done:
-                    return
-                active, waiting = rest.where("loose").select("key", "_node"), loose
-                continue
-            rest = near.join(large, "key", "left_semi").select("_node").distinct()
-            self.link(self.prefix_keys(rest), exact=True)
+        active, apart = stored(keys, "keys"), 1 - self.similarity
+        sizes = stored(
+            active.groupBy("key").agg(F.count(F.lit(1)).alias("n")).where(F.col("n") > 1),
+            "sizes",
+        )
+        active = stored(active.join(sizes, "key"), "shared")
+        self.gather(active)
+        # The node that shares keys with most others is the likeliest centre of a bucket.
+        central = stored(active.groupBy("_node").agg(F.sum("n").alias("weight")), "central")
+        leaders = stored(
+            active.join(central, "_node")
+            .groupBy("key")
+            .agg(F.max(F.struct("weight", "_node")).alias("best"))
+            .select("key", F.col("best._node").alias("leader")),
+            "leaders",
+        )
+        members = stored(
+            active.join(leaders, "key")
+            .where(F.col("_node") != F.col("leader"))
+            .select("key", "_node", "leader"),
+            "members",
+        )
+        pairs = members.select(F.col("_node").alias("a"), F.col("leader").alias("b"))
+        tested = self.verify(pairs.distinct())
+        classes = self.classes()
+        near = members.join(
+            tested.select(F.col("a").alias("_node"), F.col("b").alias("leader"), "sim"),
+            ["_node", "leader"],
+        )
+        out = classes.select(F.col("node").alias("_node"), F.col("label").alias("own"))
+        of_leader = classes.select(
+            F.col("node").alias("leader"), F.col("label").alias("theirs")
+        )
+        near = stored(
+            near.join(out, "_node", "left")
+            .join(of_leader, "leader", "left")
+            .withColumn("own", F.coalesce("own", "_node"))
+            .withColumn("loose", F.col("own") != F.coalesce("theirs", "leader"))
+            .select("key", "_node", "sim", "own", "loose"),
+            "near",
+        )
+        open_ = near.groupBy("key").agg(F.max("loose").alias("any")).where("any").select("key")
+        near = self._possible(near.join(stored(open_, "open"), "key", "left_semi"))
+        loose = F.count(F.when(F.col("loose"), 1))
+        work = stored(
+            near.groupBy("key")
+            .agg((loose * F.count(F.lit(1))).alias("work"))
+            .where(F.col("work") > 0),
+            "work",
+        )
+        if work.isEmpty():
+            return
+        small = work.where(F.col("work") <= BUCKET_PAIRS).select("key")
+        large = stored(work.where(F.col("work") > BUCKET_PAIRS).select("key"), "large")
+        self._compare_loose(near.join(small, "key", "left_semi"), apart)
+        if large.isEmpty():
+            return
+        if exact:
+            # What still can be similar after both filters is compared.
+            self._compare_loose(near.join(large, "key", "left_semi"), apart)
             return
+        rest = near.join(large, "key", "left_semi").select("_node").distinct()
+        self.link(self.prefix_keys(rest), exact=True)
+        return
 
     def _possible(self, near: DataFrame) -> DataFrame:
         """Rows whose node can still have a partner, with its number of shingles.
@@ -355,11 +348,10 @@ class _Linker:
         able = known.where(F.col("most") >= self.similarity * F.col("size") - 1e-9)
         return stored(near.join(able, "_node"), "possible")
 
-    def _compare_loose(self, near: DataFrame, apart: float, among_loose: bool) -> None:
+    def _compare_loose(self, near: DataFrame, apart: float) -> None:
         """Loose nodes against those of their bucket that can be similar to them at all."""
         near = near.select("key", "_node", "sim", "own", "loose", "size", "most")
-        a = near.where("loose").alias("a")
-        b = (near if among_loose else near.where(~F.col("loose"))).alias("b")
+        a, b = near.where("loose").alias("a"), near.alias("b")
         shared = F.least("a.most", "b.most")
         either = F.col("a.size") + F.col("b.size") - shared
         pairs = a.join(
