@@ -7,11 +7,14 @@ from html.parser import HTMLParser
 
 import pandas as pd
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
 
 ELEMENTS = (
     "page_id bigint, seq int, parent int, kind string, block int, row int, cell int, "
     "classes string, via string, box int, content int, text string, extra string, tail string"
 )
+# Kind of the one row of a page that cannot be read.
+ERROR = "error"
 _COLUMNS = [part.split()[0] for part in ELEMENTS.split(", ")]
 
 _VOID = {"area", "base", "br", "col", "embed", "hr", "img", "input", "link", "meta", "source", "wbr"}
@@ -131,19 +134,40 @@ class _Elements(HTMLParser):
         return self.done
 
 
+# Pages whose rows are handed on together.
+_PAGES_AT_ONCE = 200
+
+
 def _element_rows(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
     for pages in batches:
-        rows = []
-        for page_id, markup in zip(pages["page_id"], pages["html"]):
-            for n in _Elements().finish(markup or ""):
-                rows.append(
-                    (
-                        page_id, n["seq"], n["parent"], n["kind"], n["block"], n["row"], n["cell"],
-                        " ".join(n["classes"]), n["via"], n["box"], n["content"], n["text"],
-                        n["extra"], n["tail"],
-                    )
-                )
-        yield pd.DataFrame(rows, columns=_COLUMNS)
+        for first in range(0, len(pages), _PAGES_AT_ONCE):
+            part, rows = pages.iloc[first : first + _PAGES_AT_ONCE], []
+            for page_id, markup in zip(part["page_id"], part["html"]):
+                try:
+                    found = _Elements().finish(markup or "")
+                except (AssertionError, ValueError) as error:
+                    # The parser gives up on some markup: that page is one error row.
+                    rows.append(_error_row(page_id, error))
+                    continue
+                for n in found:
+                    rows.append(
+                        (
+                            page_id, n["seq"], n["parent"], n["kind"], n["block"], n["row"],
+                            n["cell"], " ".join(n["classes"]), n["via"], n["box"], n["content"],
+                            n["text"], n["extra"], n["tail"],
+                        )
+                    )
+            yield pd.DataFrame(rows, columns=_COLUMNS)
+
+
+def _error_row(page_id, error: Exception) -> tuple:
+    values = {"page_id": page_id, "seq": 0, "kind": ERROR, "text": str(error) or "unreadable"}
+    return tuple(values.get(name) for name in _COLUMNS)
+
+
+def page_errors(elements: DataFrame) -> DataFrame:
+    """``page_id, error`` of the pages that could not be read."""
+    return elements.where(F.col("kind") == ERROR).select("page_id", F.col("text").alias("error"))
 
 
 def read_pages(spark: SparkSession, path: str) -> DataFrame:

@@ -168,3 +168,12 @@ def test_written_elements_are_pruned_by_kind(spark, tmp_path):
     plan = B.span_fields(df)._jdf.queryExecution().executedPlan().toString()
     assert "PartitionFilters: [isnotnull(kind" in plan
     assert texts(df, "span") == ["b"]
+
+
+def test_an_unreadable_page_is_an_error_row(spark):
+    from lotbook.sources.pages import page_elements, page_errors
+
+    pages = [(1, "<p>one</p>"), (2, "<p>x</p><![foo[x]]>"), (3, None), (4, "<p>two</p>")]
+    rows = page_elements(spark.createDataFrame(pages, "page_id long, html string"))
+    assert [r.page_id for r in page_errors(rows).collect()] == [2]
+    assert sorted(r.page_id for r in rows.where("kind = 'p'").collect()) == [1, 4]
