@@ -31,6 +31,9 @@ BANDS, BAND_ROWS = 30, 5
 CACHE_WORDS = 200_000
 # Pairs that a bucket may compare directly; larger buckets are dealt anew.
 BUCKET_PAIRS = 4_096
+# Words of 64 bits in the bitmaps that bound the difference of two sets of shingles.
+BITMAP_WORDS = 16
+_WORDS = range(BITMAP_WORDS)
 # Shingles whose darts are thrown together.
 BATCH_ELEMENTS = 1 << 16
 
@@ -221,6 +224,23 @@ def _shingles_of(texts: DataFrame) -> DataFrame:
     return texts.mapInPandas(cut, "_node binary, key long")
 
 
+def _bitmaps_of(texts: DataFrame) -> DataFrame:
+    """``_node`` and the words of its bitmap: a bit is set if an odd number of shingles hash there."""
+
+    def mark(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        for batch in batches:
+            bits = []
+            for text in batch["text"]:
+                own = np.unique(shingle_hashes(find_words(text)))
+                odd = np.bincount((own % np.uint64(64 * BITMAP_WORDS)).astype(np.int64)) % 2
+                odd = np.pad(odd, (0, 64 * BITMAP_WORDS - len(odd))).astype(bool)
+                bits.append(np.packbits(odd, bitorder="little").view("<i8"))
+            yield pd.DataFrame({"_node": batch["_node"], "bits": bits})
+
+    marked = texts.mapInPandas(mark, "_node binary, bits array<long>")
+    return marked.select("_node", *[F.get("bits", F.lit(i)).alias(f"b{i}") for i in _WORDS])
+
+
 class _Linker:
     """Verified links between nodes that share a key."""
 
@@ -254,11 +274,11 @@ class _Linker:
     def link(self, keys: DataFrame, exact: bool) -> None:
         """Link all similar nodes that share a key in ``keys`` (``key``, ``_node``).
 
-        The nodes of a bucket are compared with its leader. Where a node is
-        outside the leader's class afterwards, it is compared with the nodes that the
-        triangle inequality of the Jaccard distance leaves possible. Buckets with too
-        many such pairs go by their rarest shingles; those that came from there
-        (``exact``) are compared.
+        The nodes of a bucket are compared with its leader. A node outside the leader's
+        class afterwards is compared with the nodes that exact bounds leave possible: the
+        triangle inequality of the Jaccard distance, the shingles no other node has, and
+        the difference of bitmaps (Sandes et al. 2020). Buckets with too many such nodes
+        go by their rarest shingles; those that came from there (``exact``) are compared.
         """
         active, apart = stored(keys, "keys"), 1 - self.similarity
         sizes = stored(
@@ -346,20 +366,28 @@ class _Linker:
             "_node", "size", (F.col("size") - F.coalesce("alone", F.lit(0))).alias("most")
         )
         able = known.where(F.col("most") >= self.similarity * F.col("size") - 1e-9)
-        return stored(near.join(able, "_node"), "possible")
+        able = stored(able, "able")
+        texts = self.texts.join(able.select("_node"), "_node", "left_semi")
+        return stored(near.join(able, "_node").join(_bitmaps_of(texts), "_node"), "possible")
 
     def _compare_loose(self, near: DataFrame, apart: float) -> None:
         """Loose nodes against those of their bucket that can be similar to them at all."""
-        near = near.select("key", "_node", "sim", "own", "loose", "size", "most")
         a, b = near.where("loose").alias("a"), near.alias("b")
         shared = F.least("a.most", "b.most")
-        either = F.col("a.size") + F.col("b.size") - shared
+        both = F.col("a.size") + F.col("b.size")
+        # At least so many shingles are in one of the two sets only.
+        apart_bits = reduce(
+            lambda x, y: x + y,
+            [F.bit_count(F.col(f"a.b{i}").bitwiseXOR(F.col(f"b.b{i}"))) for i in _WORDS],
+        )
+        most_apart = both * ((1 - self.similarity) / (1 + self.similarity))
         pairs = a.join(
             b,
             (F.col("a.key") == F.col("b.key"))
             # Distances to the leader of two similar nodes differ by at most ``apart``.
             & (F.abs(F.col("a.sim") - F.col("b.sim")) <= apart + 1e-9)
-            & (shared >= self.similarity * either - 1e-9)
+            & (shared >= self.similarity * (both - shared) - 1e-9)
+            & (apart_bits <= most_apart + 1e-9)
             & (F.col("a.own") != F.col("b.own"))
             & (~F.col("b.loose") | (F.col("a._node") < F.col("b._node"))),
         )
