@@ -20,6 +20,8 @@ import pandas as pd
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from lotbook.llm.common import stored
+
 THRESHOLD = 0.3
 # At most so many confirmed and so many unlabelled documents take part in learning.
 MAX_POSITIVES = 3_000
@@ -80,32 +82,41 @@ class _Scorer:
         return float(1 / (1 + np.exp(-np.clip(z, -30, 30))))
 
 
+def informative(in_positives, in_unlabelled, n_positives: int, n_unlabelled: int) -> np.ndarray:
+    """Which features take part: those of at least three positives whose rate among
+    positives is well above their rate among unlabelled texts."""
+    rate_p = in_positives / max(1, n_positives)
+    rate_u = (in_unlabelled + 1) / (n_unlabelled + 2)
+    noise = 3 * np.sqrt(rate_p / max(1, n_positives))
+    return (in_positives >= 3) & (rate_p - noise > 2 * rate_u)
+
+
 def learn(positives: list[np.ndarray], unlabelled: list[np.ndarray], prior: float) -> Model:
-    """Non-negative PU learning of a linear model over sets of hashed features.
+    """Select features of whole texts (arrays of distinct hashes) and fit."""
+    sides = [np.concatenate(docs) if docs else np.zeros(0, int) for docs in (positives, unlabelled)]
+    names = np.unique(sides[0])
+    counts = [np.searchsorted(np.sort(x), names, "right") - np.searchsorted(np.sort(x), names) for x in sides]
+    features = names[informative(*counts, len(positives), len(unlabelled))].astype(np.int64)
+    kept = [[d[np.isin(d, features)] for d in docs] for docs in (positives, unlabelled)]
+    return fit(kept[0], kept[1], features, prior)
 
-    A feature takes part if at least three positives have it and its rate among positives is
-    well above its rate among unlabelled texts. With no positives every score is low.
+
+def fit(
+    positives: list[np.ndarray], unlabelled: list[np.ndarray], features: np.ndarray, prior: float
+) -> Model:
+    """Non-negative PU learning of a linear model over sets of the given features.
+
+    With no positives or no features every score is low.
     """
     prior = float(np.clip(prior, 0.01, 0.9))
     base = float(np.log(prior / (1 - prior)))
-    counts = [np.zeros(1 << HASH_BITS, np.int32) for _ in range(2)]
-    for table, docs in zip(counts, (positives, unlabelled), strict=True):
-        for doc in docs:
-            table[doc] += 1
-    with np.errstate(divide="ignore"):
-        rate_p = counts[0] / max(1, len(positives))
-        rate_u = (counts[1] + 1) / (len(unlabelled) + 2)
-    noise = 3 * np.sqrt(rate_p / max(1, len(positives)))
-    features = np.flatnonzero((counts[0] >= 3) & (rate_p - noise > 2 * rate_u))
     if not len(features) or not unlabelled:
         return Model(np.zeros(0, np.int64), np.zeros(0), base)
-    place = np.full(1 << HASH_BITS, -1, np.int64)
-    place[features] = np.arange(len(features))
     sides = []
     for docs in (positives, unlabelled):
-        hit = [place[d][place[d] >= 0] if len(d) else place[:0] for d in docs]
-        rows = np.repeat(np.arange(len(docs)), [len(h) for h in hit])
-        sides.append((rows, np.concatenate(hit) if hit else place[:0], len(docs)))
+        rows = np.repeat(np.arange(len(docs)), [len(d) for d in docs])
+        cols = np.concatenate(docs) if docs else np.zeros(0, int)
+        sides.append((rows, np.searchsorted(features, cols.astype(np.int64)), len(docs)))
     w = np.zeros(len(features))
     b = base
     mean, square = np.zeros(len(w) + 1), np.zeros(len(w) + 1)
@@ -212,13 +223,33 @@ def train(docs: DataFrame, labels: DataFrame, fold: Column, prior: float | None
             ]
             yield pd.DataFrame({"_id": batch["_id"], "_y": batch["_y"], "features": rows})
 
-    rows = sample.mapInPandas(featured, "_id long, _y int, features array<int>").toPandas()
-    rows = rows.sort_values("_id", kind="stable")
-    groups = [list(rows.loc[rows["_y"] == y, "features"]) for y in (1, 0)]
+    found = stored(
+        sample.mapInPandas(featured, "_id long, _y int, features array<int>"), "features"
+    )
+    sizes = {r["_y"]: r["n"] for r in found.groupBy("_y").agg(F.count("*").alias("n")).collect()}
+    n_positives, n = sizes.get(1, 0), sizes.get(0, 0)
     # Unlabelled means drawn from all texts: put the positives' share back in.
-    n = len(groups[1])
-    back = int(round(n * prior / max(1e-6, 1 - prior)))
-    return learn(groups[0], groups[1] + groups[0][:back], prior)
+    back = min(n_positives, int(round(n * prior / max(1e-6, 1 - prior))))
+    counts = (
+        found.select("_y", F.explode("features").alias("feature"))
+        .groupBy("feature")
+        .agg(F.sum("_y").alias("p"), F.sum(1 - F.col("_y")).alias("u"))
+        .where(F.col("p") >= 3)
+        .orderBy("feature")
+        .toPandas()
+    )
+    in_unlabelled = counts["u"] + counts["p"] * (back / max(1, n_positives))
+    taken = informative(counts["p"], in_unlabelled, n_positives, n + back)
+    features = counts.loc[taken, "feature"].to_numpy(np.int64)
+
+    def kept(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        for batch in batches:
+            hits = [f[np.isin(f, features)] for f in batch["features"]]
+            yield pd.DataFrame({"_id": batch["_id"], "_y": batch["_y"], "features": hits})
+
+    rows = found.mapInPandas(kept, found.schema).toPandas().sort_values("_id", kind="stable")
+    groups = [list(rows.loc[rows["_y"] == y, "features"]) for y in (1, 0)]
+    return fit(groups[0], groups[1] + groups[0][:back], features, prior)
 
 
 def score_documents(docs: DataFrame, model: Model) -> DataFrame:
