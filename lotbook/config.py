@@ -9,6 +9,8 @@ from __future__ import annotations
 import json
 from dataclasses import dataclass, field
 
+from pyspark.sql import SparkSession
+
 
 @dataclass(frozen=True)
 class Link:
@@ -187,14 +189,13 @@ EXTRA_LAYERS: list[tuple[str, str, str]] = [
 ]
 
 
-def load_registry(path: str) -> dict[str, County]:
-    """Read a registry from a JSON config of the same shape.
+def load_registry(spark: SparkSession, path: str) -> dict[str, County]:
+    """Read a registry from a JSON config of the same shape, on any file system of Spark's.
 
     ``{county: {"ownership": {"standardization_mappings": {...}, "standardized_links": {...}}}}``;
     a county without mappings or links gets empty ones.
     """
-    with open(path, encoding="utf-8") as handle:
-        raw = json.load(handle)
+    raw = json.loads(spark.read.text(path, wholetext=True).first()[0])
     registry = {}
     for code, layers in raw.items():
         ownership = layers.get("ownership", {})

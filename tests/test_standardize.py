@@ -89,7 +89,7 @@ def test_state_plane_county_is_moved_to_degrees(spark):
     assert -112 < west < -108 and 42 < south < 45
 
 
-def test_registry_from_json(tmp_path):
+def test_registry_from_json(spark, tmp_path):
     config = {
         "x_county_wy": {
             "ownership": {
@@ -101,6 +101,6 @@ def test_registry_from_json(tmp_path):
     }
     path = tmp_path / "c.json"
     path.write_text(json.dumps(config))
-    registry = load_registry(str(path))
+    registry = load_registry(spark, str(path))
     assert registry["x_county_wy"].links == {"tax_details": Link("u=", "t"), "clerk_records": Link("s")}
     assert registry["empty_county_wy"] == County("empty_county_wy")
