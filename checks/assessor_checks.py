@@ -76,16 +76,15 @@ def _select(df: DataFrame, columns: dict[str, str], table: str, ord_sql: str) ->
 def tables(spark, sf) -> dict[str, DataFrame]:
     orders = feeds.table(spark, sf, "orders")
     lines = feeds.table(spark, sf, "lineitem").join(orders, F.col("l_orderkey") == F.col("o_orderkey"))
-    by = {r: orders.where(F.col("o_orderkey") % 3 == r) for r in range(3)}
     return {
         "parcels": A.typed_table(
             feeds.parcels(spark, sf).select(*[_text(sql).alias(c) for c, sql in _PARCELS.items()]), "parcels"
         ).drop("last_updated"),
         "land_records": _select(lines, _LAND, "land_records", "xxhash64(l_orderkey, l_partkey, l_suppkey, l_linenumber, l_extendedprice, l_shipdate)"),
         "sales": _select(orders, _SALES, "sales", "o_orderkey"),
-        "permits": _select(by[1], _PERMITS, "permits", "o_orderkey"),
-        "improvements": _select(by[2], _IMPROVEMENTS, "improvements", "o_orderkey"),
-        "legal_descriptions": _select(by[0], _LEGAL, "legal_descriptions", "o_orderkey"),
+        "permits": _select(orders, _PERMITS, "permits", "o_orderkey"),
+        "improvements": _select(orders, _IMPROVEMENTS, "improvements", "o_orderkey"),
+        "legal_descriptions": _select(orders, _LEGAL, "legal_descriptions", "o_orderkey"),
     }
 
 
@@ -181,10 +180,10 @@ _DOCUMENTS_SQL = f"""with {P}, t as ({_TYPED_SQL}),
   {_LAND_SQL}, ln as (select county_parcel_id, count(*) as land_rows from land group by 1),
   o as (select concat('R-', lpad(cast(o_custkey as varchar), 7, '0')) as county_parcel_id, strftime(o_orderdate, '%Y-%m-%d') as day, * from orders),
   sa as (select county_parcel_id, string_agg(concat(day, '|', o_orderstatus), ';' order by day desc, o_orderkey) as sales from o group by 1),
-  pe as (select county_parcel_id, string_agg(concat(day, '|', o_orderkey, '|', o_orderstatus), ';' order by day desc, o_orderkey) as permits from o where o_orderkey % 3 = 1 group by 1),
+  pe as (select county_parcel_id, string_agg(concat(day, '|', o_orderkey, '|', o_orderstatus), ';' order by day desc, o_orderkey) as permits from o group by 1),
   im as (select county_parcel_id, string_agg(concat(o_orderkey % 10, '|', 1950 + o_orderkey % 70, '|', o_orderkey % 3, '|', o_orderkey % 5000, '.5|Log|', 11), ';' order by cast(o_orderkey % 10 as varchar), o_orderkey) as developments
-    from o where o_orderkey % 3 = 2 group by 1),
-  lg as (select county_parcel_id, concat(o_orderpriority, ' ', o_orderstatus) as location from o where o_orderkey % 3 = 0
+    from o group by 1),
+  lg as (select county_parcel_id, concat(o_orderpriority, ' ', o_orderstatus) as location from o
     qualify row_number() over (partition by county_parcel_id order by o_orderkey) = 1)
   select t.county_parcel_id, deed_reference1 as tax_id, physical_address,
     array_to_string(list_filter([mailing_address_line1, mailing_address_line2, mailing_city, mailing_state, mailing_zip], lambda x: x <> ''), ', ') as mailing_address,
@@ -308,7 +307,7 @@ QUERIES = {
     "parcel_documents": (parcel_documents, _DOCUMENTS_SQL),
     "parcel_improvements": (
         parcel_improvements,
-        f"""with {P}, i as (select concat('R-', lpad(cast(o_custkey as varchar), 7, '0')) as pid, * from orders where o_orderkey % 3 = 2)
+        f"""with {P}, i as (select concat('R-', lpad(cast(o_custkey as varchar), 7, '0')) as pid, * from orders)
           select p.pid as county_parcel_id, owner as owner_name, try_cast(worth as double) as total_value,
             cast(o_orderkey % 10 as varchar) as improvement_number, 1950 + o_orderkey % 70 as year_built,
             case when o_orderkey is not null then 1000e0 end as building_value from p left join i on p.pid = i.pid""",

@@ -24,8 +24,7 @@ def _elements(spark, sf):
 
 def html_counts(spark, sf):
     """Elements per kind of every page of the page table."""
-    kinds = F.col("kind").isin("a", "li", "p", "h1")
-    return _elements(spark, sf).where(kinds).groupBy("page_id", "kind").agg(
+    return _elements(spark, sf).groupBy("page_id", "kind").agg(
         F.count(F.lit(1)).alias("n")
     )
 
@@ -266,7 +265,7 @@ def request_answers(spark, sf):
         ck.alias("request_id"), county.alias("county"),
         F.create_map(F.lit("property_details"), url, F.lit("tax"), F.lit("u")).alias("links"),
     )
-    sections = section_pages(spark, sf).where("page_id % 4 <> 0")
+    sections = section_pages(spark, sf)
     pages = E.section_documents(_stored(sections)).withColumn(
         "url", F.concat(F.lit("https://lincoln.example/"), F.col("page_id").cast("string"))
     )
@@ -377,12 +376,12 @@ QUERIES = {
     "section_documents": (section_documents, _SECTION_SQL),
     "request_answers": (
         request_answers,
-        f"""with {P}, o as (select o_custkey as c, count(*) as n, count(*) filter (o_orderkey % 3 = 2) as im from orders group by 1)
+        f"""with {P}, o as (select o_custkey as c, count(*) as n, count(*) as im from orders group by 1)
           select p.ck as request_id, case p.k when 2 then 'lincoln' when 3 then 'fremont' end as tax_domain,
             case p.k when 0 then 'teton' when 1 then 'teton_idaho' when 2 then 'lincoln' end as details_route,
-            case p.k when 0 then acct.owner when 1 then par.owner when 2 then case when p.ck % 4 <> 0 then p.owner end end as owner_name,
+            case p.k when 0 then acct.owner when 1 then par.owner when 2 then p.owner end as owner_name,
             case p.k when 0 then case when acct.ck is not null then coalesce(oa.n, 0) end when 1 then case when par.ck is not null then coalesce(op.im, 0) end
-              when 2 then case when p.ck % 4 <> 0 then 1 end end as n_developments
+              when 2 then 1 end as n_developments
           from p left join p acct on acct.ck = p.ck * 2 left join p par on par.ck = p.ck * 3
             left join o oa on oa.c = p.ck * 2 left join o op on op.c = p.ck * 3""",
     ),
