@@ -6,6 +6,7 @@ import re
 import uuid
 
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
 
 # A word is a run of characters other than the six ASCII white-space characters.
 WORD_PATTERN = r"[^\x20\x09-\x0D]+"
@@ -42,3 +43,12 @@ def stored(df: DataFrame, name: str) -> DataFrame:
     path = new_path(spark, name)
     df.write.mode("overwrite").option("compression", "zstd").parquet(path)
     return spark.read.schema(df.schema).parquet(path)
+
+
+def numbered(df: DataFrame, name: str) -> DataFrame:
+    """``df`` written with a number per row, ``_row``.
+
+    A scan is split by the cores registered when it is planned, so numbers given to a scan
+    differ between passes. These are given once and read with their rows.
+    """
+    return stored(df.withColumn("_row", F.monotonically_increasing_id()), name)

@@ -18,7 +18,7 @@ from pyspark.ml.functions import vector_to_array
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from lotbook.llm.common import stored
+from lotbook.llm.common import numbered, stored
 
 UNKNOWN = "unknown"
 # Sentences by which public licences are known.
@@ -301,12 +301,9 @@ def scan_documents(docs: DataFrame) -> DataFrame:
 
     Families are those of confirmed paragraphs, in order of name; the list is empty where there
     is none, and also for null, empty and white texts. Repeated rows are documents of
-    their own; ids may be null. ``docs`` must be read from files: rows are numbered by
-    the scan. Very long texts are read whole, a paragraph at a time.
+    their own; ids may be null. Rows are written once with their numbers. Very long texts are read whole, a paragraph at a time.
     """
-    rows = docs.select(
-        F.monotonically_increasing_id().alias("_row"), F.col("doc_id").cast("long"), "text"
-    )
+    rows = numbered(docs.select(F.col("doc_id").cast("long"), "text"), "numbered")
     found = stored(
         scan_paragraphs(rows)
         .where("confirmed")

@@ -23,7 +23,7 @@ import xxhash
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from lotbook.llm.common import find_words, stored
+from lotbook.llm.common import find_words, numbered, stored
 
 SHINGLE_WORDS = 5
 SIMILARITY = 0.8
@@ -454,10 +454,6 @@ def components(links: DataFrame) -> DataFrame:
             return labels
 
 
-def _row_key(docs: DataFrame) -> DataFrame:
-    return docs.withColumn("_row", F.monotonically_increasing_id())
-
-
 def _order(id_: Column, row: Column) -> Column:
     return F.struct(id_.isNull().alias("none"), id_.alias("id"), row.alias("row"))
 
@@ -477,10 +473,22 @@ def duplicate_classes(
     first by id. Signatures weigh shingles alike, or by their count with ``weighted``. A
     null or empty text, or one of white space, is a class of its own per row. Rows that
     repeat id and text are copies of each other; rows without an id can be copies too
-    and are kept only if none of their class has an id. ``docs`` must be read from
-    files: its row numbers (``_row``) are taken from the scan, the same in each pass.
+    and are kept only if none of their class has an id. The rows are written once with
+    their numbers (``_row``), and every pass reads those.
     """
-    rows = _row_key(docs.select(F.col("doc_id").cast("long").alias("_id"), "text"))
+    docs = numbered(docs.select("doc_id", "text"), "numbered")
+    return _classes(docs, similarity, bands, band_rows, weighted)
+
+
+def _classes(
+    docs: DataFrame,
+    similarity: float = SIMILARITY,
+    bands: int = BANDS,
+    band_rows: int = BAND_ROWS,
+    weighted: bool = False,
+) -> DataFrame:
+    """``duplicate_classes`` of rows that have their stored ``_row``."""
+    rows = docs.select("_row", F.col("doc_id").cast("long").alias("_id"), "text")
     rows = rows.withColumn("_node", F.unhex(F.md5(F.col("text").cast("binary"))))
     signed = stored(signatures(rows, bands, band_rows, weighted), "signatures")
     some = signed.where(F.col("_keys").isNotNull())
@@ -517,5 +525,6 @@ def duplicate_classes(
 
 def near_duplicates_removed(docs: DataFrame, **options) -> DataFrame:
     """One document of each class, with its own columns."""
-    kept = duplicate_classes(docs, **options).where("kept").select("_row")
-    return _row_key(docs).join(kept, "_row", "left_semi").drop("_row")
+    docs = numbered(docs, "numbered")
+    kept = _classes(docs, **options).where("kept").select("_row")
+    return docs.join(kept, "_row", "left_semi").drop("_row")

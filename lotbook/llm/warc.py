@@ -17,7 +17,7 @@ import pandas as pd
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from lotbook.llm.common import new_path, stored
+from lotbook.llm.common import new_path, numbered, stored
 
 CHUNK_BYTES = 64 * 1024
 ARCHIVE_BYTES = 256 * 1024 * 1024
@@ -46,18 +46,17 @@ def with_revisits(pages: DataFrame, min_bytes: int = MIN_REVISIT_BYTES) -> DataF
 
     Of rows with equal payloads of at least ``min_bytes``, the first by page id is the
     response (rows without an id last) and ``refers_row``, ``refers_to`` of the others
-    name it. Only digests are shuffled to find them.
+    name it. Only digests are shuffled to find them. The rows are written once with their
+    numbers, which the records' names hold.
     """
     rows = pages.select(
-        F.monotonically_increasing_id().alias("_row"),
         F.col("page_id").cast("long").alias("page_id"),
         F.col("url").cast("string").alias("url"),
         F.coalesce(F.col("html").cast("binary"), F.lit(b"")).alias("payload"),
     )
     rows = rows.withColumn("payload_bytes", F.octet_length("payload").cast("long"))
-    rows = rows.withColumn("payload_digest", F.sha2("payload", 256))
-    small = stored(rows.drop("payload", "url"), "digests")
-    small = small.where(F.col("payload_bytes") >= min_bytes)
+    rows = numbered(rows.withColumn("payload_digest", F.sha2("payload", 256)), "numbered")
+    small = rows.drop("payload", "url").where(F.col("payload_bytes") >= min_bytes)
     rank = F.struct(F.col("page_id").isNull().alias("none"), "page_id", "_row")
     firsts = stored(
         small.groupBy("payload_digest")
@@ -309,7 +308,7 @@ def round_trip(pages: DataFrame, chunk_bytes: int = CHUNK_BYTES) -> DataFrame:
 
     A null or empty page is a record with an empty payload; a row without a page id is
     archived without one. Rows that repeat id and payload are one response and revisits
-    of it. ``pages`` must be read from files: its rows are numbered by the scan.
+    of it.
     """
     folder = new_path(pages.sparkSession, "warc")
     archives = write_archives(chunked(with_revisits(pages), chunk_bytes), folder)
