@@ -36,11 +36,16 @@ _ATTRIBUTE = re.compile(r"(class|id|role)\s*=\s*(?:\"([^\"]*)\"|'([^']*)'|([^\s>
 _HINT = re.compile(r"[A-Z]?[a-z]+|[A-Z]+")
 _PUNCTUATION = re.compile(r"[.,;:!?…。、，；：！？]")
 
+# Elements of plain characters: only their own closing tag is read in them.
+RAW = {
+    tag: re.compile(rf"</{tag}(?=[\s/>])[^>]*(?:>|\Z)", re.I)
+    for tag in "script style title textarea iframe".split()
+}
 VOID = frozenset("area base br col embed hr img input link meta param source track wbr".split())
 # Elements whose content is no text of the page.
 SILENT = frozenset(
-    "script style noscript template iframe object svg math canvas audio video map head title "
-    "textarea select datalist button".split()
+    "noscript template object svg math canvas audio video map head select datalist "
+    "button".split()
 )
 INLINE = frozenset(
     "a abbr acronym b bdi bdo big cite code data del dfn em font i ins kbd label mark q rp rt ruby "
@@ -157,7 +162,7 @@ def read_page(source: str) -> Page:
             links -= element.tag == "a"
         del stack[to:]
 
-    for token in _TOKEN.finditer(source):
+    while token := _TOKEN.search(source, at):
         if not silent and token.start() > at:
             add(source[at : token.start()])
         at = token.end()
@@ -166,10 +171,15 @@ def read_page(source: str) -> Page:
             continue
         tag, ending = tag.lower(), bool(token[1] or token[4])
         attributes = token[3] or token[6] or ""
+        if tag in RAW:
+            if not ending and not attributes.endswith("/"):
+                end = RAW[tag].search(source, at)
+                at = end.end() if end else len(source)
+            continue
         if silent:
-            # Only the same element ends silence; raw text holds no elements.
+            # Only the same element ends silence.
             if tag == silent:
-                depth += -1 if ending else tag not in ("script", "style")
+                depth += -1 if ending else 1
                 silent = silent if depth else ""
             continue
         if tag in SILENT:

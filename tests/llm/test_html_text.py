@@ -58,3 +58,18 @@ def test_very_long_and_repeated_pages(spark):
     got = {r.page_id: r._main for r in html_text.extract_pages(frame).collect()}
     assert got[1].text.count("\n") == 49_999 and got[2].n_chars == 0
     assert html_text.extract_pages(frame.limit(0)).count() == 0
+
+
+@pytest.mark.parametrize(
+    "raw",
+    [
+        "<script>for(i=0;i<n;i++){f(i)}</script>", "<script>if (a<b) x = 'it</script>",
+        "<STYLE>a<b{}</style >", "<script>s = '<script><!--'</script>", "<title>a <b 'c</title>",
+        "<textarea><b 'c</textarea>", "<iframe src=x><i 'c</iframe>",
+        "<noscript><style>a<b{}</style></noscript>", "<svg><style>a<b '</style></svg>",
+    ],
+)
+def test_raw_text_ends_at_its_own_closing_tag(raw):
+    for page in (f"<body>{raw}<article><p>one</p></article>", f"<article>{raw}<p>one</article>"):
+        assert html_text.main_text(page)[0] == "one"
+    assert html_text.main_text(f"<p>one{raw[: raw.rindex('<')]}")[0] == "one"
