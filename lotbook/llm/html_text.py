@@ -44,9 +44,19 @@ RAW = {
 VOID = frozenset("area base br col embed hr img input link meta param source track wbr".split())
 # Elements whose content is no text of the page.
 SILENT = frozenset(
-    "noscript template object svg math canvas audio video map head select datalist "
-    "button".split()
+    "noscript template object svg math canvas audio video map select datalist button".split()
 )
+# Silent elements that end with an element around them, as HTML ends a button or a datalist,
+# and the opening tags that end them. HTML keeps what follows an unclosed one inside; no
+# part of a page's frame stands there, so it ends them too.
+_FRAME = frozenset("body article main section nav aside header footer form table".split())
+_TABLE_PARTS = frozenset("caption tbody tfoot thead tr td th".split())
+_HEADINGS = frozenset("h1 h2 h3 h4 h5 h6".split())
+_SILENT_ENDS = {
+    "button": _FRAME | {"button"},
+    "select": _FRAME | _TABLE_PARTS | _HEADINGS | {"select", "input", "textarea", "p", "ul", "ol", "dl"},
+    "datalist": _FRAME | _TABLE_PARTS | _HEADINGS | {"datalist", "input", "textarea", "p", "ul", "ol", "dl"},
+}
 INLINE = frozenset(
     "a abbr acronym b bdi bdo big cite code data del dfn em font i ins kbd label mark q rp rt ruby "
     "s samp small span strike strong sub sup time tt u var wbr br img input".split()
@@ -132,6 +142,7 @@ def read_page(source: str) -> Page:
     pieces: list[str] = []
     linked = links = 0
     at, silent, depth = 0, "", 0
+    inside: list[str] = []
 
     def flush() -> None:
         nonlocal linked
@@ -162,6 +173,20 @@ def read_page(source: str) -> Page:
             links -= element.tag == "a"
         del stack[to:]
 
+    def ends_silence(tag: str, ending: bool) -> bool:
+        """Whether a tag ends the silent element before its own closing tag does."""
+        if tag == silent and ending:
+            return False
+        if not ending:
+            if tag not in VOID:
+                inside.append(tag)
+            return tag in _SILENT_ENDS[silent]
+        if tag in inside:
+            while inside.pop() != tag:
+                pass
+            return False
+        return tag not in INLINE and tag != "p" and any(e.tag == tag for e in stack)
+
     while token := _TOKEN.search(source, at):
         if not silent and token.start() > at:
             add(source[at : token.start()])
@@ -171,6 +196,8 @@ def read_page(source: str) -> Page:
             continue
         tag, ending = tag.lower(), bool(token[1] or token[4])
         attributes = token[3] or token[6] or ""
+        if silent in _SILENT_ENDS and ends_silence(tag, ending):
+            silent = ""
         if tag in RAW:
             if not ending and not attributes.endswith("/"):
                 end = RAW[tag].search(source, at)
@@ -185,6 +212,10 @@ def read_page(source: str) -> Page:
         if tag in SILENT:
             if not ending and not attributes.endswith("/"):
                 silent, depth = tag, 1
+                inside.clear()
+            continue
+        if tag == "head":
+            # Its tags may be left out, and all it can hold is silent or void.
             continue
         if tag in VOID:
             if tag == "br":

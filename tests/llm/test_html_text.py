@@ -73,3 +73,23 @@ def test_raw_text_ends_at_its_own_closing_tag(raw):
     for page in (f"<body>{raw}<article><p>one</p></article>", f"<article>{raw}<p>one</article>"):
         assert html_text.main_text(page)[0] == "one"
     assert html_text.main_text(f"<p>one{raw[: raw.rindex('<')]}")[0] == "one"
+
+
+@pytest.mark.parametrize(
+    "page",
+    [
+        "<html><head><title>x</title><body><article><p>one</article>",
+        "<html><head><meta charset=utf-8><style>a{}</style><article><p>one</article>",
+        "<head><title>x</title><link rel=a><div><p>one</div>",
+        "<body><div><button>Menu</div><article><p>one</article>",
+        "<body><button>Menu<article><p>one</article>",
+        "<body><button>Menu<div>x</div><button>Next</button><p>one",
+        "<body><div><select><option>a<option>b</div><p>one",
+        "<body><select><option>a<p>one", "<table><tr><td><select><option>a<td>one</table>",
+        "<body><select><option>a<input><p>one", "<div><datalist><option>a</div><p>one",
+        "<body><select><optgroup label=x><option>a</optgroup></select><p>one",
+        "<div><button><div>Menu</div><span>x</span></button><p>one</div>",
+    ],
+)
+def test_left_out_end_tags_lose_no_text(page):
+    assert html_text.main_text(page)[0] == "one"
