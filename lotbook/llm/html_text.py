@@ -4,7 +4,7 @@ Text is summed per path from the root of the page to the block that holds it. Ea
 has a ratio of text to its number of blocks, fused with its punctuation; ratios are
 smoothed over paths in the order of the page, weighed by what the path's elements say
 about themselves (menus, adverts, the article), and paths above a share of the best are
-content. A page is handled by itself in one narrow pass.
+content. An article element that holds one of them is content but for its boilerplate. A page is handled by itself in one narrow pass.
 """
 
 from __future__ import annotations
@@ -96,7 +96,8 @@ class Path:
     """Totals of one root-to-block path of a page."""
 
     weight: float
-    in_article: bool
+    # Tag and path of the article element around it.
+    article: tuple[str, str] | None
     chars: int = 0
     linked: int = 0
     marks: int = 0
@@ -109,7 +110,7 @@ class Path:
 class _Open:
     tag: str
     path: str
-    article: bool
+    article: tuple[str, str] | None
     boilerplate: bool
 
 
@@ -138,7 +139,7 @@ def _describe(tag: str, attributes: str) -> tuple[str, bool]:
 def read_page(source: str) -> Page:
     """Split markup into blocks. Unclosed and misplaced tags end where HTML ends them."""
     page = Page()
-    stack = [_Open("", "", False, False)]
+    stack = [_Open("", "", None, False)]
     pieces: list[str] = []
     linked = links = 0
     at, silent, depth = 0, "", 0
@@ -255,9 +256,10 @@ def read_page(source: str) -> Page:
             # An article's own header belongs to it.
             marked = marked and not (label.startswith("header") and above.article)
             boilerplate = above.boilerplate or marked
-            article = above.article or tag in ARTICLE_TAGS
             base = next(e for e in reversed(stack) if e.tag not in INLINE)
-            stack.append(_Open(tag, f"{base.path}/{label}", article, boilerplate))
+            path = f"{base.path}/{label}"
+            article = (tag, path) if tag in ARTICLE_TAGS else above.article
+            stack.append(_Open(tag, path, article, boilerplate))
         else:
             links += tag == "a"
             stack.append(_Open(tag, above.path, above.article, above.boilerplate))
@@ -282,13 +284,19 @@ def score_paths(paths: dict[str, Path], least_share: float = LEAST_SHARE) -> Non
     )
     padded = np.r_[raw[:1], raw, raw[-1:]]
     smooth = 0.25 * padded[:-2] + 0.5 * padded[1:-1] + 0.25 * padded[2:]
-    has_article = any(p.in_article and p.weight > BOILERPLATE for p in own)
+    has_article = any(p.article and p.weight > BOILERPLATE for p in own)
     for p, value in zip(own, smooth, strict=True):
-        beside = has_article and not p.in_article
+        beside = has_article and not p.article
         p.score = float(value) * (min(p.weight, BESIDE_ARTICLE) if beside else p.weight)
     best = max((p.score for p in own if p.weight > BOILERPLATE), default=0.0)
     for p in own:
         p.kept = p.weight > BOILERPLATE and p.score >= least_share * best
+    chosen = {p.article for p in own if p.kept and p.article}
+    # A main element around a chosen article is the page's frame: its ratios decide.
+    around = {path[: at.start()] for _, path in chosen for at in re.finditer("/", path)}
+    whole = {a for a in chosen if a[0] == "article" or a[1] not in around}
+    for p in own:
+        p.kept = p.kept or (p.weight > BOILERPLATE and p.article in whole)
 
 
 def main_text(source: str | None, least_share: float = LEAST_SHARE) -> tuple[str, int, int]:

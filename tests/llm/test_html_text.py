@@ -93,3 +93,16 @@ def test_raw_text_ends_at_its_own_closing_tag(raw):
 )
 def test_left_out_end_tags_lose_no_text(page):
     assert html_text.main_text(page)[0] == "one"
+
+
+PROSE = "<p>" + "Some words of a text, with marks. " * 15
+LINKS = "<h2>References</h2><ul><li><a href=x>First source</a><li><a href=y>Second source</a></ul>"
+
+
+@pytest.mark.parametrize("frame", ["<article>{}</article>", "<main>{}</main>", "<main><article>{}</article></main>"])
+def test_a_chosen_article_keeps_all_but_boilerplate(frame):
+    article = f"<h1>Title</h1>{PROSE}{LINKS}<div class=share><a href=z>Share</a></div>"
+    footer = "<footer><a href=a>About us</a> <a href=b>Terms</a></footer>"
+    page = f"<nav><a href=/>Home</a></nav>{frame.format(article)}{footer}"
+    lines = html_text.main_text(page)[0].split("\n")
+    assert lines[0] == "Title" and lines[2:] == ["References", "First source", "Second source"]
