@@ -3,7 +3,8 @@
 Paragraphs are scored by a multinomial logistic regression over sparse word n-grams of
 the licence templates, with a class for text that is no licence. Probabilities are
 calibrated by a temperature fitted on examples kept from training. A prediction holds if
-it is probable and shares enough runs of words with a template of its family. DataFrame
+it is probable and shares enough runs of words with a template of its family. Paragraphs
+that share no run with any template cannot be confirmed, so they need no score. DataFrame
 operations and the JVM's own learner only.
 """
 
@@ -78,8 +79,7 @@ TEMPLATES: dict[str, tuple[str, ...]] = {
     ),
 }
 FAMILIES = [*TEMPLATES, UNKNOWN]
-# Words of which every template has one and ordinary paragraphs few: the rest of the
-# corpus shares no feature but common words with any template and is unknown at once.
+# Words of licences: paragraphs with one of them are no examples of other text.
 CUES = (
     "licen[sc]\\w*|copyright|rights reserved|permission|permitted|redistribut\\w*|"
     "public domain|cc0|cc[ -]by|creative commons"
@@ -92,6 +92,10 @@ LEAST_PROBABILITY = 0.5
 # Share of a template's runs of three words, or of the paragraph's, that must agree.
 LEAST_OVERLAP = 0.5
 TEMPERATURES = (0.25, 0.5, 0.75, 1.0, 1.5, 2.0, 3.0, 4.0)
+# Lines are one paragraph up to the end of a sentence at a line's end, or an empty line.
+_PARAGRAPH = (
+    r"(?<=(?<![vV])[.!?][\"')\]*\s]{0,4})\n|\n(?=[^\S\n]*(?:\n|\z))|(?<=\n[^\S\n]{0,4})\n"
+)
 _WORD = r"[\p{L}\p{N}]+(?:[.\-][\p{L}\p{N}]+)*"
 
 
@@ -119,6 +123,15 @@ def _plain_runs(words: list[str], n: int) -> list[str]:
     return [" ".join(words[i : i + n]) for i in range(len(words) - n + 1)]
 
 
+TEMPLATE_RUNS = {
+    run
+    for sentences in TEMPLATES.values()
+    for sentence in sentences
+    for run in _plain_runs(_plain_words(sentence), 3)
+}
+LONGEST = max(len(_plain_words(s)) for sentences in TEMPLATES.values() for s in sentences)
+
+
 def vocabulary() -> list[str]:
     """All n-grams of the templates, in order of their first use."""
     found: dict[str, None] = {}
@@ -154,13 +167,48 @@ def _lines(spark: SparkSession, lines: list[str]) -> DataFrame:
     return spark.range(1).select(each.alias("l")).select(F.split("l", "\t").alias("line"))
 
 
+def _shares_run(text: Column) -> Column:
+    """Whether a run of three words is one of a template: else its overlap is 0."""
+    runs = F.array(*map(F.lit, sorted(TEMPLATE_RUNS)))
+    # The words are bound by the outer lambda: inside the runs they would be found anew each time.
+    return F.exists(F.array(words_of(text)), lambda w: F.arrays_overlap(_runs(w, 3), runs))
+
+
 def paragraphs_of(docs: DataFrame) -> DataFrame:
-    """``doc_id``, ``_row``, ``paragraph`` (from 0) and ``text`` of each line with a word."""
-    return (
-        docs.select("_row", F.col("doc_id"), F.posexplode(F.split("text", "\n")))
-        .withColumnsRenamed({"pos": "paragraph", "col": "text"})
-        .where(F.trim("text") != "")
+    """``_row``, ``doc_id``, ``paragraph``, ``line`` and ``text`` of what can be confirmed.
+
+    That is each line that shares a run with a template and, with a null ``line``, each
+    stretch of such runs in a paragraph of several lines, where a notice may be wrapped.
+    A stretch ends where the longest template's words pass without a run.
+    """
+    paragraphs = docs.select("_row", "doc_id", F.posexplode(F.split("text", _PARAGRAPH)))
+    paragraphs = paragraphs.withColumnsRenamed({"pos": "paragraph", "col": "text"})
+    paragraphs = stored(paragraphs.where(_shares_run(F.col("text"))), "sharing")
+    lines = paragraphs.select(
+        "_row", "doc_id", "paragraph", F.posexplode(F.split("text", "\n")).alias("line", "text")
+    ).where(_shares_run(F.col("text")))
+    runs = F.array(*map(F.lit, sorted(TEMPLATE_RUNS)))
+    several = (
+        paragraphs.where(F.contains(F.trim("text"), F.lit("\n")))
+        .withColumn("_words", words_of(F.col("text")))
+        .withColumn("_runs", _runs(F.col("_words"), 3))
+        .withColumn("_at", F.transform("_runs", lambda r, i: F.when(F.array_contains(runs, r), i)))
+        .withColumn("_at", F.filter("_at", lambda i: i.isNotNull()))
     )
+    before = lambda i: F.get("_at", i - 1)
+    after = lambda i: F.get("_at", i + 1)
+    first = F.filter("_at", lambda at, i: before(i).isNull() | (at - before(i) > LONGEST))
+    last = F.filter("_at", lambda at, i: after(i).isNull() | (after(i) - at > LONGEST))
+    stretches = several.select(
+        "_row", "doc_id", "paragraph", "_words",
+        F.explode(F.arrays_zip(first.alias("first"), last.alias("last"))).alias("_at"),
+    ).select(
+        "_row", "doc_id", "paragraph", F.lit(None).cast("int").alias("line"),
+        F.concat_ws(
+            " ", F.slice("_words", F.col("_at.first") + 1, F.col("_at.last") - F.col("_at.first") + 3)
+        ).alias("text"),
+    )
+    return lines.unionByName(stretches)
 
 
 def _with_features(rows: DataFrame) -> DataFrame:
@@ -186,7 +234,7 @@ def train(docs: DataFrame) -> tuple[LogisticRegressionModel, float]:
     """The classifier and its temperature.
 
     Negative examples are a bounded sample of the last paragraphs of documents, those
-    with the least hashes among paragraphs without a cue. Calibration takes the temperature with
+    with the least hashes among those without a cue or a template's run. Calibration takes the temperature with
     the least loss on the fifth of the examples that training does not see.
     """
     spark = docs.sparkSession
@@ -199,6 +247,7 @@ def train(docs: DataFrame) -> tuple[LogisticRegressionModel, float]:
         thinned.where(F.col("text").isNotNull())
         .select(F.element_at(F.split("text", "\n"), -1).alias("text"))
         .where((F.trim("text") != "") & ~F.lower("text").rlike(rf"\b(?:{CUES})\b"))
+        .where(~_shares_run(F.col("text")))
         .select("text", hashed.alias("_h"))
         .orderBy("_h", "text")
         .limit(MAX_NEGATIVES)
@@ -257,23 +306,23 @@ def _overlap(own: Column, templates: Column) -> Column:
 
 
 def scan_paragraphs(docs: DataFrame) -> DataFrame:
-    """Paragraphs with a licence cue: family, calibrated probability, overlap, verdict.
+    """Lines and wrapped notices that share a run: family, calibrated probability, overlap, verdict.
 
     ``confirmed`` says that the family is not ``unknown``, its probability is at least
-    one half and a template agrees. Other paragraphs are ``unknown`` and not listed.
+    one half and a template agrees. All other text is ``unknown`` and not listed.
     """
     model, temperature = train(docs)
-    cued = paragraphs_of(docs).where(F.lower("text").rlike(rf"\b(?:{CUES})\b"))
-    scored = model.transform(_with_features(cued)).select(
+    scored = model.transform(_with_features(paragraphs_of(docs))).select(
         "_row",
         "doc_id",
         "paragraph",
+        "line",
         "text",
         vector_to_array("rawPrediction").alias("_raw"),
         _runs(F.col("_words"), 3).alias("_runs"),
     )
-    # Few paragraphs have a cue; written, so that what follows is planned on plain columns.
-    scored = stored(scored, "cued")
+    # Few share a run; written, so that what follows is planned on plain columns.
+    scored = stored(scored, "scored")
     families = F.array(*map(F.lit, FAMILIES))
     place = F.array_position("_raw", F.array_max("_raw")).cast("int")
     scored = (
@@ -290,7 +339,8 @@ def scan_paragraphs(docs: DataFrame) -> DataFrame:
         scored.withColumn("overlap", _overlap(F.col("_runs"), F.col("_templates")))
         .withColumn("confirmed", confirmed)
         .select(
-            "_row", "doc_id", "paragraph", "text", "family", "probability", "overlap", "confirmed"
+            "_row", "doc_id", "paragraph", "line", "text", "family", "probability", "overlap",
+            "confirmed",
         )
     )
 
@@ -299,19 +349,28 @@ def scan_documents(docs: DataFrame) -> DataFrame:
     """One row per document: ``n_paragraphs``, licence ``families`` found, and how many
     paragraphs carry one.
 
-    Families are those of confirmed paragraphs, in order of name; the list is empty where there
-    is none, and also for null, empty and white texts. Repeated rows are documents of
+    Families are those of confirmed lines and wrapped notices, in order of name; a wrapped
+    notice counts once, unless lines of it count. The list is empty where there is none, and also for null, empty and white texts. Repeated rows are documents of
     their own; ids may be null. Rows are written once with their numbers. Very long texts are read whole, a paragraph at a time.
     """
     rows = numbered(docs.select(F.col("doc_id").cast("long"), "text"), "numbered")
     found = stored(
         scan_paragraphs(rows)
         .where("confirmed")
+        .groupBy("_row", "paragraph", "family")
+        .agg(
+            F.count(F.lit(1)).alias("all"),
+            F.count("line").alias("lines"),
+            F.min("probability").alias("least"),
+            F.min(F.when(F.col("line").isNotNull(), F.col("probability"))).alias("least_line"),
+        )
         .groupBy("_row")
         .agg(
             F.sort_array(F.collect_set("family")).alias("families"),
-            F.count(F.lit(1)).alias("n_licence_paragraphs"),
-            F.min("probability").alias("least_probability"),
+            F.sum(F.when(F.col("lines") > 0, F.col("lines")).otherwise(F.col("all"))).alias(
+                "n_licence_paragraphs"
+            ),
+            F.min(F.coalesce("least_line", "least")).alias("least_probability"),
         ),
         "licences",
     )

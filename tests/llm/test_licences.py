@@ -44,3 +44,23 @@ def test_empty_table(spark, tmp_path):
     spark.createDataFrame([], SCHEMA).write.parquet(str(tmp_path / "d"))
     docs = spark.read.schema(SCHEMA).parquet(str(tmp_path / "d"))
     assert licences.scan_documents(docs).count() == 0
+
+
+def test_notices_without_keywords_and_over_several_lines(spark):
+    mit = licences.TEMPLATES["mit"][2]
+    apache = licences.TEMPLATES["apache"][1]
+    want = {
+        1: ("This is free and unencumbered software released into\nthe public domain.", ["public-domain"], 1),
+        2: ("to any person obtaining a copy of this software and associated documentation files, "
+            "to deal in the Software without restriction", ["mit"], 1),
+        3: (f"{PLAIN}\n" + "\n".join(mit.split()) + f".\n{PLAIN}", ["mit"], 1),
+        4: ("no end\n" * 60 + "# " + apache.replace(" ", "\n# ") + "\n" + "no end\n" * 60, ["apache"], 1),
+        5: (f"{mit.replace(' to ', chr(10) + 'to ')}.\n{apache.replace(' you', chr(10) + 'you')}", ["apache", "mit"], None),
+        6: ("of this software\n\nand associated documentation\n\nfree of charge", [], 0),
+        7: ("Released under the MIT License.\nLicensed under CC BY 4.0.", ["cc-by", "mit"], 2),
+    }
+    rows = spark.createDataFrame([(i, t) for i, (t, _, _) in want.items()], "doc_id long, text string")
+    for row in licences.scan_documents(rows).collect():
+        _, families, n = want[row.doc_id]
+        assert row.families == families, row
+        assert n is None or row.n_licence_paragraphs == n, row
