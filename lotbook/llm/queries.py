@@ -8,8 +8,10 @@ from lotbook.llm import (
     html_text,
     licences,
     mixing,
+    multi_index,
     near_dups,
     packing,
+    piece_bpe,
     quality_model,
     quality_rules,
     topk,
@@ -67,6 +69,15 @@ def op10_html_text(spark: SparkSession, sf_dir: str) -> DataFrame:
     return html_text.extract_pages(pages).select("page_id", "url", "_main.text", "_main.n_chars")
 
 
+def op12_hard_negatives(spark: SparkSession, sf_dir: str) -> DataFrame:
+    vectors = multi_index.labelled_vectors(table(spark, sf_dir, "embeddings"))
+    return multi_index.hard_negatives(multi_index.shifted_labels(vectors))
+
+
+def op13_piece_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return piece_bpe.piece_table(table(spark, sf_dir, "documents"))
+
+
 QUERIES = {
     "op1_licences": op1_licences,
     "op2_warc": op2_warc,
@@ -78,6 +89,8 @@ QUERIES = {
     "op8_packing": op8_packing,
     "op9_quality_rules": op9_quality_rules,
     "op10_html_text": op10_html_text,
+    "op12_hard_negatives": op12_hard_negatives,
+    "op13_piece_bpe": op13_piece_bpe,
 }
 
 _WARC_SQL = """
@@ -115,7 +128,39 @@ with v as (
 select query_id, cast(rank as integer) as rank, vec_id, score from r where rank <= 20
 """
 
+_NEGATIVES_SQL = """
+with v as (
+    select vec_id,
+        cast(case when vec_id % 7 = 0 then (label + 1) % 10 else label end as bigint) as label,
+        list_transform(embedding, lambda x: cast(floor(256 * cast(x as double)) as bigint)) as v
+    from embeddings
+    where vec_id is not null and label is not null and embedding is not null
+        and len(list_filter(embedding, lambda x: x is null or not isfinite(x))) = 0
+), s as (
+    select a.vec_id as anchor_id, c.vec_id, a.label = c.label as same,
+        cast(list_sum(list_transform(list_zip(a.v, c.v), lambda p: p[1] * p[2])) as bigint) as score
+    from v a join v c on c.vec_id <> a.vec_id
+    where a.vec_id % 50 = 0
+), p as (
+    select anchor_id, vec_id as positive_id, score as positive_score,
+        row_number() over (partition by anchor_id order by score desc, vec_id) as n
+    from s where same
+), n as (
+    select p.anchor_id, positive_id, positive_score, s.vec_id as negative_id, s.score as negative_score,
+        row_number() over (
+            partition by p.anchor_id, positive_id order by s.score desc, s.vec_id
+        ) as rank
+    from p join s on s.anchor_id = p.anchor_id and not s.same
+        and 50 * positive_score <= 100 * s.score and 100 * s.score <= 95 * positive_score
+    where p.n <= 5
+)
+select anchor_id, positive_id, cast(rank as integer) as rank, negative_id, positive_score,
+    negative_score
+from n where rank <= 3
+"""
+
 ORACLE_SQL: dict[str, str] = {
+    "op12_hard_negatives": _NEGATIVES_SQL,
     "op4_top_k": _TOP_K_SQL,
     "op2_warc": _WARC_SQL,
 }
