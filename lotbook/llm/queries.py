@@ -6,6 +6,7 @@ from pyspark.sql import DataFrame, SparkSession
 
 from lotbook.llm import (
     html_text,
+    lexical,
     licences,
     mixing,
     multi_index,
@@ -69,6 +70,10 @@ def op10_html_text(spark: SparkSession, sf_dir: str) -> DataFrame:
     return html_text.extract_pages(pages).select("page_id", "url", "_main.text", "_main.n_chars")
 
 
+def op11_lexical(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return lexical.ranked(table(spark, sf_dir, "documents"), table(spark, sf_dir, "benchmark"))
+
+
 def op12_hard_negatives(spark: SparkSession, sf_dir: str) -> DataFrame:
     vectors = multi_index.labelled_vectors(table(spark, sf_dir, "embeddings"))
     return multi_index.hard_negatives(multi_index.shifted_labels(vectors))
@@ -89,6 +94,7 @@ QUERIES = {
     "op8_packing": op8_packing,
     "op9_quality_rules": op9_quality_rules,
     "op10_html_text": op10_html_text,
+    "op11_lexical": op11_lexical,
     "op12_hard_negatives": op12_hard_negatives,
     "op13_piece_bpe": op13_piece_bpe,
 }
@@ -128,6 +134,42 @@ with v as (
 select query_id, cast(rank as integer) as rank, vec_id, score from r where rank <= 20
 """
 
+_UPPER, _LOWER = "ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz"
+_LEXICAL_SQL = f"""
+with d as (
+    select row_number() over () as row, doc_id, unnest(regexp_extract_all(
+        translate(text, '{_UPPER}', '{_LOWER}'),
+        '[^\\x00-\\x2F\\x3A-\\x40\\x5B-\\x60\\x7B-\\x7F]+')) as term
+    from documents
+), i as (
+    select distinct item_id, unnest(regexp_extract_all(
+        translate(text, '{_UPPER}', '{_LOWER}'),
+        '[^\\x00-\\x2F\\x3A-\\x40\\x5B-\\x60\\x7B-\\x7F]+')) as term
+    from benchmark
+), lengths as (
+    select row, count(*) as n from d group by row
+), totals as (
+    select count(*) as docs, sum(n)::bigint as terms from lengths
+), tf as (
+    select row, any_value(doc_id) as doc_id, term, count(*) as tf
+    from d where term in (select term from i) group by row, term
+), w as (
+    select term, cast(floor(1000 * ln(
+        cast(2 * any_value(docs) + 2 as double) / cast(2 * count(*) + 1 as double))) as bigint) as w
+    from tf, totals group by term
+), s as (
+    select item_id, row, any_value(doc_id) as doc_id, sum(w * ((1000000000 * tf)
+        // (1000 * tf + 20 * (50 + (50 * n * docs) // terms))))::bigint as score
+    from i join tf using (term) join w using (term) join lengths using (row), totals
+    group by item_id, row
+), r as (
+    select *, row_number() over (
+        partition by item_id order by score desc, doc_id nulls last) as rank
+    from s where score > 0
+)
+select item_id, cast(rank as integer) as rank, doc_id, score from r where rank <= 50
+"""
+
 _NEGATIVES_SQL = """
 with v as (
     select vec_id,
@@ -160,6 +202,7 @@ from n where rank <= 3
 """
 
 ORACLE_SQL: dict[str, str] = {
+    "op11_lexical": _LEXICAL_SQL,
     "op12_hard_negatives": _NEGATIVES_SQL,
     "op4_top_k": _TOP_K_SQL,
     "op2_warc": _WARC_SQL,
