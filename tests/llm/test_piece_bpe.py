@@ -3,6 +3,7 @@
 import hashlib
 import random
 
+import numpy as np
 import pytest
 from hypothesis import given, settings
 from hypothesis import strategies as st
@@ -46,8 +47,9 @@ _texts = st.text(alphabet=st.one_of(st.sampled_from(LETTERS), st.characters(code
 @given(_texts)
 def test_ids_and_texts_equal_the_library_and_a_plain_search(text):
     coder = piece_bpe.piece_bpe(vocabulary_path(piece_bpe.MODEL))
-    (ids,) = coder.encode([text])
+    (ids,), (agree,) = coder.encode([text], check=True)
     ids = ids.tolist()
+    assert agree
     assert ids == coder.library.encode(text) == by_search(coder, text)
     assert coder.decode(ids) == coder.library.decode(ids) == text.replace("▁", " ")
 
@@ -56,7 +58,11 @@ def test_ids_and_texts_equal_the_library_and_a_plain_search(text):
 @given(st.lists(st.one_of(st.integers(0, 300), st.integers(0, 31_999)), max_size=12))
 def test_any_ids_decode_as_the_library_does(ids):
     coder = piece_bpe.piece_bpe(vocabulary_path(piece_bpe.MODEL))
-    assert coder.decode(ids) == coder.library.decode(ids)
+    text = coder.library.decode(ids)
+    assert coder.decode(ids) == text
+    rows = np.array([*ids, *ids], dtype=np.int32)
+    starts = np.array([0, 0, len(ids), 2 * len(ids), 2 * len(ids)])
+    assert coder.decode_rows(rows, starts) == ["", text, text, ""]
 
 
 def test_heap_and_matrix_agree_and_the_dictionary_may_empty(coder, monkeypatch):
@@ -65,12 +71,12 @@ def test_heap_and_matrix_agree_and_the_dictionary_may_empty(coder, monkeypatch):
     want = [coder.library.encode(t) for t in texts]
     assert [coder.merged("▁" + t) for t in texts] == want
     monkeypatch.setattr(piece_bpe, "CACHE_PARTS", 10)
-    assert [o.tolist() for t in texts for o in coder.encode([t])] == want
+    assert [o.tolist() for t in texts for o in coder.encode([t])[0]] == want
     monkeypatch.setattr(piece_bpe, "WIDTHS", ())
     coder.clear()
-    assert [o.tolist() for o in coder.encode(texts)] == want
+    assert [o.tolist() for o in coder.encode(texts)[0]] == want
     monkeypatch.setattr(coder, "parts", lambda text: [text])
-    assert [o.tolist() for o in coder.encode(texts)] == want
+    assert [o.tolist() for o in coder.encode(texts)[0]] == want
 
 
 def test_table_of_odd_rows(spark, coder, monkeypatch):
@@ -81,6 +87,8 @@ def test_table_of_odd_rows(spark, coder, monkeypatch):
     docs = spark.createDataFrame(rows, "doc_id long, text string, ids string, Decoded double")
     got = piece_bpe.piece_table(docs).collect()
     assert len(got) == 13 and all(r.agrees for r in got)
+    apart = piece_bpe.decoded(piece_bpe.encoded(docs)).collect()
+    assert all(r.ids_agree and r.text_agrees for r in apart)
     for r in got:
         text = (texts[r.doc_id] if r.doc_id else "no id") or ""
         ids = coder.library.encode(text)
@@ -94,6 +102,17 @@ def test_table_of_odd_rows(spark, coder, monkeypatch):
     assert empty.count() == 0 and empty.columns[1] == "n_tokens"
 
 
+def test_wrong_ids_of_a_part_are_told(monkeypatch):
+    coder = piece_bpe.PieceBpe(vocabulary_path(piece_bpe.MODEL))
+    monkeypatch.setattr(piece_bpe, "CHECK_EVERY", 1 << 40)
+    whole = coder.merged_rows
+    wrong = lambda parts, width: [b"\0\0\0\0" if p == "▁two" else o for p, o in zip(parts, whole(parts, width), strict=True)]
+    monkeypatch.setattr(coder, "merged_rows", wrong)
+    texts = ["one two", "one three", "two", ""]
+    assert coder.encode(texts, check=True)[1] == [False, True, False, True]
+    assert coder.encode(["x two"], check=True)[1] == [False]
+
+
 def test_other_kinds_of_vocabulary_are_refused(tmp_path):
     from sentencepiece import sentencepiece_model_pb2
 
