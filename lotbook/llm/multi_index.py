@@ -40,6 +40,8 @@ TRAINING_ROUNDS = 10
 SEED_CELLS = 64
 PART_ROWS = 16_384
 ANCHOR_BLOCK = 2_048
+# Anchors whose cells one task lists.
+ANCHORS_PER_TASK = 64
 SLICE = 256
 _LEAST, _MOST = -(1 << 62), 1 << 62
 
@@ -244,8 +246,8 @@ def _score(k: int, same: bool):
 class _Search:
     """Rows by cell, and the search of windows among them."""
 
-    def __init__(self, vectors: DataFrame, dims: list[int], blocks: int):
-        self.blocks = blocks
+    def __init__(self, vectors: DataFrame, dims: list[int], blocks: int, tasks: int = 1):
+        self.blocks, self.tasks = blocks, tasks
         self.indexes = train(vectors, dims)
         indexes = self.indexes
 
@@ -286,6 +288,8 @@ class _Search:
         ).withColumn("block", F.explode(F.sequence(F.lit(0), F.lit(self.blocks - 1))))
         keys = ["dim", "i", "part", "block"]
         met = rows.select(*keys, "vec_id", "label", "j", "v").groupBy(*keys)
+        # A walk costs far more than its row's size tells, so anchors are dealt out by number.
+        asks = asks.repartition(self.tasks, "ask")
         found = met.cogroup(_visits(asks, self.indexes, seed).groupBy(*keys)).applyInPandas(
             _score(k, same), "ask long, mark long, vec_id long, score long"
         )
@@ -339,7 +343,8 @@ def hard_negatives(
     if not held:
         return spark.createDataFrame([], _RESULT)
     blocks = -(-max(r["n"] for r in held) // ANCHOR_BLOCK)
-    search = _Search(vectors, sorted(r["dim"] for r in held), blocks)
+    tasks = -(-sum(r["n"] for r in held) // ANCHORS_PER_TASK)
+    search = _Search(vectors, sorted(r["dim"] for r in held), blocks, tasks)
     block = F.pmod(F.xxhash64("ask"), F.lit(blocks)).cast("int").alias("block")
 
     def ends(*values) -> list:
