@@ -32,6 +32,7 @@ def cut_documents(
     capacity: int = CAPACITY,
     end_id: int = END_ID,
     ranks_path: str | None = None,
+    added_path: str | None = None,
     keep_ids: bool = False,
 ) -> DataFrame:
     """One row per piece of a document: its place in the document, length and checksum.
@@ -39,13 +40,16 @@ def cut_documents(
     A document is its token ids and an end id. Those longer than ``capacity`` are cut
     so that all pieces but the first are full. ``ids_crc32`` is taken over the ids as
     little-endian unsigned 32-bit numbers; ``keep_ids`` adds them as ``ids`` (binary).
+    Tokens that the file at ``added_path`` adds are found in a text as that file's library
+    finds them.
     A null or empty text is a document of the end id alone. Rows that repeat a document
     id are documents of their own.
     """
     path = ranks_path or vocabulary_path("byte_bpe_50k.tiktoken")
+    added = added_path or vocabulary_path("byte_bpe_50k.json")
 
     def cut(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        encoder = bpe_ids(path)
+        encoder = bpe_ids(path, added)
         end = np.array([end_id], dtype="<u4").tobytes()
         for batch in batches:
             rows = []
@@ -137,7 +141,9 @@ def _pack_round(
 
     cell = F.pmod(F.xxhash64("bin", F.lit(salt)), F.lit(cells))
     schema = "_uid long, length long, bin long, offset long, full boolean"
-    return waiting.groupBy(cell.alias("_cell")).applyInPandas(pack, schema)
+    # A cell costs far more than its few bytes tell; dealt by number, cells are not merged.
+    dealt = waiting.withColumn("_cell", cell).repartition(cells, "_cell")
+    return dealt.groupBy("_cell").applyInPandas(pack, schema)
 
 
 def best_fit(lengths: np.ndarray, capacity: int) -> list[int]:

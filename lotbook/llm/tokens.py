@@ -4,12 +4,14 @@
 a text's ids are the ids of its space-led words one after another. Words repeat, and
 a bounded dictionary keeps the ids of those seen. The same ids come from the
 ``tokenizers`` file and from the rank file of that vocabulary; the rank file's
-library is used for words not in the dictionary because it is faster.
+library is used for words not in the dictionary because it is faster. The tokens that the
+``tokenizers`` file adds are found in a text before all else, as its library does.
 """
 
 from __future__ import annotations
 
 import base64
+import json
 import re
 import zlib
 
@@ -27,9 +29,12 @@ def vocabulary_path(name: str) -> str:
 
 
 class BpeIds(dict):
-    """Little-endian 32-bit ids of texts. As a dictionary: word to ids of space + word."""
+    """Little-endian 32-bit ids of texts. As a dictionary: word to ids of space + word.
 
-    def __init__(self, ranks_path: str):
+    ``added`` names the ``tokenizers`` file whose added tokens stand for themselves in a text.
+    """
+
+    def __init__(self, ranks_path: str, added: str | None = None):
         import numpy as np
         import public_tokenizers
         import tiktoken
@@ -40,6 +45,16 @@ class BpeIds(dict):
         self._encode = tiktoken.Encoding(
             "own", pat_str=public_tokenizers.PATTERN, mergeable_ranks=ranks, special_tokens={}
         ).encode_ordinary
+        self._added: dict[str, bytes] = {}
+        if added:
+            with open(added, encoding="utf-8") as file:
+                tokens = json.load(file)["added_tokens"]
+            if any(t["single_word"] or t["lstrip"] or t["rstrip"] for t in tokens):
+                raise ValueError("added tokens that depend on their neighbours are not read")
+            self._added = {t["content"]: self._array([t["id"]]) for t in tokens}
+        # The leftmost token counts, of those at one place the longest.
+        longest = sorted(self._added, key=lambda t: (-len(t), t))
+        self._cut = re.compile("(" + "|".join(map(re.escape, longest)) + ")").split
 
     def __missing__(self, word: str) -> bytes:
         ids = self._array(self._encode(" " + word))
@@ -49,20 +64,26 @@ class BpeIds(dict):
     def of(self, text: str) -> bytes:
         if len(self) > CACHE_WORDS:
             self.clear()
+        if any(token in text for token in self._added):
+            parts = self._cut(text)
+            return b"".join(self._added.get(p) or self._plain(p) for p in parts if p)
+        return self._plain(text)
+
+    def _plain(self, text: str) -> bytes:
         if _ODD.search(text):
             return self._array(self._encode(text))
         first, *rest = text.split(" ")
         return self._array(self._encode(first)) + b"".join(map(self.__getitem__, rest))
 
 
-_loaded: dict[str, BpeIds] = {}
+_loaded: dict[tuple[str, str | None], BpeIds] = {}
 
 
-def bpe_ids(ranks_path: str) -> BpeIds:
+def bpe_ids(ranks_path: str, added: str | None = None) -> BpeIds:
     """One encoder per worker process and vocabulary."""
-    if ranks_path not in _loaded:
-        _loaded[ranks_path] = BpeIds(ranks_path)
-    return _loaded[ranks_path]
+    if (ranks_path, added) not in _loaded:
+        _loaded[ranks_path, added] = BpeIds(ranks_path, added)
+    return _loaded[ranks_path, added]
 
 
 def crc_of(ids: bytes) -> int:
