@@ -12,7 +12,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from lotbook.llm.common import WORD_PATTERN, stored
+from lotbook.llm.common import WORD_PATTERN, free_name, stored
 from lotbook.operators.numbering import number_rows
 
 WEIGHTS = (3.0, 1.0, 2.0)
@@ -178,19 +178,14 @@ def mix_table(docs: DataFrame, **options) -> DataFrame:
 def mixed(docs: DataFrame, **options) -> DataFrame:
     """The documents the mix takes, each as often as it is taken, with their own columns."""
     rows = measured(docs)
-    plan = thresholds(rows, targets_of(rows, **options)).withColumnsRenamed(
-        {"_key": "_mix_key", "cut": "_cut", "closed": "_closed", "whole": "_whole"}
-    )
+    own = free_name(docs, "_mix")
+    plan = thresholds(rows, targets_of(rows, **options))
+    plan = plan.select(F.struct("_key", "whole", "cut", "closed").alias(own))
+    at = lambda name: F.col(own)[name]
     h = _hash(docs)
-    below = (h < F.col("_cut")) | (F.col("_closed") & (h == F.col("_cut")))
-    copies = (F.col("_whole") + F.when(below, 1).otherwise(0)).cast("int")
-    taken = docs.join(
-        plan.select("_mix_key", "_whole", "_cut", "_closed"),
-        _key(docs["source"]) == F.col("_mix_key"),
-    )
-    return (
-        taken.withColumn("_copies", copies)
-        .where(F.col("_copies") > 0)
-        .withColumn("_copy", F.explode(F.sequence(F.lit(1), F.col("_copies"))))
-        .select(*[docs[c] for c in docs.columns])
-    )
+    below = (h < at("cut")) | (at("closed") & (h == at("cut")))
+    copies = (at("whole") + F.when(below, 1).otherwise(0)).cast("int")
+    taken = docs.join(plan, _key(docs["source"]) == at("_key")).where(copies > 0)
+    # One generator gives a document as often as it is taken; its column replaces the plan.
+    copy = F.explode(F.sequence(F.lit(1), copies))
+    return taken.withColumn(own, copy).select(*[docs[c] for c in docs.columns])

@@ -19,7 +19,7 @@ import pandas as pd
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from lotbook.llm.common import WHITE, find_words
+from lotbook.llm.common import WHITE, find_words, free_name
 from lotbook.llm.tokens import CACHE_WORDS, vocabulary_path
 
 MIN_WORDS = 50
@@ -151,14 +151,17 @@ def outside(band: Band, chars: float, byte_share: float, entropy: float) -> bool
 
 
 def judge_documents(
-    docs: DataFrame, bands: dict[str, Band] | None = None, pieces_path: str | None = None
+    docs: DataFrame,
+    bands: dict[str, Band] | None = None,
+    pieces_path: str | None = None,
+    into: str = "_judged",
 ) -> DataFrame:
-    """All columns of ``docs`` and the struct ``_judged`` of measures and verdict.
+    """All columns of ``docs`` and the struct ``into`` of measures and verdict.
 
     The band is that of ``lang`` where it has one, else of the text's script. A null or
     empty text has no words, fails the base rules and is not kept. Very long texts are
     measured whole; repeated rows are judged alike; ids may be null. The result is one
-    struct column, so no name of ``docs`` can clash but ``_judged``.
+    struct column, so no name of ``docs`` can clash but ``into``, which is replaced.
     """
     bands = bands or BANDS
     model = pieces_path or vocabulary_path("piece_bpe_32k.model")
@@ -180,7 +183,7 @@ def judge_documents(
             yield pd.DataFrame(rows, columns=names)
 
     lang = F.col("lang") if "lang" in docs.columns else F.lit(None).cast("string")
-    return docs.withColumn("_judged", judge(F.col("text"), lang))
+    return docs.withColumn(into, judge(F.col("text"), lang))
 
 
 def quality_table(docs: DataFrame) -> DataFrame:
@@ -191,4 +194,5 @@ def quality_table(docs: DataFrame) -> DataFrame:
 
 def rejects_removed(docs: DataFrame) -> DataFrame:
     """The documents that are kept, with their own columns."""
-    return judge_documents(docs).where("_judged.kept").drop("_judged")
+    own = free_name(docs, "_judged")
+    return judge_documents(docs, into=own).where(F.col(own)["kept"]).drop(own)

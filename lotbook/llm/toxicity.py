@@ -20,7 +20,7 @@ import pandas as pd
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from lotbook.llm.common import stored
+from lotbook.llm.common import free_name, stored
 
 THRESHOLD = 0.3
 # At most so many confirmed and so many unlabelled documents take part in learning.
@@ -252,8 +252,8 @@ def train(docs: DataFrame, labels: DataFrame, fold: Column, prior: float | None
     return fit(groups[0], groups[1] + groups[0][:back], features, prior)
 
 
-def score_documents(docs: DataFrame, model: Model) -> DataFrame:
-    """All columns of ``docs`` and ``_score`` (0 to 1, higher: likelier toxic).
+def score_documents(docs: DataFrame, model: Model, into: str = "_score") -> DataFrame:
+    """All columns of ``docs`` and ``into`` (0 to 1, higher: likelier toxic), replaced if there.
 
     A null or empty text has no evidence and gets the score of the offset alone. Texts
     are read whole; repeated rows score alike; no other column is an input.
@@ -266,7 +266,7 @@ def score_documents(docs: DataFrame, model: Model) -> DataFrame:
         for batch in batches:
             yield pd.Series([scorer.score(t) for t in batch], dtype="float64")
 
-    return docs.withColumn("_score", score(F.col("text")))
+    return docs.withColumn(into, score(F.col("text")))
 
 
 def toxicity_table(docs: DataFrame, labels: DataFrame) -> DataFrame:
@@ -282,4 +282,5 @@ def toxicity_table(docs: DataFrame, labels: DataFrame) -> DataFrame:
 
 def toxic_removed(docs: DataFrame, model: Model, threshold: float = THRESHOLD) -> DataFrame:
     """The documents that score below the threshold, with their own columns."""
-    return score_documents(docs, model).where(F.col("_score") < threshold).drop("_score")
+    own = free_name(docs, "_score")
+    return score_documents(docs, model, own).where(F.col(own) < threshold).drop(own)

@@ -60,5 +60,16 @@ def test_one_source_repeats_and_nulls(spark):
     assert all(r.taken == 0 for r in got if r.doc_id != 1)
 
 
+def test_clashing_names_stay(spark):
+    names = "_copies", "_copy", "_whole", "_cut", "_closed", "_mix_key", "_mix", "whole", "H"
+    rows = [(i, "a b c", "s", *range(9)) for i in range(10)] + [(None, None, None, *range(9))]
+    columns = ", ".join(f"{n} int" for n in names)
+    docs = spark.createDataFrame(rows, f"doc_id long, text string, source string, {columns}")
+    out = mixing.mixed(docs)
+    assert out.columns == docs.columns
+    got = out.collect()
+    assert {tuple(r)[3:] for r in got} == {tuple(range(9))} and len(got) >= 10
+
+
 def test_empty_table(spark):
     assert mixing.mix_table(spark.createDataFrame([], SCHEMA)).count() == 0

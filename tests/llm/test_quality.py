@@ -52,14 +52,69 @@ def test_good_documents_are_kept_and_junk_is_not(spark):
 
 
 def test_removal_keeps_columns_and_clashing_names(spark):
-    text = "Plain words of a small document that goes on for a while, " * 1
-    text = " ".join(f"{text} number {i} is not the same as others here" for i in range(8))
-    docs = spark.createDataFrame([(1, text, 3, "x"), (2, "short", 4, "y")], "doc_id long, text string, n_words int, band string")
+    # No run of three words comes twice.
+    text = (
+        "The old road runs along the river and then climbs to a village where people grow "
+        "apples, keep bees and repair boats. In spring the water rises over its banks, so every "
+        "house stands on stone pillars. Travellers who arrive late find a lamp at the bridge "
+        "and warm soup in the kitchen of an inn that has been open for more than two hundred "
+        "years without closing once."
+    )
+    rows = [(1, text, 3, "x", 0.5), (2, "short", 4, "y", 0.5), (3, None, None, None, None)]
+    docs = spark.createDataFrame(
+        rows, "doc_id long, text string, n_words int, band string, _judged double"
+    )
     out = quality_rules.rejects_removed(docs)
     assert out.columns == docs.columns
     assert [r.doc_id for r in out.collect()] == [1]
 
 
+def test_verdict_equals_plain_measures(spark):
+    """Fertility from the library's ids of each word, counted plainly."""
+    import math
+    import re
+    from collections import Counter
+
+    import sentencepiece
+
+    from lotbook.llm.tokens import vocabulary_path
+
+    model = sentencepiece.SentencePieceProcessor(model_file=vocabulary_path("piece_bpe_32k.model"))
+    docs = spark.read.parquet(f"{SF}/documents.parquet").where(F.length("text") < 4_000)
+    langs = {r.doc_id: (r.text, r.lang) for r in docs.select("doc_id", "text", "lang").collect()}
+    seen = Counter()
+    for row in quality_rules.quality_table(docs).collect():
+        text, lang = langs[row.doc_id]
+        words = [w for w in re.split("[ \t\n\x0b\x0c\r]+", text) if w]
+        ids = [i for w in words for i in model.encode(w)]
+        if not words:
+            assert not row.kept
+            continue
+        chars = sum(len(w) + 1 for w in words) / len(ids)
+        share = sum(model.is_byte(i) for i in ids) / len(ids)
+        shares = [n / len(ids) for n in Counter(ids).values()]
+        most = math.log(min(len(ids), quality_rules.ENTROPY_TOKENS)) if len(ids) > 1 else 1.0
+        entropy = -sum(s * math.log(s) for s in shares) / most
+        assert (row.chars_per_token, row.byte_share) == pytest.approx((chars, share))
+        assert row.entropy_share == pytest.approx(entropy, abs=1e-9)
+        band = quality_rules.BANDS[row.band]
+        assert row.band == lang or lang not in quality_rules.BANDS
+        low, high = band.chars_per_token
+        inside = low <= chars <= high and share <= band.byte_share
+        inside = inside and row.entropy_share >= band.entropy_share
+        assert row.kept == (not row.base_failed and inside)
+        seen[row.kept] += 1
+    assert min(seen[True], seen[False]) > 50
+
+
+def test_toxic_removal_keeps_columns_and_clashing_names(spark):
+    model = toxicity.learn([], [], 0.1)
+    docs = spark.createDataFrame([(1, "a", 0.7), (2, None, None)], "doc_id long, text string, _SCORE double")
+    out = toxicity.toxic_removed(docs, model, threshold=1.1)
+    assert out.columns == docs.columns
+    assert sorted(map(tuple, out.collect())) == [(1, "a", 0.7), (2, None, None)]
+
+
 @pytest.mark.parametrize("kind", ["quality", "toxic"])
 def test_held_out_scores(spark, kind):
     docs = spark.read.parquet(f"{SF}/documents.parquet")
