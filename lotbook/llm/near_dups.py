@@ -23,7 +23,7 @@ import xxhash
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from lotbook.llm.common import find_words, numbered, stored
+from lotbook.llm.common import WORD_PATTERN, find_words, free_name, stored
 
 SHINGLE_WORDS = 5
 SIMILARITY = 0.8
@@ -149,7 +149,10 @@ def shingle_set(text: str, size: int = SHINGLE_WORDS) -> frozenset[tuple[str, ..
 
 
 def signatures(docs: DataFrame, bands: int, rows: int, weighted: bool) -> DataFrame:
-    """``bands`` keys per row of (``_row``, ``_node``, ``_id``, ``text``); null without words."""
+    """``bands`` keys per row of (``_node``, ``_id``, ``text``), null without words, and ``_row``.
+
+    Rows get their number here, in the scan that is written; no other scan is numbered.
+    """
 
     def sign(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for batch in batches:
@@ -182,13 +185,14 @@ def signatures(docs: DataFrame, bands: int, rows: int, weighted: bool) -> DataFr
                     flush(held, keys)
                     held, waiting = [], 0
             flush(held, keys)
-            out = batch[["_row", "_node", "_id"]].copy()
+            out = batch[["_node", "_id"]].copy()
             out["_id"] = out["_id"].astype("Int64")
             out["_keys"] = keys
             yield out
 
-    schema = "_row long, _node binary, _id long, _keys array<long>"
-    return docs.select("_row", "_node", "_id", "text").mapInPandas(sign, schema)
+    schema = "_node binary, _id long, _keys array<long>"
+    signed = docs.select("_node", "_id", "text").mapInPandas(sign, schema)
+    return signed.withColumn("_row", F.monotonically_increasing_id())
 
 
 def _jaccards(pairs: DataFrame) -> DataFrame:
@@ -253,8 +257,11 @@ class _Linker:
         """Texts of the nodes that share a key at all, fetched from the documents once."""
         if self.texts is None:
             wanted = active.select("_node").distinct()
-            rows = self.nodes.join(wanted, "_node", "left_semi").select("_node", "_row")
-            texts = self.docs.select("_row", "text").join(rows, "_row").select("_node", "text")
+            rows = self.nodes.join(wanted, "_node", "left_semi").select("_node", "_id")
+            same = (F.col("d._node") == F.col("r._node")) & F.col("d._id").eqNullSafe(F.col("r._id"))
+            texts = self.docs.alias("d").join(rows.alias("r"), same, "left_semi")
+            # Rows that repeat id and text are still there; they merge before they travel.
+            texts = texts.groupBy("_node").agg(F.first("text").alias("text"))
             self.texts = stored(texts, "texts")
 
     def verify(self, pairs: DataFrame) -> DataFrame:
@@ -473,11 +480,20 @@ def duplicate_classes(
     first by id. Signatures weigh shingles alike, or by their count with ``weighted``. A
     null or empty text, or one of white space, is a class of its own per row. Rows that
     repeat id and text are copies of each other; rows without an id can be copies too
-    and are kept only if none of their class has an id. The rows are written once with
-    their numbers (``_row``), and every pass reads those.
+    and are kept only if none of their class has an id. Texts are not written again: rows
+    are numbered (``_row``) with their signatures, and texts are found by id and digest.
     """
-    docs = numbered(docs.select("doc_id", "text"), "numbered")
-    return _classes(docs, similarity, bands, band_rows, weighted)
+    joined, _ = _classes(docs, similarity, bands, band_rows, weighted)
+    return joined.select(
+        "_row",
+        F.col("_id").alias("doc_id"),
+        F.when(F.col("head").isNull(), F.col("_id")).otherwise(F.col("head.id")).alias("class_id"),
+        (F.col("head").isNull() | (F.col("head.row") == F.col("_row"))).alias("kept"),
+    )
+
+
+def _node_of(text: str) -> Column:
+    return F.unhex(F.md5(F.col(text).cast("binary")))
 
 
 def _classes(
@@ -486,16 +502,21 @@ def _classes(
     bands: int = BANDS,
     band_rows: int = BAND_ROWS,
     weighted: bool = False,
-) -> DataFrame:
-    """``duplicate_classes`` of rows that have their stored ``_row``."""
-    rows = docs.select("_row", F.col("doc_id").cast("long").alias("_id"), "text")
-    rows = rows.withColumn("_node", F.unhex(F.md5(F.col("text").cast("binary"))))
+) -> tuple[DataFrame, DataFrame]:
+    """Rows with the head of their class, and the classes' heads with the rows that repeat them."""
+    rows = docs.select(
+        F.col("doc_id").cast("long").alias("_id"), "text", _node_of("text").alias("_node")
+    )
     signed = stored(signatures(rows, bands, band_rows, weighted), "signatures")
     some = signed.where(F.col("_keys").isNotNull())
     nodes = stored(
         some.groupBy("_node")
         .agg(F.min(_order(F.col("_id"), F.col("_row"))).alias("least"))
-        .select("_node", F.col("least.id").alias("_id"), F.col("least.row").alias("_row")),
+        .select(
+            "_node",
+            F.col("least.id").alias("_id"),
+            F.col("least.row").alias("_row"),
+        ),
         "nodes",
     )
     keys = some.join(nodes.select("_row"), "_row", "left_semi").select(
@@ -515,16 +536,30 @@ def _classes(
     joined = signed.select(
         "_row", "_id", F.when(F.col("_keys").isNotNull(), F.col("_node")).alias("_node")
     ).join(of_node, "_node", "left")
-    return joined.select(
-        "_row",
-        F.col("_id").alias("doc_id"),
-        F.when(F.col("head").isNull(), F.col("_id")).otherwise(F.col("head.id")).alias("class_id"),
-        (F.col("head").isNull() | (F.col("head.row") == F.col("_row"))).alias("kept"),
+    # The node that holds a class's head, and how many rows have its text and id.
+    own = nodes.join(heads.select("head", F.col("head.row").alias("_row")), "_row")
+    repeats = some.join(own.select("_node", F.col("_id").alias("own")), "_node").where(
+        F.col("_id").eqNullSafe(F.col("own"))
     )
+    return joined, repeats.groupBy("_node", "_id").agg(F.count(F.lit(1)).alias("n"))
 
 
 def near_duplicates_removed(docs: DataFrame, **options) -> DataFrame:
-    """One document of each class, with its own columns."""
-    docs = numbered(docs, "numbered")
-    kept = _classes(docs, **options).where("kept").select("_row")
-    return docs.join(kept, "_row", "left_semi").drop("_row")
+    """One document of each class, with its own columns.
+
+    Of rows that repeat the id and text of a class's head, the one whose other columns come
+    first as JSON stays. Rows without words all stay. No column of ``docs`` is renamed.
+    """
+    own = free_name(docs, "_kept")
+    _, heads = _classes(docs, **options)
+    heads = stored(heads.select(F.struct("_node", "_id", "n").alias(own)), "kept")
+    text, id_ = F.col("text"), F.col("doc_id").cast("long")
+    wordless = text.isNull() | ~text.rlike(WORD_PATTERN)
+    at = lambda name: F.col(own)[name]
+    same = (_node_of("text") == at("_node")) & id_.eqNullSafe(at("_id"))
+    found = docs.where(~wordless).join(heads, same)
+    one = found.where(at("n") == 1).select(*docs.columns)
+    several = found.where(at("n") > 1).groupBy(at("_node"), at("_id"))
+    row = F.struct(*docs.columns)
+    several = several.agg(F.min_by(row, F.to_json(row)).alias(own)).select(f"{own}.*")
+    return one.unionByName(several).unionByName(docs.where(wordless))

@@ -105,8 +105,21 @@ def test_odd_rows(spark, tmp_path):
     assert len(same) == 3 and sum(r.kept for r in same) == 1
     assert all(r.kept for r in got if r.class_id != 7)
     left = near_dups.near_duplicates_removed(docs)
-    assert left.columns == [c for c in docs.columns if c != "_row"]
-    assert left.count() == 6
+    assert left.columns == docs.columns
+    assert sorted(((r.doc_id, r.text) for r in left.collect()), key=str) == sorted(
+        [(1, None), (2, None), (3, ""), (4, " \n"), (7, text), (8, "x" * 50_000)], key=str
+    )
+    assert {r._row for r in left.collect()} == {"y"}
+
+
+def test_of_rows_without_id_one_stays_and_names_may_clash(spark):
+    text = " ".join(f"t{i}" for i in range(40))
+    rows = [(None, text, i, i) for i in range(5)] + [(3, "other words", 9, 9)]
+    docs = spark.createDataFrame(rows, "doc_id long, text string, _KEPT int, _node int")
+    left = near_dups.near_duplicates_removed(docs)
+    assert left.columns == docs.columns
+    assert sorted(map(tuple, left.collect()), key=str) == sorted([rows[0], rows[5]], key=str)
+    assert near_dups.near_duplicates_removed(docs.limit(0)).count() == 0
 
 
 def test_empty_table(spark, tmp_path):
