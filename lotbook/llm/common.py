@@ -5,7 +5,7 @@ from __future__ import annotations
 import re
 import uuid
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 # A word is a run of characters other than the six ASCII white-space characters.
@@ -53,6 +53,39 @@ def free_name(df: DataFrame, name: str) -> str:
     return name
 
 
+# Bits of a filter of keys: 16 MB, in rows of 4 KB, whatever the number of keys.
+FILTER_BITS = 1 << 27
+_ROW_BITS = 1 << 15
+
+
+def _bit(key: Column) -> tuple[Column, Column]:
+    """Row of a filter, and place in the row, of a key."""
+    bit = F.pmod(F.xxhash64(key), F.lit(FILTER_BITS))
+    return F.floor(bit / _ROW_BITS).cast("long"), bit % _ROW_BITS
+
+
+def key_filter(keys: DataFrame, key: str) -> DataFrame:
+    """Which hashes the keys of a table have, as rows of bits; its size has a fixed bound."""
+    row, place = _bit(F.col(key))
+    bits = F.bitmap_construct_agg(place)
+    return keys.where(F.col(key).isNotNull()).groupBy(row.alias("_row")).agg(bits.alias("_bits"))
+
+
+def with_maybe(df: DataFrame, key: Column, filter_: DataFrame, into: str) -> DataFrame:
+    """``df`` and the boolean ``into``: false only if ``key`` is null or not among the filter's keys.
+
+    What it lets pass without need grows as the filter fills; a join decides afterwards.
+    The filter is broadcast: it has at most ``FILTER_BITS`` bits.
+    """
+    row, place = _bit(key)
+    held = filter_.select(F.struct("_row", "_bits").alias(into))
+    joined = df.join(F.broadcast(held), row == F.col(into)["_row"], "left")
+    byte = F.hex(F.substring(F.col(into)["_bits"], F.floor(place / 8).cast("int") + 1, F.lit(1)))
+    byte = F.conv(byte, 16, 10).cast("long")
+    is_set = F.getbit(byte, (place % 8).cast("int")) == 1
+    return joined.withColumn(into, F.coalesce(key.isNotNull() & is_set, F.lit(False)))
+
+
 def numbered(df: DataFrame, name: str) -> DataFrame:
     """``df`` written with a number per row, ``_row``.
 

@@ -23,7 +23,14 @@ import xxhash
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from lotbook.llm.common import WORD_PATTERN, find_words, free_name, stored
+from lotbook.llm.common import (
+    WORD_PATTERN,
+    find_words,
+    free_name,
+    key_filter,
+    stored,
+    with_maybe,
+)
 
 SHINGLE_WORDS = 5
 SIMILARITY = 0.8
@@ -258,8 +265,12 @@ class _Linker:
         if self.texts is None:
             wanted = active.select("_node").distinct()
             rows = self.nodes.join(wanted, "_node", "left_semi").select("_node", "_id")
+            rows = stored(rows, "wanted")
             same = (F.col("d._node") == F.col("r._node")) & F.col("d._id").eqNullSafe(F.col("r._id"))
-            texts = self.docs.alias("d").join(rows.alias("r"), same, "left_semi")
+            # Most rows share no key; they are left out before the others travel.
+            docs = with_maybe(self.docs, F.col("_node"), key_filter(rows, "_node"), "_maybe")
+            docs = docs.where("_maybe").drop("_maybe")
+            texts = docs.alias("d").join(rows.alias("r"), same, "left_semi")
             # Rows that repeat id and text are still there; they merge before they travel.
             texts = texts.groupBy("_node").agg(F.first("text").alias("text"))
             self.texts = stored(texts, "texts")
@@ -292,6 +303,9 @@ class _Linker:
             active.groupBy("key").agg(F.count(F.lit(1)).alias("n")).where(F.col("n") > 1),
             "sizes",
         )
+        # Few keys are shared; the rows of the others do not travel again.
+        active = with_maybe(active, F.col("key"), key_filter(sizes, "key"), "_maybe")
+        active = active.where("_maybe").drop("_maybe")
         active = stored(active.join(sizes, "key"), "shared")
         self.gather(active)
         # The node that shares keys with most others is the likeliest centre of a bucket.
@@ -472,7 +486,7 @@ def duplicate_classes(
     band_rows: int = BAND_ROWS,
     weighted: bool = False,
 ) -> DataFrame:
-    """One row per row of ``docs``: ``_row``, ``doc_id``, ``class_id``, ``kept``, ``class_size``.
+    """One row per row of ``docs``: ``_row``, ``doc_id``, ``class_id``, ``kept``.
 
     Two texts are linked if the sets of their runs of five words (shorter texts: of all
     words) have a Jaccard similarity of at least ``similarity``; classes are what links
@@ -483,7 +497,7 @@ def duplicate_classes(
     and are kept only if none of their class has an id. Texts are not written again: rows
     are numbered (``_row``) with their signatures, and texts are found by id and digest.
     """
-    joined, _ = _classes(docs, similarity, bands, band_rows, weighted)
+    joined = _labelled(docs, similarity, bands, band_rows, weighted)
     return joined.select(
         "_row",
         F.col("_id").alias("doc_id"),
@@ -496,14 +510,14 @@ def _node_of(text: str) -> Column:
     return F.unhex(F.md5(F.col(text).cast("binary")))
 
 
-def _classes(
+def _labelled(
     docs: DataFrame,
     similarity: float = SIMILARITY,
     bands: int = BANDS,
     band_rows: int = BAND_ROWS,
     weighted: bool = False,
-) -> tuple[DataFrame, DataFrame]:
-    """Rows with the head of their class, and the classes' heads with the rows that repeat them."""
+) -> DataFrame:
+    """Rows with the label and head of their class; null where a row has no words."""
     rows = docs.select(
         F.col("doc_id").cast("long").alias("_id"), "text", _node_of("text").alias("_node")
     )
@@ -536,12 +550,22 @@ def _classes(
     joined = signed.select(
         "_row", "_id", F.when(F.col("_keys").isNotNull(), F.col("_node")).alias("_node")
     ).join(of_node, "_node", "left")
-    # The node that holds a class's head, and how many rows have its text and id.
-    own = nodes.join(heads.select("head", F.col("head.row").alias("_row")), "_row")
-    repeats = some.join(own.select("_node", F.col("_id").alias("own")), "_node").where(
-        F.col("_id").eqNullSafe(F.col("own"))
+    return joined
+
+
+def _busy(joined: DataFrame) -> tuple[DataFrame, DataFrame]:
+    """Nodes of classes of several rows, and the heads of these with the rows that repeat them."""
+    rows = joined.where(F.col("head").isNotNull())
+    counts = rows.groupBy("_node", "_id", "label", "head").agg(
+        F.count(F.lit(1)).alias("n"), F.min("_row").alias("first")
+    )
+    counts = stored(counts, "copies")
+    several = stored(
+        counts.groupBy("label").agg(F.sum("n").alias("rows")).where(F.col("rows") > 1), "several"
     )
-    return joined, repeats.groupBy("_node", "_id").agg(F.count(F.lit(1)).alias("n"))
+    busy = stored(counts.join(several, "label"), "busy")
+    heads = busy.where(F.col("first") == F.col("head.row")).select("_node", "_id", "n")
+    return busy.select("_node").distinct(), heads
 
 
 def near_duplicates_removed(docs: DataFrame, **options) -> DataFrame:
@@ -551,15 +575,20 @@ def near_duplicates_removed(docs: DataFrame, **options) -> DataFrame:
     first as JSON stays. Rows without words all stay. No column of ``docs`` is renamed.
     """
     own = free_name(docs, "_kept")
-    _, heads = _classes(docs, **options)
+    busy, heads = _busy(_labelled(docs, **options))
     heads = stored(heads.select(F.struct("_node", "_id", "n").alias(own)), "kept")
+    # Rows that are a class of their own stay where they are; only the others are joined.
+    maybe = free_name(docs, "_maybe")
+    marked = with_maybe(docs, _node_of("text"), key_filter(busy, "_node"), maybe)
+    alone = marked.where(~F.col(maybe)).select(*docs.columns)
     text, id_ = F.col("text"), F.col("doc_id").cast("long")
     wordless = text.isNull() | ~text.rlike(WORD_PATTERN)
+    rest = marked.where(F.col(maybe)).select(*docs.columns)
     at = lambda name: F.col(own)[name]
     same = (_node_of("text") == at("_node")) & id_.eqNullSafe(at("_id"))
-    found = docs.where(~wordless).join(heads, same)
+    found = rest.where(~wordless).join(heads, same)
     one = found.where(at("n") == 1).select(*docs.columns)
     several = found.where(at("n") > 1).groupBy(at("_node"), at("_id"))
     row = F.struct(*docs.columns)
     several = several.agg(F.min_by(row, F.to_json(row)).alias(own)).select(f"{own}.*")
-    return one.unionByName(several).unionByName(docs.where(wordless))
+    return alone.unionByName(one).unionByName(several).unionByName(rest.where(wordless))
