@@ -156,7 +156,7 @@ def shingle_set(text: str, size: int = SHINGLE_WORDS) -> frozenset[tuple[str, ..
 
 
 def signatures(docs: DataFrame, bands: int, rows: int, weighted: bool) -> DataFrame:
-    """``bands`` keys per row of (``_node``, ``_id``, ``text``), null without words, and ``_row``.
+    """``bands`` keys per row of (``_digest``, ``_id``, ``text``), null without words, and ``_row``.
 
     Rows get their number here, in the scan that is written; no other scan is numbered.
     """
@@ -192,13 +192,13 @@ def signatures(docs: DataFrame, bands: int, rows: int, weighted: bool) -> DataFr
                     flush(held, keys)
                     held, waiting = [], 0
             flush(held, keys)
-            out = batch[["_node", "_id"]].copy()
+            out = batch[["_digest", "_id"]].copy()
             out["_id"] = out["_id"].astype("Int64")
             out["_keys"] = keys
             yield out
 
-    schema = "_node binary, _id long, _keys array<long>"
-    signed = docs.select("_node", "_id", "text").mapInPandas(sign, schema)
+    schema = "_digest binary, _id long, _keys array<long>"
+    signed = docs.select("_digest", "_id", "text").mapInPandas(sign, schema)
     return signed.withColumn("_row", F.monotonically_increasing_id())
 
 
@@ -217,7 +217,7 @@ def _jaccards(pairs: DataFrame) -> DataFrame:
                 found.append(both / max(1, len(left) + len(right) - both))
             yield pd.DataFrame({"a": batch["a"], "b": batch["b"], "sim": found})
 
-    return pairs.mapInPandas(compare, "a binary, b binary, sim double")
+    return pairs.mapInPandas(compare, "a long, b long, sim double")
 
 
 def _shingles_of(texts: DataFrame) -> DataFrame:
@@ -232,7 +232,7 @@ def _shingles_of(texts: DataFrame) -> DataFrame:
                 keys = np.concatenate(own).view(np.int64)
                 yield pd.DataFrame({"_node": nodes, "key": keys})
 
-    return texts.mapInPandas(cut, "_node binary, key long")
+    return texts.mapInPandas(cut, "_node long, key long")
 
 
 def _bitmaps_of(texts: DataFrame) -> DataFrame:
@@ -248,7 +248,7 @@ def _bitmaps_of(texts: DataFrame) -> DataFrame:
                 bits.append(np.packbits(odd, bitorder="little").view("<i8"))
             yield pd.DataFrame({"_node": batch["_node"], "bits": bits})
 
-    marked = texts.mapInPandas(mark, "_node binary, bits array<long>")
+    marked = texts.mapInPandas(mark, "_node long, bits array<long>")
     return marked.select("_node", *[F.get("bits", F.lit(i)).alias(f"b{i}") for i in _WORDS])
 
 
@@ -264,13 +264,14 @@ class _Linker:
         """Texts of the nodes that share a key at all, fetched from the documents once."""
         if self.texts is None:
             wanted = active.select("_node").distinct()
-            rows = self.nodes.join(wanted, "_node", "left_semi").select("_node", "_id")
+            rows = self.nodes.join(wanted, "_node", "left_semi").select("_node", "_digest", "_id")
             rows = stored(rows, "wanted")
-            same = (F.col("d._node") == F.col("r._node")) & F.col("d._id").eqNullSafe(F.col("r._id"))
+            same = F.col("d._digest") == F.col("r._digest")
+            same &= F.col("d._id").eqNullSafe(F.col("r._id"))
             # Most rows share no key; they are left out before the others travel.
-            docs = with_maybe(self.docs, F.col("_node"), key_filter(rows, "_node"), "_maybe")
+            docs = with_maybe(self.docs, F.col("_digest"), key_filter(rows, "_digest"), "_maybe")
             docs = docs.where("_maybe").drop("_maybe")
-            texts = docs.alias("d").join(rows.alias("r"), same, "left_semi")
+            texts = docs.alias("d").join(rows.alias("r"), same).select("_node", "text")
             # Rows that repeat id and text are still there; they merge before they travel.
             texts = texts.groupBy("_node").agg(F.first("text").alias("text"))
             self.texts = stored(texts, "texts")
@@ -506,7 +507,7 @@ def duplicate_classes(
     )
 
 
-def _node_of(text: str) -> Column:
+def _digest_of(text: str) -> Column:
     return F.unhex(F.md5(F.col(text).cast("binary")))
 
 
@@ -519,44 +520,41 @@ def _labelled(
 ) -> DataFrame:
     """Rows with the label and head of their class; null where a row has no words."""
     rows = docs.select(
-        F.col("doc_id").cast("long").alias("_id"), "text", _node_of("text").alias("_node")
+        F.col("doc_id").cast("long").alias("_id"), "text", _digest_of("text").alias("_digest")
     )
     signed = stored(signatures(rows, bands, band_rows, weighted), "signatures")
     some = signed.where(F.col("_keys").isNotNull())
+    # A text is named by the number of its first row, which is shorter than its digest.
     nodes = stored(
-        some.groupBy("_node")
+        some.groupBy("_digest")
         .agg(F.min(_order(F.col("_id"), F.col("_row"))).alias("least"))
-        .select(
-            "_node",
-            F.col("least.id").alias("_id"),
-            F.col("least.row").alias("_row"),
-        ),
+        .select("_digest", F.col("least.id").alias("_id"), F.col("least.row").alias("_node")),
         "nodes",
     )
-    keys = some.join(nodes.select("_row"), "_row", "left_semi").select(
-        F.explode("_keys").alias("key"), "_node"
+    keys = some.join(nodes, F.col("_row") == F.col("_node"), "left_semi").select(
+        F.explode("_keys").alias("key"), F.col("_row").alias("_node")
     )
     linker = _Linker(rows, nodes, similarity)
     linker.link(keys, exact=False)
     labelled = nodes.join(
         linker.classes().select(F.col("node").alias("_node"), "label"), "_node", "left"
-    ).select("_node", "_id", "_row", F.coalesce("label", "_node").alias("label"))
+    ).select("_digest", "_node", "_id", F.coalesce("label", "_node").alias("label"))
     labelled = stored(labelled, "labelled")
     heads = stored(
-        labelled.groupBy("label").agg(F.min(_order(F.col("_id"), F.col("_row"))).alias("head")),
+        labelled.groupBy("label").agg(F.min(_order(F.col("_id"), F.col("_node"))).alias("head")),
         "heads",
     )
-    of_node = stored(labelled.join(heads, "label").select("_node", "head", "label"), "of_node")
+    of_node = stored(labelled.join(heads, "label").select("_digest", "head", "label"), "of_node")
     joined = signed.select(
-        "_row", "_id", F.when(F.col("_keys").isNotNull(), F.col("_node")).alias("_node")
-    ).join(of_node, "_node", "left")
+        "_row", "_id", F.when(F.col("_keys").isNotNull(), F.col("_digest")).alias("_digest")
+    ).join(of_node, "_digest", "left")
     return joined
 
 
 def _busy(joined: DataFrame) -> tuple[DataFrame, DataFrame]:
-    """Nodes of classes of several rows, and the heads of these with the rows that repeat them."""
+    """Digests in classes of several rows, and the heads of these with the rows that repeat them."""
     rows = joined.where(F.col("head").isNotNull())
-    counts = rows.groupBy("_node", "_id", "label", "head").agg(
+    counts = rows.groupBy("_digest", "_id", "label", "head").agg(
         F.count(F.lit(1)).alias("n"), F.min("_row").alias("first")
     )
     counts = stored(counts, "copies")
@@ -564,8 +562,8 @@ def _busy(joined: DataFrame) -> tuple[DataFrame, DataFrame]:
         counts.groupBy("label").agg(F.sum("n").alias("rows")).where(F.col("rows") > 1), "several"
     )
     busy = stored(counts.join(several, "label"), "busy")
-    heads = busy.where(F.col("first") == F.col("head.row")).select("_node", "_id", "n")
-    return busy.select("_node").distinct(), heads
+    heads = busy.where(F.col("first") == F.col("head.row")).select("_digest", "_id", "n")
+    return busy.select("_digest").distinct(), heads
 
 
 def near_duplicates_removed(docs: DataFrame, **options) -> DataFrame:
@@ -576,19 +574,19 @@ def near_duplicates_removed(docs: DataFrame, **options) -> DataFrame:
     """
     own = free_name(docs, "_kept")
     busy, heads = _busy(_labelled(docs, **options))
-    heads = stored(heads.select(F.struct("_node", "_id", "n").alias(own)), "kept")
+    heads = stored(heads.select(F.struct("_digest", "_id", "n").alias(own)), "kept")
     # Rows that are a class of their own stay where they are; only the others are joined.
     maybe = free_name(docs, "_maybe")
-    marked = with_maybe(docs, _node_of("text"), key_filter(busy, "_node"), maybe)
+    marked = with_maybe(docs, _digest_of("text"), key_filter(busy, "_digest"), maybe)
     alone = marked.where(~F.col(maybe)).select(*docs.columns)
     text, id_ = F.col("text"), F.col("doc_id").cast("long")
     wordless = text.isNull() | ~text.rlike(WORD_PATTERN)
     rest = marked.where(F.col(maybe)).select(*docs.columns)
     at = lambda name: F.col(own)[name]
-    same = (_node_of("text") == at("_node")) & id_.eqNullSafe(at("_id"))
+    same = (_digest_of("text") == at("_digest")) & id_.eqNullSafe(at("_id"))
     found = rest.where(~wordless).join(heads, same)
     one = found.where(at("n") == 1).select(*docs.columns)
-    several = found.where(at("n") > 1).groupBy(at("_node"), at("_id"))
+    several = found.where(at("n") > 1).groupBy(at("_digest"), at("_id"))
     row = F.struct(*docs.columns)
     several = several.agg(F.min_by(row, F.to_json(row)).alias(own)).select(f"{own}.*")
     return alone.unionByName(one).unionByName(several).unionByName(rest.where(wordless))
