@@ -279,14 +279,19 @@ class _Linker:
     def verify(self, pairs: DataFrame) -> DataFrame:
         """``pairs`` (``a``, ``b``) with their exact similarity; keeps those that link."""
         pairs = stored(pairs, "pairs")
-        texts = self.texts
-        both = pairs.join(
-            texts.select(F.col("_node").alias("a"), F.col("text").alias("text_a")), "a"
-        ).join(texts.select(F.col("_node").alias("b"), F.col("text").alias("text_b")), "b")
+        both = pairs
+        for side in ("a", "b"):
+            texts = self._likely(pairs, side).withColumnsRenamed({"_node": side, "text": f"text_{side}"})
+            both = both.join(texts, side)
         tested = stored(_jaccards(both), "tested")
         self.links.append(tested.where(F.col("sim") >= self.similarity).select("a", "b"))
         return tested
 
+    def _likely(self, wanted: DataFrame, key: str) -> DataFrame:
+        """Texts whose node is in ``key`` of ``wanted``, and few others."""
+        texts = with_maybe(self.texts, F.col("_node"), key_filter(wanted, key), "_maybe")
+        return texts.where("_maybe").drop("_maybe")
+
     def classes(self) -> DataFrame:
         return components(reduce(DataFrame.union, self.links).distinct())
 
@@ -374,7 +379,8 @@ class _Linker:
         more, so a node with too many shingles of its own is settled without comparison.
         """
         near = stored(near, "open_near")
-        texts = self.texts.join(near.select("_node").distinct(), "_node", "left_semi")
+        texts = self._likely(near, "_node")
+        texts = texts.join(near.select("_node").distinct(), "_node", "left_semi")
         shingles = stored(_shingles_of(texts), "shingles")
         alone = (
             shingles.groupBy("key")
@@ -389,7 +395,7 @@ class _Linker:
         )
         able = known.where(F.col("most") >= self.similarity * F.col("size") - 1e-9)
         able = stored(able, "able")
-        texts = self.texts.join(able.select("_node"), "_node", "left_semi")
+        texts = self._likely(able, "_node").join(able.select("_node"), "_node", "left_semi")
         return stored(near.join(able, "_node").join(_bitmaps_of(texts), "_node"), "possible")
 
     def _compare_loose(self, near: DataFrame, apart: float) -> None:
@@ -419,7 +425,8 @@ class _Linker:
     def prefix_keys(self, nodes: DataFrame) -> DataFrame:
         """Rarest shingles of each node: similar sets share one of them, without exception."""
         similarity = self.similarity
-        texts = self.texts.join(nodes, "_node", "left_semi")
+        nodes = stored(nodes, "rest")
+        texts = self._likely(nodes, "_node").join(nodes, "_node", "left_semi")
         shingles = stored(_shingles_of(texts), "shingles")
         counts = stored(
             shingles.groupBy("key").agg(F.count(F.lit(1)).alias("n")).where(F.col("n") > 1),
