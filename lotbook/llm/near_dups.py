@@ -276,12 +276,16 @@ class _Linker:
             texts = texts.groupBy("_node").agg(F.first("text").alias("text"))
             self.texts = stored(texts, "texts")
 
-    def verify(self, pairs: DataFrame) -> DataFrame:
-        """``pairs`` (``a``, ``b``) with their exact similarity; keeps those that link."""
+    def verify(self, pairs: DataFrame, few: str = "ab") -> DataFrame:
+        """``pairs`` (``a``, ``b``) with their exact similarity; keeps those that link.
+
+        ``few`` names the sides with few of the nodes, whose texts are filtered first.
+        """
         pairs = stored(pairs, "pairs")
         both = pairs
         for side in ("a", "b"):
-            texts = self._likely(pairs, side).withColumnsRenamed({"_node": side, "text": f"text_{side}"})
+            texts = self._likely(pairs, side) if side in few else self.texts
+            texts = texts.withColumnsRenamed({"_node": side, "text": f"text_{side}"})
             both = both.join(texts, side)
         tested = stored(_jaccards(both), "tested")
         self.links.append(tested.where(F.col("sim") >= self.similarity).select("a", "b"))
@@ -315,13 +319,12 @@ class _Linker:
         active = stored(active.join(sizes, "key"), "shared")
         self.gather(active)
         # The node that shares keys with most others is the likeliest centre of a bucket.
-        central = stored(active.groupBy("_node").agg(F.sum("n").alias("weight")), "central")
-        leaders = stored(
+        central = active.groupBy("_node").agg(F.sum("n").alias("weight"))
+        leaders = (
             active.join(central, "_node")
             .groupBy("key")
             .agg(F.max(F.struct("weight", "_node")).alias("best"))
-            .select("key", F.col("best._node").alias("leader")),
-            "leaders",
+            .select("key", F.col("best._node").alias("leader"))
         )
         members = stored(
             active.join(leaders, "key")
@@ -330,7 +333,7 @@ class _Linker:
             "members",
         )
         pairs = members.select(F.col("_node").alias("a"), F.col("leader").alias("b"))
-        tested = self.verify(pairs.distinct())
+        tested = self.verify(pairs.distinct(), few="b")
         classes = self.classes()
         near = members.join(
             tested.select(F.col("a").alias("_node"), F.col("b").alias("leader"), "sim"),
@@ -349,7 +352,7 @@ class _Linker:
             "near",
         )
         open_ = near.groupBy("key").agg(F.max("loose").alias("any")).where("any").select("key")
-        near = self._possible(near.join(stored(open_, "open"), "key", "left_semi"))
+        near = self._possible(near.join(open_, "key", "left_semi"))
         loose = F.count(F.when(F.col("loose"), 1))
         work = stored(
             near.groupBy("key")
@@ -390,7 +393,7 @@ class _Linker:
             .agg(F.count(F.lit(1)).alias("alone"))
         )
         total = shingles.groupBy("_node").agg(F.count(F.lit(1)).alias("size"))
-        known = stored(total.join(alone, "_node", "left"), "known").select(
+        known = total.join(alone, "_node", "left").select(
             "_node", "size", (F.col("size") - F.coalesce("alone", F.lit(0))).alias("most")
         )
         able = known.where(F.col("most") >= self.similarity * F.col("size") - 1e-9)
@@ -428,10 +431,7 @@ class _Linker:
         nodes = stored(nodes, "rest")
         texts = self._likely(nodes, "_node").join(nodes, "_node", "left_semi")
         shingles = stored(_shingles_of(texts), "shingles")
-        counts = stored(
-            shingles.groupBy("key").agg(F.count(F.lit(1)).alias("n")).where(F.col("n") > 1),
-            "counts",
-        )
+        counts = shingles.groupBy("key").agg(F.count(F.lit(1)).alias("n")).where(F.col("n") > 1)
         # A shingle of one node alone is rarest of all; it needs no key but takes a place.
         ranked = shingles.join(counts, "key", "left").groupBy("_node").agg(
             F.sort_array(F.collect_list(F.struct(F.coalesce("n", F.lit(1)).alias("n"), "key")))
@@ -465,22 +465,20 @@ def components(links: DataFrame) -> DataFrame:
     while True:
         told = both.join(labels.select(F.col("node").alias("other"), "label"), "other")
         nearest = (
-            told.select("node", "label")
-            .union(labels.select("node", "label"))
+            told.select("node", "label", F.lit(None).cast("long").alias("old"))
+            .union(labels.select("node", "label", F.col("label").alias("old")))
             .groupBy("node")
-            .agg(F.min("label").alias("next"))
+            .agg(F.min("label").alias("next"), F.min("old").alias("old"))
         )
         nearest = stored(nearest, "nearest")
         jumped = nearest.join(
             nearest.select(F.col("node").alias("next"), F.col("next").alias("far")), "next"
         )
-        new = stored(jumped.select("node", F.least("next", "far").alias("label")), "labels")
-        changed = new.join(
-            labels.select("node", F.col("label").alias("old")), "node"
-        ).where(F.col("label") != F.col("old"))
-        labels, done = new, changed.isEmpty()
-        if done:
-            return labels
+        label = F.least("next", "far")
+        new = jumped.select("node", label.alias("label"), (label != F.col("old")).alias("changed"))
+        labels = stored(new, "labels")
+        if labels.where("changed").isEmpty():
+            return labels.drop("changed")
 
 
 def _order(id_: Column, row: Column) -> Column:
