@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import math
+import uuid
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -25,7 +26,8 @@ from lotbook.operators import merge, snapshots, spatial
 from lotbook.operators.search_index import search_entries
 from lotbook.operators.standardize import detect_crs, reproject_features, standardize
 from lotbook.plans.jobs import county_counts
-from lotbook.session import checkpointed
+from lotbook.session import checkpointed, shared_folder
+from lotbook.sources import collections
 
 P = feeds.PARCELS_SQL
 
@@ -646,3 +648,62 @@ QUERIES = {
     ),
     "rollback_snapshot": (rollback_snapshot, f"{_RUNS} select * from r where run_ts = (select min(run_ts) from r)"),
 }
+
+
+def _layouts(spark, sf):
+    """Parcels as text in three layouts, one document per 20 customers: a collection on one
+    line, one spread over lines, bare features. Every 23rd feature is broken."""
+    rows = feeds.parcels(spark, sf).select("ck", "pid", "owner", "phys")
+
+    def quoted(name):
+        escaped = F.regexp_replace(name, r'(["\\\\])', r"\\$1")
+        return F.coalesce(F.concat(F.lit('"'), escaped, F.lit('"')), F.lit("null"))
+
+    rows = rows.withColumns({"o": quoted("owner"), "p": quoted("phys")})
+    whole = F.concat(
+        F.lit('{"type": "Feature", "id": "'), "pid", F.lit('", "properties": {"owner": '), "o",
+        F.lit(', "phys": '), "p", F.lit(', "odd": "} ] { \\" [ x", "list": [{"a": 1}]}, "geometry": '),
+        F.when(F.col("ck") % 23 == 0, F.lit("nothing")).otherwise(F.lit("null")), F.lit("}"),
+    )
+    grouped = rows.withColumn("doc", F.floor(F.col("ck") / 20)).groupBy("doc")
+    grouped = grouped.agg(F.array_sort(F.collect_list(F.struct("ck", whole.alias("t")))).alias("f"))
+    one = F.concat(F.lit('{"type": "FeatureCollection", "features": ['), F.array_join("f.t", ", "), F.lit('], "tail": [{"b": {}}]}'))
+    spread = F.regexp_replace(one, r'([,{\[]) ?(["{])', "$1\n  $2")
+    layout = F.when(F.col("doc") % 3 == 0, one).when(F.col("doc") % 3 == 1, spread)
+    return grouped.select(layout.otherwise(F.array_join("f.t", "\n")).alias("value"))
+
+
+def any_layout(spark, sf):
+    """Features and rejects of text in any layout, read back from files without line ends."""
+    path = f"{shared_folder(spark)}/layouts-{uuid.uuid4().hex}"
+    _layouts(spark, sf).write.option("lineSep", " ").text(path)
+    rows = collections.read_collections(spark, path, "teton_county_wy")
+    pid = F.coalesce("feature_id", F.regexp_extract("corrupt", r'"id":\s*"([^"]+)"', 1))
+    return rows.select(
+        pid.alias("pid"),
+        F.try_element_at("props", F.lit("owner")).alias("owner"),
+        F.try_element_at("props", F.lit("phys")).alias("phys"),
+        F.col("corrupt").isNotNull().alias("rejected"),
+    )
+
+
+def split_counts(spark, sf):
+    """Good features and rejects per district of the scanned text."""
+    rows = any_layout(spark, sf)
+    return rows.groupBy(F.substring("pid", -1, 1).alias("district")).agg(
+        F.count_if(~F.col("rejected")).alias("good"), F.count_if("rejected").alias("bad")
+    )
+
+
+QUERIES |= {
+    "any_layout": (
+        any_layout,
+        f"""with {P} select pid, case when ck % 23 <> 0 then owner end as owner,
+          case when ck % 23 <> 0 then phys end as phys, ck % 23 = 0 as rejected from p""",
+    ),
+    "split_counts": (
+        split_counts,
+        f"""with {P} select right(pid, 1) as district, count(*) filter (ck % 23 <> 0) as good,
+          count(*) filter (ck % 23 = 0) as bad from p group by 1""",
+    ),
+}

@@ -145,8 +145,7 @@ def response_rows(spark, sf):
 
 
 def match_counts(spark, sf):
-    indexed = requests(spark, sf).where(_NO_COUNTIES)
-    return S.match_counts(indexed, stored(spark, sf))
+    return S.match_counts(requests(spark, sf), stored(spark, sf))
 
 
 def postings(spark, sf):
@@ -195,6 +194,6 @@ QUERIES = {
     "match_counts": (
         match_counts,
         f"""with {_SCORED_SQL} select r2.qid, count(sc.qid) as candidates, count(sc.qid) filter (score > 0) as matches
-          from r2 left join sc on r2.qid = sc.qid where len(r2.cl) = 0 group by r2.qid""",
+          from r2 left join sc on r2.qid = sc.qid group by r2.qid""",
     ),
 }

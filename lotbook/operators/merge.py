@@ -120,6 +120,12 @@ def join_overwrite(
     )
 
 
+def split_keyed(df: DataFrame, key: str) -> tuple[DataFrame, DataFrame]:
+    """Records that have the property ``key``, null included, and those that lack it."""
+    has = F.coalesce(F.map_contains_key("props", F.lit(key)), F.lit(False))
+    return df.where(has), df.where(~has)
+
+
 def merge_by_parsed_key(
     parcels: DataFrame, addresses: DataFrame, key: str = "pidn", hot_rows: int = HOT_ROWS
 ) -> DataFrame:

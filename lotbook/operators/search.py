@@ -242,17 +242,32 @@ def response_rows(results: DataFrame, prepared: DataFrame) -> DataFrame:
 def match_counts(
     requests: DataFrame, prepared: DataFrame, index: DataFrame | None = None
 ) -> DataFrame:
-    """Candidates and matches per distinct request."""
+    """Candidates and matches per distinct request.
+
+    Without counties the candidates are what the index finds; with counties they are all
+    entries of these, as a scan of them looks at each.
+    """
     signed = signed_requests(requests)
+    distinct = signed.dropDuplicates(["sig"]).select("sig", "county_codes")
+    found = scored(signed, prepared, index)
+    found = found.groupBy("sig").agg(
+        F.count(F.lit(1)).alias("found"), F.count_if(F.col("score") > 0).alias("matches")
+    )
+    entries = prepared.groupBy("county_code").agg(F.count(F.lit(1)).alias("entries"))
+    asked = distinct.select("sig", F.explode("county_codes").alias("county_code"))
+    scanned = asked.join(entries, "county_code").groupBy("sig")
+    scanned = scanned.agg(F.sum("entries").alias("entries"))
+    zero = F.lit(0).cast("long")
+    by_scan = F.size("county_codes") > 0
     counts = (
-        scored(signed, prepared, index)
-        .groupBy("sig")
-        .agg(
-            F.count(F.lit(1)).alias("candidates"),
-            F.count_if(F.col("score") > 0).alias("matches"),
+        distinct.join(found, "sig", "left")
+        .join(scanned, "sig", "left")
+        .select(
+            "sig",
+            F.when(by_scan, F.coalesce("entries", zero)).otherwise(F.col("found")).alias("candidates"),
+            "matches",
         )
     )
-    zero = F.lit(0).cast("long")
     return salted_join(signed.select("qid", "sig"), counts, "sig", "left", "qid", HOT_REQUESTS).select(
         "qid",
         F.coalesce("candidates", zero).alias("candidates"),

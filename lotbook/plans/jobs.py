@@ -8,22 +8,32 @@ from __future__ import annotations
 
 from collections.abc import Callable
 from dataclasses import dataclass, field
+from functools import reduce
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, Observation, SparkSession
 from pyspark.sql import functions as F
 
 from lotbook.config import COUNTIES, County
 from lotbook.operators.assessor import TABLES, typed_table
 from lotbook.operators.documents import assessor_documents
 from lotbook.operators.extract import extract_documents, routed_elements
-from lotbook.operators.merge import join_overwrite
+from lotbook.operators.merge import join_overwrite, split_keyed
 from lotbook.operators.page_blocks import list_page_records
 from lotbook.operators.search_index import search_entries
 from lotbook.operators.standardize import parse_descriptions, standardize
-from lotbook.sinks.features import write_search_index, write_standardized
-from lotbook.sinks.tables import expire_runs, load_table, publish, write_parcel_index
+from lotbook.sinks.features import write_search_index
+from lotbook.sinks.runs import commit, drop_unnamed, manifest, write_county, write_table
+from lotbook.sinks.tables import load_table, unpin, write_parcel_index
+from lotbook.sources.collections import read_collections
 from lotbook.sources.features import file_bucket, read_feature_lines, read_json_records
-from lotbook.sources.pages import page_elements, read_elements, read_pages, write_elements
+from lotbook.sources.pages import (
+    ERROR,
+    page_elements,
+    page_errors,
+    read_elements,
+    read_pages,
+    write_elements,
+)
 from lotbook.sources.tables import read_assessor
 
 Stage = Callable[[DataFrame], DataFrame]
@@ -31,33 +41,56 @@ Stage = Callable[[DataFrame], DataFrame]
 
 @dataclass
 class CountyInput:
-    """Where a county's landed layers are."""
+    """Where a county's landed layers are.
+
+    ``lines`` tells that every line of the parcels holds one feature or a whole collection; such
+    files are read without a shuffle. Else any layout is read.
+    """
 
     parcels: str
     addresses: str | None = None
     extra_stages: list[Stage] = field(default_factory=list)
+    lines: bool = False
+
+
+REJECTS = "county string, source string, reason string, content string"
+
+
+def _rejected(df: DataFrame, county: str, source: str, reason: str, content: Column) -> DataFrame:
+    values = {"county": county, "source": source, "reason": reason}
+    return df.select(*[F.lit(v).alias(k) for k, v in values.items()], content.alias("content"))
 
 
-def county_stages(spark: SparkSession, county: County, inputs: CountyInput) -> list[Stage]:
-    """Stages before standardizing: parse descriptions, join list-page records, extras."""
-    stages: list[Stage] = []
+def county_rows(
+    spark: SparkSession, county: County, inputs: CountyInput
+) -> tuple[DataFrame, DataFrame]:
+    """A county's features after its stages, and what was rejected on the way.
+
+    Rejected are texts that are no feature, and records without the property they are to be
+    joined by. Stages: parse descriptions, join list-page records, extras.
+    """
+    read = read_feature_lines if inputs.lines else read_collections
+    rows = read(spark, inputs.parcels, county.code)
+    corrupt = rows.where(F.col("corrupt").isNotNull())
+    rejects = _rejected(corrupt, county.code, "parcels", "no feature", F.col("corrupt"))
+    df = rows.where(F.col("corrupt").isNull()).drop("corrupt")
     if county.parse_description:
-        stages.append(parse_descriptions)
+        df = parse_descriptions(df)
     if county.address_join is not None and inputs.addresses is not None:
-        addresses = read_json_records(spark, inputs.addresses)
         parcel_key, address_key = county.address_join
-        stages.append(
-            lambda df: join_overwrite(df, addresses, parcel_key, address_key).drop("matched")
-        )
-    return stages + inputs.extra_stages
+        df, keyless = split_keyed(df, parcel_key)
+        addresses, lost = split_keyed(read_json_records(spark, inputs.addresses), address_key)
+        text = F.to_json("props")
+        for source, bad in (("parcels", keyless), ("addresses", lost)):
+            rejects = rejects.unionByName(_rejected(bad, county.code, source, "no key", text))
+        df = join_overwrite(df, addresses, parcel_key, address_key).drop("matched")
+    for stage in inputs.extra_stages:
+        df = df.transform(stage)
+    return df, rejects
 
 
 def county_features(spark: SparkSession, county: County, inputs: CountyInput) -> DataFrame:
-    df = read_feature_lines(spark, inputs.parcels, county.code)
-    df = df.where(F.col("corrupt").isNull()).drop("corrupt")
-    for stage in county_stages(spark, county, inputs):
-        df = df.transform(stage)
-    return df
+    return county_rows(spark, county, inputs)[0]
 
 
 def unknown_counties(wanted: list[str], registry: dict[str, County] = COUNTIES) -> list[str]:
@@ -126,11 +159,16 @@ def assessor_job(
 
 
 def list_page_job(spark: SparkSession, pages_path: str, good_path: str, bad_path: str) -> None:
-    """List pages to account records, one per account; unusable boxes to a quarantine."""
+    """List pages to account records, one per account; unusable boxes to a quarantine.
+
+    Pages that could not be read are listed in ``unread_pages`` beside the records.
+    """
     elements = page_elements(read_pages(spark, pages_path))
-    kept = elements.where(F.col("kind").isin("dt", "dd", "div"))
+    kept = elements.where(F.col("kind").isin("dt", "dd", "div", ERROR))
     write_elements(kept, f"{good_path}/elements")
-    records = list_page_records(read_elements(spark, f"{good_path}/elements"))
+    stored = read_elements(spark, f"{good_path}/elements")
+    page_errors(stored).write.mode("overwrite").json(f"{good_path}/unread_pages")
+    records = list_page_records(stored.where(F.col("kind") != ERROR))
     last = F.struct("page_id", "box")
     good = records.where("valid").groupBy("account").agg(F.max_by("record", last).alias("record"))
     good.select(F.to_json("record").alias("value")).write.mode("overwrite").text(
@@ -151,6 +189,8 @@ def page_documents_job(
     """
     elements = routed_elements(requests, page_elements(read_pages(spark, pages_path)))
     elements.write.mode("overwrite").partitionBy("route", "kind").parquet(f"{target}/elements")
+    errors = page_errors(spark.read.parquet(f"{target}/elements"))
+    errors.write.mode("overwrite").json(f"{target}/unread_pages")
     stored = spark.read.parquet(f"{target}/elements")
     documents = extract_documents(requests, stored).join(
         requests.select("page_id", "url"), "page_id"
@@ -158,20 +198,61 @@ def page_documents_job(
     documents.write.mode("overwrite").parquet(f"{target}/documents")
 
 
+def refresh_county(
+    spark: SparkSession, county: County, inputs: CountyInput, base: str, run_ts: str
+) -> tuple[int, int]:
+    """Standardized rows and rejects of one county, written for a run; returns their numbers."""
+    features, rejects = county_rows(spark, county, inputs)
+    rows = standardize(features, {county.code: county}, bucket=file_bucket())
+    counted = Observation()
+    rows = rows.observe(counted, F.count(F.lit(1)).alias("n"))
+    write_county(rows, base, "standardized", run_ts, county.code)
+    lost = Observation()
+    rejects = rejects.observe(lost, F.count(F.lit(1)).alias("n"))
+    write_county(rejects, base, "quarantine", run_ts, county.code)
+    return counted.get["n"], lost.get["n"]
+
+
 def nightly_refresh(
     spark: SparkSession,
     inputs: dict[str, CountyInput],
     base: str,
     run_ts: str,
     keep: int,
+    registry: dict[str, County] = COUNTIES,
 ) -> dict[str, str]:
-    """Ownership, publish as a run, search index, drop old runs; returns failed counties."""
-    standardized, failed = ownership(spark, inputs)
-    if standardized is None:
+    """A run of all counties and their search index, shown at once; returns failed counties.
+
+    A county that fails, when planned or when run, keeps the rows of the run before, under
+    that run's name; its reason is in ``reports``, as are the numbers of rows and rejects of
+    the others. The run shows when its manifest is written, after all tables. Runs beyond
+    ``keep`` are no longer shown, and rows that no shown run names are dropped.
+    """
+    unknown = unknown_counties(list(inputs), registry)
+    if unknown:
+        raise ValueError(f"unsupported counties: {', '.join(unknown)}")
+    failed: dict[str, str] = {}
+    shown = {c: r for t, c, r in manifest(spark, base) if t == "standardized"}
+    report = []
+    for code, county_inputs in inputs.items():
+        try:
+            good, bad = refresh_county(spark, registry[code], county_inputs, base, run_ts)
+            shown[code] = run_ts
+            report.append((code, good, bad, None))
+        except Exception as error:  # noqa: BLE001 - reported per county
+            failed[code] = str(error).splitlines()[0]
+            report.append((code, None, None, failed[code]))
+    reports = spark.createDataFrame(report, "county string, features long, rejects long, error string")
+    write_table(reports, base, "reports", run_ts)
+    if not shown:
         return failed
-    write_standardized(standardized, f"{base}/standardized")
-    written = spark.read.parquet(f"{base}/standardized")
-    publish(written, base, run_ts)
-    search_index_job(spark, f"{base}/standardized", f"{base}/search_index")
-    expire_runs(spark, base, keep)
+    rows = [("standardized", code, run) for code, run in shown.items()]
+    rows += [(f"search_index/{part}", None, run_ts) for part in ("entries", "postings")]
+    # The index is built from the rows that this run is going to show.
+    parts = [spark.read.parquet(f"{base}/standardized/run_ts={r}/county={c}").withColumn("county", F.lit(c)) for c, r in shown.items()]
+    standardized = reduce(DataFrame.unionByName, parts)
+    write_search_index(search_entries(standardized), f"{base}/search_index", f"run_ts={run_ts}")
+    commit(spark, base, run_ts, rows)
+    unpin(spark, base)
+    drop_unnamed(spark, base, keep)
     return failed

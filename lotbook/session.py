@@ -24,16 +24,26 @@ def job_session(app: str, **extra: str) -> SparkSession:
     return builder.getOrCreate()
 
 
-def checkpointed(df: DataFrame) -> DataFrame:
-    """Cut lineage with a reliable checkpoint in a folder that all executors share.
+def shared_folder(spark: SparkSession) -> str:
+    """The folder all executors share: ``spark.checkpoint.dir``, else one in the warehouse.
 
-    The folder is the one ``spark.checkpoint.dir`` names; where that is unset, one in the
-    warehouse, which is shared too. No folder of a single machine is ever used.
+    A warehouse on the driver's own disk is shared only where driver and executors are one
+    process; elsewhere it is an error not to name a folder.
     """
-    spark = df.sparkSession
-    context = spark.sparkContext
+    folder = spark.conf.get("spark.checkpoint.dir", None)
+    if folder:
+        return folder.rstrip("/")
+    warehouse = spark.conf.get("spark.sql.warehouse.dir").rstrip("/")
+    master = spark.conf.get("spark.master", "local")
+    local = master == "local" or master.startswith("local[")
+    if warehouse.startswith(("file:", "/")) and not local:
+        raise ValueError("set spark.checkpoint.dir to a folder that all executors share")
+    return f"{warehouse}/lotbook-checkpoints"
+
+
+def checkpointed(df: DataFrame) -> DataFrame:
+    """Cut lineage with a reliable checkpoint in the folder that all executors share."""
+    context = df.sparkSession.sparkContext
     if context.getCheckpointDir() is None:
-        shared = spark.conf.get("spark.checkpoint.dir", None)
-        warehouse = spark.conf.get("spark.sql.warehouse.dir").rstrip("/")
-        context.setCheckpointDir(shared or f"{warehouse}/lotbook-checkpoints")
+        context.setCheckpointDir(shared_folder(df.sparkSession))
     return df.checkpoint(eager=True)

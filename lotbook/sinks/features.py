@@ -72,22 +72,22 @@ def write_merged(merged: DataFrame, path: str, as_features: bool) -> None:
         merged.select(F.to_json("props").alias("value")).write.mode("overwrite").text(path)
 
 
-def write_search_index(entries: DataFrame, path: str) -> None:
-    """Prepared entries and their postings.
+def write_search_index(entries: DataFrame, path: str, version: str = "") -> None:
+    """Prepared entries and their postings, in the folders ``version`` of both.
 
-    Postings are range-partitioned by token and entry: lookups prune by file
-    statistics, and a frequent word spreads over as many files as it needs.
+    Postings are range-partitioned by token and entry, so a frequent word spreads over as
+    many files as it needs.
     """
     prepared = prepare_entries(entries)
-    prepared.write.mode("overwrite").parquet(f"{path}/entries")
-    written = entries.sparkSession.read.parquet(f"{path}/entries")
+    prepared.write.mode("overwrite").parquet(f"{path}/entries/{version}")
+    written = entries.sparkSession.read.parquet(f"{path}/entries/{version}")
     keys = ["kind", "token", "uid"]
     (
         postings(written)
         .repartitionByRange(*keys)
         .sortWithinPartitions(*keys)
         .write.mode("overwrite")
-        .parquet(f"{path}/postings")
+        .parquet(f"{path}/postings/{version}")
     )
 
 

@@ -7,6 +7,7 @@ from pyspark.sql import functions as F
 
 from lotbook.operators.assessor import duplicate_keys, index_metadata, parcel_index
 from lotbook.operators.snapshots import KEEP_RUNS, retained_runs
+from lotbook.sinks import runs
 
 
 class DuplicateKeyError(ValueError):
@@ -67,11 +68,21 @@ def _folder(spark: SparkSession, path: str):
     return target.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()), target
 
 
-def list_runs(spark: SparkSession, base: str) -> list[str]:
-    """Published runs, from the partition folders: one per night, no data is read."""
-    files, target = _folder(spark, f"{base}/runs")
+def list_folders(spark: SparkSession, path: str, column: str) -> list[str]:
+    """Values of a partition column, from its folders; no data is read."""
+    files, target = _folder(spark, path)
     names = [status.getPath().getName() for status in files.listStatus(target)]
-    return sorted(n.removeprefix("run_ts=") for n in names if n.startswith("run_ts="))
+    return sorted(n.removeprefix(f"{column}=") for n in names if n.startswith(f"{column}="))
+
+
+def delete_folder(spark: SparkSession, path: str) -> None:
+    files, target = _folder(spark, path)
+    files.delete(target, True)
+
+
+def list_runs(spark: SparkSession, base: str) -> list[str]:
+    """Published runs: one folder per night."""
+    return list_folders(spark, f"{base}/runs", "run_ts")
 
 
 def pin(spark: SparkSession, base: str, run_ts: str) -> None:
@@ -86,17 +97,26 @@ def unpin(spark: SparkSession, base: str) -> None:
 
 
 def latest(spark: SparkSession, base: str) -> DataFrame:
-    """Rows of the pinned run if it is still there, else of the newest."""
-    runs = list_runs(spark, base)
+    """Rows of the pinned run if it is still there, else of the newest.
+
+    Where runs have manifests, the standardized rows that the run shows.
+    """
+    if runs.current_run_ts(spark, base) is not None:
+        return runs.read_table(spark, base, "standardized")
+    return _latest_published(spark, base)
+
+
+def _latest_published(spark: SparkSession, base: str) -> DataFrame:
+    published = list_runs(spark, base)
     pinned = [r.run_ts for r in spark.read.parquet(f"{base}/pinned").take(1)]
-    run = pinned[0] if pinned and pinned[0] in runs else max(runs)
+    run = pinned[0] if pinned and pinned[0] in published else max(published)
     return spark.read.parquet(f"{base}/runs").where(F.col("run_ts").cast("string") == run)
 
 
 def expire_runs(spark: SparkSession, base: str, keep: int = KEEP_RUNS) -> list[str]:
     """Drop all but the newest runs; returns the dropped ones."""
-    runs = spark.createDataFrame([(r,) for r in list_runs(spark, base)], "run_ts string")
-    old = [r.run_ts for r in retained_runs(runs, keep).where(~F.col("kept")).collect()]
+    listed = spark.createDataFrame([(r,) for r in list_runs(spark, base)], "run_ts string")
+    old = [r.run_ts for r in retained_runs(listed, keep).where(~F.col("kept")).collect()]
     for run in old:
         files, target = _folder(spark, f"{base}/runs/run_ts={run}")
         files.delete(target, True)
