@@ -2,13 +2,16 @@
 
 from __future__ import annotations
 
+import uuid
+
 from pyspark.sql import functions as F
 
 from checks import feeds
 from checks.parcel_checks import ENTRIES_SQL, standardized
 from lotbook.operators import search as S
 from lotbook.operators import search_index as X
-from lotbook.session import checkpointed
+from lotbook.session import shared_folder
+from lotbook.sinks.features import read_search_index, write_search_index
 
 # Requests derived from nations: `{text}` is the engine's text type.
 _REQUESTS = {
@@ -49,9 +52,17 @@ def prepared(spark, sf):
     return X.prepare_entries(X.search_entries(standardized(spark, sf)))
 
 
-def stored(spark, sf):
-    """Prepared entries cut off from their making, as the written index table is."""
-    return checkpointed(prepared(spark, sf))
+_WRITTEN: dict[tuple[str, str], str] = {}
+
+
+def index(spark, sf):
+    """The stored search index of the parcels, written once in a session and then read."""
+    key = (spark.sparkContext.applicationId, sf)
+    if key not in _WRITTEN:
+        path = f"{shared_folder(spark)}/search-index-{uuid.uuid4().hex}"
+        write_search_index(X.search_entries(standardized(spark, sf)), path)
+        _WRITTEN[key] = path
+    return read_search_index(spark, _WRITTEN[key])
 
 
 def _clean(c: str) -> str:
@@ -112,7 +123,8 @@ _SCORED_SQL = f"""{_PREPARED_SQL}, {_REQUESTS_SQL},
 
 
 def _results(spark, sf, keep):
-    return S.search(requests(spark, sf).where(keep), stored(spark, sf))
+    found = index(spark, sf)
+    return S.search(requests(spark, sf).where(keep), found.entries, found)
 
 
 _NO_COUNTIES = "counties is null or size(counties) = 0"
@@ -137,15 +149,17 @@ def search_near(spark, sf):
 
 
 def response_rows(spark, sf):
-    entries = stored(spark, sf)
-    return S.response_rows(S.search(requests(spark, sf), entries), entries).select(
+    found = index(spark, sf)
+    answers = S.search(requests(spark, sf), found.entries, found)
+    return S.response_rows(answers, found.entries).select(
         "qid", "rank", "global_parcel_uid", "pidn", "owner", "mailing_address", "physical_address",
         "county", "state", "clerk_rec", "property_det", "tax_info",
     )
 
 
 def match_counts(spark, sf):
-    return S.match_counts(requests(spark, sf), stored(spark, sf))
+    found = index(spark, sf)
+    return S.match_counts(requests(spark, sf), found.entries, found)
 
 
 def postings(spark, sf):

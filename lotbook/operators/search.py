@@ -14,10 +14,14 @@ from lotbook.functions import geometry as G
 from lotbook.functions.text import clean_search, normalize_query, truthy, words
 from lotbook.operators.search_index import (
     TEXT_FIELDS,
+    StoredIndex,
     gram_postings,
     gram_probes,
+    key_bucket,
     postings,
     probes,
+    pruned,
+    rare_gram_probes,
 )
 from lotbook.operators.skew import salted_join
 
@@ -83,15 +87,34 @@ def _every_shard(df: DataFrame) -> DataFrame:
     return df.withColumn("_shard", F.explode(shards))
 
 
+def _stored_candidates(indexed: DataFrame, scanned: DataFrame, index: StoredIndex) -> DataFrame:
+    """Pairs from the written tables: only folders that a request's keys name are read."""
+    keys = probes(indexed).withColumn("bucket", key_bucket("kind", "token"))
+    by_index = _sharded(pruned(index.postings, keys)).join(
+        _every_shard(keys), ["bucket", "kind", "token", "_shard"]
+    )
+    keys = rare_gram_probes(scanned, index.gram_counts)
+    keys = keys.withColumn("bucket", key_bucket("county_code", "gram"))
+    by_gram = _sharded(pruned(index.grams, keys)).join(
+        _every_shard(keys), ["bucket", "county_code", "gram", "_shard"]
+    )
+    return by_index.select("sig", "uid").unionByName(by_gram.select("sig", "uid"))
+
+
 def candidates(
-    distinct: DataFrame, prepared: DataFrame, index: DataFrame | None = None
+    distinct: DataFrame, prepared: DataFrame, index: DataFrame | StoredIndex | None = None
 ) -> DataFrame:
     """``sig, uid`` pairs that can score, each once.
 
-    No early cap: every candidate is scored before the top rows are taken.
+    No early cap: every candidate is scored before the top rows are taken. With a stored
+    index nothing is built; else the substring keys are made in the plan, and so are the
+    postings where no table of them is given.
     """
     indexed = distinct.where(F.size("county_codes") == 0)
     scanned = distinct.where(F.size("county_codes") > 0)
+    if isinstance(index, StoredIndex):
+        pairs = _stored_candidates(indexed, scanned, index)
+        return pairs.repartition("uid").dropDuplicates(["sig", "uid"])
     by_index = _sharded(postings(prepared) if index is None else index).join(
         _every_shard(probes(indexed)), ["kind", "token", "_shard"]
     )
@@ -168,7 +191,7 @@ def complete_boost() -> Column:
 
 
 def scored(
-    requests: DataFrame, prepared: DataFrame, index: DataFrame | None = None
+    requests: DataFrame, prepared: DataFrame, index: DataFrame | StoredIndex | None = None
 ) -> DataFrame:
     """Candidates of distinct requests with their score; zero scores are still there."""
     distinct = requests.dropDuplicates(["sig"]).select(
@@ -201,12 +224,12 @@ def rank(scores: DataFrame) -> DataFrame:
 def search(
     requests: DataFrame,
     prepared: DataFrame,
-    index: DataFrame | None = None,
+    index: DataFrame | StoredIndex | None = None,
     clean_query: bool = False,
 ) -> DataFrame:
     """``qid, rank, uid, score`` of every request, at most 200 and its own limit.
 
-    ``index`` is the written postings table; without one it is built in the plan.
+    ``index`` is the stored index, or the postings table; without one it is built in the plan.
     """
     signed = signed_requests(requests, clean_query)
     ranked = rank(scored(signed, prepared, index))
@@ -240,7 +263,7 @@ def response_rows(results: DataFrame, prepared: DataFrame) -> DataFrame:
 
 
 def match_counts(
-    requests: DataFrame, prepared: DataFrame, index: DataFrame | None = None
+    requests: DataFrame, prepared: DataFrame, index: DataFrame | StoredIndex | None = None
 ) -> DataFrame:
     """Candidates and matches per distinct request.
 

@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+from dataclasses import dataclass
+
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
@@ -24,6 +26,31 @@ MIN_PREFIX = 3
 GRAM = 3
 
 
+# Folders that each stored index table is dealt into by its key.
+BUCKETS = 64
+
+
+@dataclass
+class StoredIndex:
+    """The written tables of a search index; see ``sinks.features.write_search_index``."""
+
+    entries: DataFrame
+    postings: DataFrame
+    grams: DataFrame
+    gram_counts: DataFrame
+
+
+def key_bucket(*key: str) -> Column:
+    """Folder of a key in a stored index table."""
+    return F.pmod(F.xxhash64(*key), F.lit(BUCKETS)).cast("int")
+
+
+def pruned(table: DataFrame, probes: DataFrame) -> DataFrame:
+    """The folders of a stored table that the probes' ``bucket`` names; at most BUCKETS values."""
+    wanted = [row["bucket"] for row in probes.select("bucket").distinct().collect()]
+    return table.where(F.col("bucket").isin(wanted))
+
+
 def search_entries(standardized: DataFrame) -> DataFrame:
     """Standardized parcels as search entries; missing texts are empty, a box may be null."""
 
@@ -143,6 +170,38 @@ def gram_probes(requests: DataFrame) -> DataFrame:
     ).select("sig", "county_code", F.explode("keys").alias("gram"))
 
 
+def gram_counts(grams_table: DataFrame) -> DataFrame:
+    """``county_code, gram, n``: entries that hold a substring key."""
+    return grams_table.groupBy("county_code", "gram").agg(F.count(F.lit(1)).alias("n"))
+
+
+def rare_gram_probes(requests: DataFrame, counts: DataFrame) -> DataFrame:
+    """``sig, county_code, gram``: of each word the key with the fewest entries in a county.
+
+    A word lies inside a field only if all of its keys do, so the rarest one finds every
+    match; a word with a key that no entry holds finds none and is left out.
+    """
+    n = F.length("word")
+    starts = F.when(n >= GRAM, F.sequence(F.lit(1), n - (GRAM - 1))).otherwise(F.array(F.lit(1)))
+    keys = F.array_distinct(
+        F.transform(starts, lambda i: F.substring(F.col("word"), i, F.lit(GRAM)))
+    )
+    asked = (
+        requests.select("sig", F.explode("county_codes").alias("county_code"), "q_words")
+        .select("sig", "county_code", F.explode(F.array_distinct("q_words")).alias("word"))
+        .select("sig", "county_code", "word", F.explode(keys).alias("gram"))
+        .withColumn("bucket", key_bucket("county_code", "gram"))
+    )
+    held = pruned(counts, asked).select("bucket", "county_code", "gram", "n")
+    rarest = (
+        asked.join(held, ["bucket", "county_code", "gram"], "left")
+        .groupBy("sig", "county_code", "word")
+        .agg(F.min(F.struct(F.coalesce("n", F.lit(0)).alias("n"), "gram")).alias("rarest"))
+    )
+    found = rarest.where(F.col("rarest.n") > 0)
+    return found.select("sig", "county_code", F.col("rarest.gram").alias("gram")).distinct()
+
+
 def index_sizes(index: DataFrame) -> DataFrame:
     """Distinct tokens per kind, counted after a distinct so no kind meets in one task."""
     return (

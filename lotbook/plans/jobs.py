@@ -19,10 +19,17 @@ from lotbook.operators.documents import assessor_documents
 from lotbook.operators.extract import extract_documents, routed_elements
 from lotbook.operators.merge import join_overwrite, split_keyed
 from lotbook.operators.page_blocks import list_page_records
-from lotbook.operators.search_index import search_entries
+from lotbook.operators.search_index import StoredIndex, search_entries
 from lotbook.operators.standardize import parse_descriptions, standardize
-from lotbook.sinks.features import write_search_index
-from lotbook.sinks.runs import commit, drop_unnamed, manifest, write_county, write_table
+from lotbook.sinks.features import INDEX_TABLES, write_search_index
+from lotbook.sinks.runs import (
+    commit,
+    drop_unnamed,
+    manifest,
+    read_table,
+    write_county,
+    write_table,
+)
 from lotbook.sinks.tables import load_table, unpin, write_parcel_index
 from lotbook.sources.collections import read_collections
 from lotbook.sources.features import file_bucket, read_feature_lines, read_json_records
@@ -139,6 +146,11 @@ def search_index_job(spark: SparkSession, standardized_path: str, index_path: st
     write_search_index(search_entries(spark.read.parquet(standardized_path)), index_path)
 
 
+def run_index(spark: SparkSession, base: str) -> StoredIndex:
+    """The search index of the run that readers see."""
+    return StoredIndex(*(read_table(spark, base, f"search_index/{t}") for t in INDEX_TABLES))
+
+
 def assessor_job(
     spark: SparkSession, source: str, target: str, county: str, fmt: str = "csv"
 ) -> None:
@@ -247,9 +259,14 @@ def nightly_refresh(
     if not shown:
         return failed
     rows = [("standardized", code, run) for code, run in shown.items()]
-    rows += [(f"search_index/{part}", None, run_ts) for part in ("entries", "postings")]
+    rows += [(f"search_index/{part}", None, run_ts) for part in INDEX_TABLES]
     # The index is built from the rows that this run is going to show.
-    parts = [spark.read.parquet(f"{base}/standardized/run_ts={r}/county={c}").withColumn("county", F.lit(c)) for c, r in shown.items()]
+    parts = [
+        spark.read.parquet(f"{base}/standardized/run_ts={r}/county={c}").withColumn(
+            "county", F.lit(c)
+        )
+        for c, r in shown.items()
+    ]
     standardized = reduce(DataFrame.unionByName, parts)
     write_search_index(search_entries(standardized), f"{base}/search_index", f"run_ts={run_ts}")
     commit(spark, base, run_ts, rows)

@@ -2,10 +2,17 @@
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from lotbook.operators.search_index import postings, prepare_entries
+from lotbook.operators.search_index import (
+    StoredIndex,
+    gram_counts,
+    gram_postings,
+    key_bucket,
+    postings,
+    prepare_entries,
+)
 from lotbook.schemas import JSON_FIELD_NAMES, STANDARD_FIELDS
 
 
@@ -72,23 +79,40 @@ def write_merged(merged: DataFrame, path: str, as_features: bool) -> None:
         merged.select(F.to_json("props").alias("value")).write.mode("overwrite").text(path)
 
 
+INDEX_TABLES = ("entries", "postings", "grams", "gram_counts")
+
+
 def write_search_index(entries: DataFrame, path: str, version: str = "") -> None:
-    """Prepared entries and their postings, in the folders ``version`` of both.
+    """Prepared entries, postings, substring keys and their counts, in the folders ``version``.
 
-    Postings are range-partitioned by token and entry, so a frequent word spreads over as
-    many files as it needs.
+    The last three have a folder per bucket of their key, so a search reads only those that
+    its requests name. Rows are ranged by bucket, key and entry: a frequent word spreads over
+    as many files as it needs, and the files of a folder are sorted.
     """
-    prepared = prepare_entries(entries)
-    prepared.write.mode("overwrite").parquet(f"{path}/entries/{version}")
-    written = entries.sparkSession.read.parquet(f"{path}/entries/{version}")
-    keys = ["kind", "token", "uid"]
-    (
-        postings(written)
-        .repartitionByRange(*keys)
-        .sortWithinPartitions(*keys)
-        .write.mode("overwrite")
-        .parquet(f"{path}/postings/{version}")
-    )
+    spark = entries.sparkSession
+    prepare_entries(entries).write.mode("overwrite").parquet(f"{path}/entries/{version}")
+    written = spark.read.parquet(f"{path}/entries/{version}")
+
+    def write(table: DataFrame, name: str, *key: str) -> None:
+        keyed = table.withColumn("bucket", key_bucket(*key))
+        order = ["bucket", *key, *({"uid"} & set(table.columns))]
+        ranged = keyed.repartitionByRange(*order).sortWithinPartitions(*order)
+        target = f"{path}/{name}/{version}"
+        ranged.write.mode("overwrite").partitionBy("bucket").parquet(target)
+
+    write(postings(written), "postings", "kind", "token")
+    write(gram_postings(written), "grams", "county_code", "gram")
+    grams = spark.read.parquet(f"{path}/grams/{version}")
+    write(gram_counts(grams.drop("bucket")), "gram_counts", "county_code", "gram")
+
+
+def read_search_index(spark: SparkSession, path: str, version: str = "") -> StoredIndex:
+    """The tables that ``write_search_index`` wrote."""
+    return StoredIndex(*(_index_table(spark, f"{path}/{t}/{version}") for t in INDEX_TABLES))
+
+
+def _index_table(spark: SparkSession, path: str) -> DataFrame:
+    return spark.read.option("basePath", path).parquet(path)
 
 
 def write_split(df: DataFrame, valid: Column, good_path: str, bad_path: str) -> None:

@@ -114,6 +114,25 @@ def test_written_index_gives_the_same_answer(spark, prepared):
     assert run(spark, prepared, "john smith", index=index) == run(spark, prepared, "john smith")
 
 
+def test_stored_index_gives_the_same_answers_and_reads_its_folders_only(spark, prepared, tmp_path):
+    from lotbook.sinks.features import read_search_index, write_search_index
+
+    write_search_index(prepared.drop("uid", "county_code"), str(tmp_path))
+    index = read_search_index(spark, str(tmp_path))
+    assert index.entries.count() == prepared.count()
+    for q in ["john smith", "j", "oh", "ohn & m", "box 1", "0012", "ary", "zzz", "zzz main", "r 0012"]:
+        for counties in (None, TETON):
+            args = (q, counties) if counties else (q,)
+            assert run(spark, index.entries, *args, index=index) == run(spark, prepared, *args), q
+    # The rarest key of a word decides, and a word with an unknown key is not looked up.
+    request = spark.createDataFrame([(1, "smith qqsmith", TETON, None, None, None, None)], SEARCH_REQUEST)
+    probes = X.rare_gram_probes(S.signed_requests(request), index.gram_counts).collect()
+    assert len(probes) == 1 and probes[0].gram in "smith"
+    plan = S.candidates(S.signed_requests(request), index.entries, index)
+    text = plan._jdf.queryExecution().toString()
+    assert "PartitionFilters: [isnotnull(bucket" in text or "bucket#" in text.split("PartitionFilters: [")[1]
+
+
 def test_stats(spark, prepared):
     sizes = {r.kind: r.tokens for r in X.index_sizes(X.postings(prepared)).collect()}
     # "r 0012" has prefixes of 3..6 characters, "q 77" of 3 and 4
