@@ -4,8 +4,9 @@
 a text's ids are the ids of its space-led words one after another. Words repeat, and
 a bounded dictionary keeps the ids of those seen. The same ids come from the
 ``tokenizers`` file and from the rank file of that vocabulary; the rank file's
-library is used for words not in the dictionary because it is faster. The tokens that the
-``tokenizers`` file adds are found in a text before all else, as its library does.
+library is used for words not in the dictionary because it is faster. Where words repeat too
+little for the dictionary to pay, whole texts are encoded; the ids are the same. The tokens
+that the ``tokenizers`` file adds are found in a text before all else, as its library does.
 """
 
 from __future__ import annotations
@@ -17,6 +18,8 @@ import zlib
 
 # Entries a dictionary may hold before it is emptied; about 60 MB in a Python worker.
 CACHE_WORDS = 200_000
+# A word that is not in the dictionary takes the time of about so many words of a whole text.
+MISS_COST = 10
 # A space followed by white space: the only case in which a space does not start a token.
 _ODD = re.compile(r" \s")
 
@@ -45,6 +48,7 @@ class BpeIds(dict):
         self._encode = tiktoken.Encoding(
             "own", pat_str=public_tokenizers.PATTERN, mergeable_ranks=ranks, special_tokens={}
         ).encode_ordinary
+        self._asked, self._whole = 0, False
         self._added: dict[str, bytes] = {}
         if added:
             with open(added, encoding="utf-8") as file:
@@ -63,6 +67,8 @@ class BpeIds(dict):
 
     def of(self, text: str) -> bytes:
         if len(self) > CACHE_WORDS:
+            self._whole = self._asked < MISS_COST * len(self)
+            self._asked = 0
             self.clear()
         if any(token in text for token in self._added):
             parts = self._cut(text)
@@ -70,9 +76,10 @@ class BpeIds(dict):
         return self._plain(text)
 
     def _plain(self, text: str) -> bytes:
-        if _ODD.search(text):
+        if self._whole or _ODD.search(text):
             return self._array(self._encode(text))
         first, *rest = text.split(" ")
+        self._asked += len(rest)
         return self._array(self._encode(first)) + b"".join(map(self.__getitem__, rest))
 
 

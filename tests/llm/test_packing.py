@@ -41,6 +41,21 @@ def test_ids_equal_the_tokenizers_library(text):
     assert np.frombuffer(got, dtype="<u4").tolist() == want
 
 
+def test_words_that_do_not_repeat_are_encoded_with_their_text(tokenizer, monkeypatch):
+    from lotbook.llm import tokens
+
+    monkeypatch.setattr(tokens, "CACHE_WORDS", 50)
+    paths = map(vocabulary_path, ("byte_bpe_50k.tiktoken", "byte_bpe_50k.json"))
+    encoder = tokens.BpeIds(*paths)
+    for repeats in (True, False):
+        for i in range(40):
+            words = ["the"] * 400 if repeats else []
+            text = " ".join([*words, *(f"w{i}x{j}.\nY {j}" for j in range(8)), "<|endoftext|>"])
+            want = tokenizer.encode(text, add_special_tokens=False).ids
+            assert np.frombuffer(encoder.of(text), dtype="<u4").tolist() == want
+        assert encoder._whole is not repeats
+
+
 def test_pieces_and_sequences(spark, tokenizer):
     texts = {1: "one two three", 2: None, 3: "", 4: "word " * 3000, 5: "a  b\n c <|endoftext|>"}
     texts |= {6: "a <|endoftext|> b", 7: "<|endoftext|><|endoftext|>", 8: "<|endoftext|"}
