@@ -17,6 +17,7 @@ from lotbook.config import COUNTIES, County
 from lotbook.operators.assessor import TABLES, typed_table
 from lotbook.operators.documents import assessor_documents
 from lotbook.operators.extract import extract_documents, routed_elements
+from lotbook.operators.layers import layer_counts, layer_cover, layer_features
 from lotbook.operators.merge import join_overwrite, split_keyed
 from lotbook.operators.page_blocks import list_page_records
 from lotbook.operators.search_index import StoredIndex, search_entries
@@ -33,6 +34,7 @@ from lotbook.sinks.runs import (
 from lotbook.sinks.tables import load_table, unpin, write_parcel_index
 from lotbook.sources.collections import read_collections
 from lotbook.sources.features import file_bucket, read_feature_lines, read_json_records
+from lotbook.sources.layers import read_layers
 from lotbook.sources.pages import (
     ERROR,
     page_elements,
@@ -210,6 +212,22 @@ def page_documents_job(
     documents.write.mode("overwrite").parquet(f"{target}/documents")
 
 
+def layers_job(spark: SparkSession, base: str, target: str) -> None:
+    """Landed layers to features by data type, their map tiles by band, rejects and counts.
+
+    Layers are under ``base/county=.../layer=.../``. The counts are written last.
+    """
+    rows, rejects = read_layers(spark, base)
+    layer_features(rows).write.mode("overwrite").partitionBy("data_type").parquet(
+        f"{target}/features"
+    )
+    features = spark.read.parquet(f"{target}/features")
+    layer_cover(features).write.mode("overwrite").partitionBy("band").parquet(f"{target}/tiles")
+    rejects.write.mode("overwrite").parquet(f"{target}/quarantine")
+    lost = spark.read.parquet(f"{target}/quarantine")
+    layer_counts(features, lost).write.mode("overwrite").parquet(f"{target}/counts")
+
+
 def refresh_county(
     spark: SparkSession, county: County, inputs: CountyInput, base: str, run_ts: str
 ) -> tuple[int, int]:

@@ -10,6 +10,8 @@ features, or to the top.
 
 from __future__ import annotations
 
+from collections.abc import Callable
+
 from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
@@ -195,10 +197,15 @@ def cut_features(chunks: DataFrame) -> tuple[DataFrame, DataFrame]:
     return features, left
 
 
-def parsed_features(features: DataFrame, left: DataFrame, county: Column) -> DataFrame:
+def parsed_features(
+    features: DataFrame,
+    left: DataFrame,
+    county: Column,
+    shape: Callable[[Column, Column], Column] = G.parse_geometry,
+) -> DataFrame:
     """``county, src_ord, feature_id, props, geom, corrupt`` of ``cut_features``.
 
-    A text that is no feature, and what is left of a file, is a row with its text in
+    ``shape`` makes ``geom`` of a geometry's kind and the text of its coordinates. A text that is no feature, and what is left of a file, is a row with its text in
     ``corrupt`` and no other values.
     """
     schema = f"{FEATURE_JSON}, _bad string"
@@ -207,7 +214,7 @@ def parsed_features(features: DataFrame, left: DataFrame, county: Column) -> Dat
     no_feature = F.col("f._bad").isNotNull() | ~F.coalesce(F.col("f.type") == "Feature", F.lit(False))
     read = read.withColumn("corrupt", F.when(no_feature, F.col("text")))
     good = F.col("corrupt").isNull()
-    geom = G.parse_geometry(F.col("f.geometry.type"), F.col("f.geometry.coordinates"))
+    geom = shape(F.col("f.geometry.type"), F.col("f.geometry.coordinates"))
     out = read.select(
         county.alias("county"),
         "src_ord",
