@@ -2,12 +2,16 @@
 
 from __future__ import annotations
 
+import uuid
+
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from checks import feeds
 from lotbook.operators import assessor as A
 from lotbook.operators import documents as D
+from lotbook.operators import lookup as K
+from lotbook.session import shared_folder
 from lotbook.sources.tables import chunked_pages, page_count, result_count
 
 P = feeds.PARCELS_SQL
@@ -220,14 +224,30 @@ def duplicate_keys(spark, sf):
 
 def point_lookup(spark, sf):
     """Documents of the parcels that orders name, found or not."""
-    wanted = feeds.table(spark, sf, "orders").select(
-        F.concat(F.lit("R-"), F.lpad((F.col("o_custkey") * 2).cast("string"), 7, "0")).alias("parcel_id")
-    )
-    docs = D.assessor_documents(tables(spark, sf))
+    wanted = _wanted(spark, sf)
+    docs = K.documents_of(tables(spark, sf), wanted)
     found = A.lookup_all(docs, wanted, "Teton Idaho", "assessor tables")
     return found.select("parcel_id", "county", "source", "owner_name", "error")
 
 
+def _wanted(spark, sf):
+    return feeds.table(spark, sf, "orders").select(
+        F.concat(F.lit("R-"), F.lpad((F.col("o_custkey") * 2).cast("string"), 7, "0")).alias("parcel_id")
+    )
+
+
+def asked_documents(spark, sf):
+    """Whole documents of the parcels that orders name, built for them alone."""
+    return _document_columns(K.documents_of(tables(spark, sf), _wanted(spark, sf)))
+
+
+def stored_lookup(spark, sf):
+    """The same from all documents, written by key and read back by folder."""
+    path = f"{shared_folder(spark)}/documents-{uuid.uuid4().hex}"
+    K.write_documents(D.assessor_documents(tables(spark, sf)), path)
+    return _document_columns(K.asked_documents(spark.read.parquet(path), _wanted(spark, sf)))
+
+
 # ---------------------------------------------------------------- layer responses
 
 
@@ -300,6 +320,9 @@ def page_frontier(spark, sf):
     )
 
 
+_ASKED_SQL = f"""select d.* from ({_DOCUMENTS_SQL}) d semi join
+  (select concat('R-', lpad(cast(o_custkey * 2 as varchar), 7, '0')) as county_parcel_id from orders) w using (county_parcel_id)"""
+
 QUERIES = {
     "assessor_parcels": (assessor_parcels, _PARCELS_SQL),
     "acreage_breakdown": (acreage_breakdown, f"with {_LAND_SQL} select * from ac"),
@@ -332,6 +355,8 @@ QUERIES = {
           select parcel_id, 'Teton Idaho' as county, case when pid is not null then 'assessor tables' end as source,
             owner as owner_name, case when pid is null then 'Parcel not found' end as error from w left join p on parcel_id = pid""",
     ),
+    "asked_documents": (asked_documents, _ASKED_SQL),
+    "stored_lookup": (stored_lookup, _ASKED_SQL),
     "canonical_details": (canonical_details, _DETAILS_SQL),
     "page_frontier": (
         page_frontier,

@@ -18,6 +18,7 @@ from lotbook.operators.assessor import TABLES, typed_table
 from lotbook.operators.documents import assessor_documents
 from lotbook.operators.extract import extract_documents, routed_elements
 from lotbook.operators.layers import layer_counts, layer_cover, layer_features
+from lotbook.operators.lookup import write_documents
 from lotbook.operators.merge import join_overwrite, split_keyed
 from lotbook.operators.page_blocks import list_page_records
 from lotbook.operators.search_index import StoredIndex, search_entries
@@ -166,10 +167,7 @@ def assessor_job(
     documents = assessor_documents(
         {**loaded, "parcels": loaded["parcels"].drop("ord", "last_updated")}
     )
-    # Sorted by key inside files, so a lookup skips row groups by their statistics.
-    documents.repartitionByRange("county_parcel_id").sortWithinPartitions(
-        "county_parcel_id"
-    ).write.mode("overwrite").parquet(f"{target}/documents")
+    write_documents(documents, f"{target}/documents")
 
 
 def list_page_job(spark: SparkSession, pages_path: str, good_path: str, bad_path: str) -> None:

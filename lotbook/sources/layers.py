@@ -6,6 +6,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from lotbook.functions.shapes import has_place, parse_shape
+from lotbook.session import checkpointed
 from lotbook.sources.collections import cut_features, parsed_features, read_chunks
 from lotbook.sources.tables import layer_catalogue
 
@@ -30,14 +31,16 @@ def read_layers(spark: SparkSession, base: str) -> tuple[DataFrame, DataFrame]:
             "layer": F.regexp_extract("src_ord.file", _FOLDERS, 2),
         }
     )
-    rows = landed.join(layer_catalogue(spark), ["county", "layer"], "left")
+    # One row per configured layer: a fixed, small side.
+    rows = landed.join(F.broadcast(layer_catalogue(spark)), ["county", "layer"], "left")
     lost = F.col("geom").isNotNull() & ~has_place("geom")
     reason = (
         F.when(F.col("corrupt").isNotNull(), "no feature")
         .when(F.col("data_type").isNull(), "unknown layer")
         .when(lost, "geometry not read")
     )
-    judged = rows.withColumn("reason", reason)
+    # Numbers, systems, rejects and counts all read this: the text is parsed once.
+    judged = checkpointed(rows.withColumn("reason", reason))
     features = judged.where(F.col("reason").isNull()).select(
         "county", "layer", "data_type", "src_ord", "feature_id", "props", F.col("geom").alias("shape")
     )

@@ -5,6 +5,7 @@ from pyspark.sql import functions as F
 
 from lotbook.operators import assessor as A
 from lotbook.operators import documents as D
+from lotbook.operators import lookup as K
 from lotbook.sinks.tables import DuplicateKeyError, load_table
 
 
@@ -101,6 +102,42 @@ def test_lookup_is_pushed_down_and_reports_misses(spark, tables, tmp_path):
     assert out["NOPE"].error == "Parcel not found" and out["NOPE"].county == "Teton Idaho"
 
 
+def test_documents_of_asked_parcels(spark, tables):
+    whole = {r.county_parcel_id: r for r in D.assessor_documents(tables).collect()}
+    for ids in (["RP1"], ["RP2", "RP1", "RP1", "NOPE", None], [None], []):
+        keys = spark.createDataFrame([(i,) for i in ids], "parcel_id string")
+        got = {r.county_parcel_id: r for r in K.documents_of(tables, keys).collect()}
+        assert got == {i: whole[i] for i in set(ids) & set(whole)}
+
+
+def test_stored_documents_are_read_by_folder_and_row_group(spark, tables, tmp_path):
+    one = D.assessor_documents(tables).where("county_parcel_id = 'RP1'")
+    ids = spark.range(3000).select(F.concat(F.lit("P"), F.lpad(F.col("id").cast("string"), 5, "0")).alias("i"))
+    many = one.crossJoin(ids).withColumn("county_parcel_id", F.col("i")).drop("i")
+    path = str(tmp_path / "docs")
+    K.write_documents(many, path)
+    stored = spark.read.parquet(path)
+
+    def asked(ids):
+        return K.asked_documents(stored, spark.createDataFrame([(i,) for i in ids], "parcel_id string"))
+
+    few, more = ["P00007", "P02999", "X", None, "P00007"], [f"P{i:05}" for i in range(0, 3000, 7)] + ["X", None]
+    for keys in (few, more, [None], []):
+        got = sorted(r.county_parcel_id for r in asked(keys).collect())
+        assert got == sorted({k for k in keys if k and k != "X"})
+    plan = asked(few)._jdf.queryExecution().executedPlan().toString()
+    assert "In(county_parcel_id, [" in plan
+    folders = plan.split("PartitionFilters: [")[1].split("]")[0]
+    assert "bucket" in folders
+    # Only the files of the folders asked for are opened.
+    read = asked(few)
+    assert read.count() == 2 and read.collect()
+    scan = read._jdf.queryExecution().executedPlan().collectLeaves().head()
+    assert 1 <= scan.metrics().apply("numFiles").value() <= 3 < len(stored.inputFiles())
+    out = K.lookup_stored(stored, spark.createDataFrame([("P00001",), ("X",)], "parcel_id string"), "C", "S")
+    assert {r.parcel_id: r.error for r in out.collect()} == {"P00001": None, "X": "Parcel not found"}
+
+
 def test_duplicate_key_keeps_the_old_table(spark, tmp_path):
     path = str(tmp_path / "t")
     load_table(spark.createDataFrame([("a", 1)], "k string, v int"), path, "k")
