@@ -7,11 +7,28 @@ the plan itself.
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 HOT_ROWS = 1_000_000
 _NULL_SPREAD = 64
+# Tasks per core that rows are dealt to before a step that makes much of each.
+_TASKS_PER_CORE = 4
+
+
+def many_tasks(spark: SparkSession) -> int:
+    """Tasks for a step whose work or memory grows with its rows far beyond their bytes."""
+    shuffled = int(spark.conf.get("spark.sql.shuffle.partitions"))
+    return max(shuffled, _TASKS_PER_CORE * spark.sparkContext.defaultParallelism)
+
+
+def dealt(df: DataFrame, *keys: str) -> DataFrame:
+    """Rows dealt to many tasks by ``keys``.
+
+    A file of few bytes is one task of a scan however many rows a later step makes of it, and
+    AQE joins small partitions by their compressed bytes. The number given here it keeps.
+    """
+    return df.repartition(many_tasks(df.sparkSession), *keys)
 
 
 def hot_keys(df: DataFrame, keys: list[str], limit: int) -> DataFrame:

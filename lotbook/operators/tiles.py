@@ -7,6 +7,7 @@ from pyspark.sql import functions as F
 
 from lotbook.functions import geometry as G
 from lotbook.operators.numbering import positions
+from lotbook.operators.skew import dealt
 
 # Zoom bands as (name, lowest, highest).
 ZOOM_BANDS = [("low", 6, 12), ("mid", 13, 16), ("high", 17, 17)]
@@ -18,8 +19,9 @@ _TILE = ["z", "x", "y"]
 def tile_cover(parcels: DataFrame, bands: list[tuple[str, int, int]] = ZOOM_BANDS) -> DataFrame:
     """``band, z, x, y, uid, area``: every tile a parcel's box touches, all bands merged.
 
-    ``parcels`` has ``uid`` and ``bbox`` (a box struct). Rows expand where they are
-    scanned; nothing is shuffled.
+    ``parcels`` has ``uid`` and ``bbox`` (a box struct). A box becomes a row per zoom and tile,
+    dozens of them, so the boxes are dealt to many tasks first: what a task sorts or counts
+    does not depend on how few files the boxes came from.
     """
     zooms = F.array(
         *[
@@ -30,8 +32,9 @@ def tile_cover(parcels: DataFrame, bands: list[tuple[str, int, int]] = ZOOM_BAND
     )
     box, z = F.col("bbox"), F.col("z")
     area = (box["xmax"] - box["xmin"]) * (box["ymax"] - box["ymin"])
+    boxes = parcels.where(box.isNotNull()).select("uid", "bbox")
     return (
-        parcels.where(box.isNotNull())
+        dealt(boxes, "uid")
         .select("uid", "bbox", F.explode(zooms).alias("_zoom"))
         .select("uid", "bbox", F.col("_zoom.band").alias("band"), F.col("_zoom.z").alias("z"))
         .withColumn(

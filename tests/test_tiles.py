@@ -57,3 +57,13 @@ def test_lists_are_rows_in_order_and_lose_nothing(spark):
     ordered = [r.uid for r in sorted(listed, key=lambda r: r.position)]
     assert ordered == sorted(f"u{i}" for i in range(100))
     assert sorted(r.position for r in listed) == list(range(1, 101))
+
+
+def test_boxes_of_one_file_expand_in_many_tasks(spark):
+    """A task's sort grows with the rows it makes; one scan task made them all before."""
+    boxes = spark.range(0, 400, 1, 1).select(
+        "id", F.struct(*[F.lit(v).alias(n) for n, v in zip(("xmin", "ymin", "xmax", "ymax"), BOXES[0][1])]).alias("bbox")
+    )
+    rows = tiles.tile_cover(boxes.withColumnRenamed("id", "uid")).groupBy(F.spark_partition_id().alias("task"))
+    counts = [r["count"] for r in rows.count().collect()]
+    assert len(counts) >= 8 and max(counts) < sum(counts) / 4
