@@ -140,26 +140,30 @@ def probes(requests: DataFrame) -> DataFrame:
 
 
 def grams(c: Column) -> Column:
-    """Distinct substrings of one to three characters."""
-    n = F.length(c)
+    """Distinct substrings of one to three characters.
 
-    def of_size(size: int) -> Column:
-        starts = F.when(n >= size, F.sequence(F.lit(1), n - (size - 1))).otherwise(
-            F.expr("cast(array() as array<int>)")
-        )
-        return F.transform(starts, lambda i: F.substring(c, i, F.lit(size)))
-
-    return F.array_distinct(F.concat(*[of_size(i) for i in range(1, GRAM + 1)]))
+    At each place the substrings of every size; near the end the longer ones are cut short
+    and equal the shorter ones there. ``c`` is read at each place: give a column, no expression.
+    """
+    places = F.when(F.length(c) > 0, F.sequence(F.lit(1), F.length(c))).otherwise(
+        F.expr("cast(array() as array<int>)")
+    )
+    here = F.transform(
+        places, lambda i: F.array(*[F.substring(c, i, F.lit(n)) for n in range(1, GRAM + 1)])
+    )
+    return F.array_distinct(F.flatten(here))
 
 
 def gram_postings(prepared: DataFrame) -> DataFrame:
     """``county_code, gram, uid``: substring keys of every searched field.
 
     A word lies inside a field only if the word's first three characters do, so
-    looking these keys up finds every substring match.
+    looking these keys up finds every substring match. The fields are joined in a step of
+    their own, once per entry and not once per substring.
     """
     text = F.array_join(F.array(*[F.col(f"{name}_cleaned") for name in TEXT_FIELDS]), "\n")
-    return prepared.select("county_code", "uid", F.explode(grams(text)).alias("gram"))
+    joined = prepared.select("county_code", "uid", text.alias("text"))
+    return joined.select("county_code", "uid", F.explode(grams(F.col("text"))).alias("gram"))
 
 
 def gram_probes(requests: DataFrame) -> DataFrame:

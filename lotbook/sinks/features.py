@@ -6,6 +6,7 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from lotbook.operators.search_index import (
+    BUCKETS,
     StoredIndex,
     gram_counts,
     gram_postings,
@@ -13,6 +14,7 @@ from lotbook.operators.search_index import (
     postings,
     prepare_entries,
 )
+from lotbook.operators.skew import dealt, many_tasks
 from lotbook.schemas import JSON_FIELD_NAMES, STANDARD_FIELDS
 
 
@@ -86,19 +88,24 @@ def write_search_index(entries: DataFrame, path: str, version: str = "") -> None
     """Prepared entries, postings, substring keys and their counts, in the folders ``version``.
 
     The last three have a folder per bucket of their key, so a search reads only those that
-    its requests name. Rows are ranged by bucket, key and entry: a frequent word spreads over
-    as many files as it needs, and the files of a folder are sorted.
+    its requests name. Rows are dealt by bucket and part of the entries: a frequent word spreads
+    over the parts, and the files of a folder are sorted. Nothing is sampled, as ranges would
+    have to be, so each key is made once.
     """
     spark = entries.sparkSession
+    parts = -(-many_tasks(spark) // BUCKETS)
     prepare_entries(entries).write.mode("overwrite").parquet(f"{path}/entries/{version}")
-    written = spark.read.parquet(f"{path}/entries/{version}")
+    # Of few bytes, entries would be few tasks; each becomes hundreds of rows.
+    written = dealt(spark.read.parquet(f"{path}/entries/{version}"), "uid")
 
     def write(table: DataFrame, name: str, *key: str) -> None:
         keyed = table.withColumn("bucket", key_bucket(*key))
-        order = ["bucket", *key, *({"uid"} & set(table.columns))]
-        ranged = keyed.repartitionByRange(*order).sortWithinPartitions(*order)
+        of_entry = {"uid"} & set(table.columns)
+        part = F.pmod(F.xxhash64(*of_entry), F.lit(parts)) if of_entry else F.lit(0)
+        rows = keyed.repartition(BUCKETS * parts, "bucket", part)
+        order = ["bucket", *key, *of_entry]
         target = f"{path}/{name}/{version}"
-        ranged.write.mode("overwrite").partitionBy("bucket").parquet(target)
+        rows.sortWithinPartitions(*order).write.mode("overwrite").partitionBy("bucket").parquet(target)
 
     write(postings(written), "postings", "kind", "token")
     write(gram_postings(written), "grams", "county_code", "gram")

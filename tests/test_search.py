@@ -145,3 +145,24 @@ def test_no_nested_loop(spark, prepared):
     request = spark.createDataFrame([(1, "a", None, None, None, None, None)], SEARCH_REQUEST)
     plan = S.search(request, prepared)._jdf.queryExecution().executedPlan().toString()
     assert "NestedLoop" not in plan and "CartesianProduct" not in plan
+
+
+def test_substring_keys_join_the_fields_once_per_entry(spark, prepared):
+    plan = X.gram_postings(prepared)._jdf.queryExecution().optimizedPlan().toString()
+    assert plan.count("array_join(") == 1
+    texts = spark.createDataFrame([(t,) for t in ("", "a", "ab", "abcab", "\u00e4 b\n\u00e4 b")], "t string")
+    for row in texts.select("t", X.grams(F.col("t")).alias("g")).collect():
+        want = {row.t[i : i + n] for n in (1, 2, 3) for i in range(len(row.t) - n + 1)}
+        assert set(row.g) == want and len(row.g) == len(want)
+
+
+def test_index_is_written_without_sampling_its_keys(spark, prepared, tmp_path, monkeypatch):
+    """Ranges are sampled, which made every key of every entry twice."""
+    from pyspark.sql import DataFrame
+
+    from lotbook.sinks.features import write_search_index
+
+    kind = type(prepared)
+    for owner in {kind, DataFrame}:
+        monkeypatch.setattr(owner, "repartitionByRange", None, raising=False)
+    write_search_index(prepared.drop("uid", "county_code"), str(tmp_path))
