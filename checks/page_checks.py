@@ -12,6 +12,7 @@ from lotbook.operators import extract as E
 from lotbook.operators import page_blocks as B
 from lotbook.operators.documents import assessor_documents, layer_documents
 from lotbook.operators.labels import TABLE_RULES, span_class
+from lotbook.operators.skew import dealt
 from lotbook.session import checkpointed
 from lotbook.sources.pages import page_elements, read_pages
 
@@ -118,7 +119,9 @@ def list_pages(spark, sf):
         "</a> open</dd><dt>Address</dt><dd>", F.col("o_orderpriority"), "</dd>", F.when(k % 7 == 0, F.lit("<dt>Extra</dt>")), "</dl></div>",
     )
     last = F.when(F.floor(k / 10) % 3 == 0, "<a href='?p'>Next</a>").otherwise("<a>Back</a>")
-    boxes = feeds.table(spark, sf, "orders").select(F.floor(k / 10).alias("page_id"), k.alias("k"), box.alias("box"), last.alias("tail"))
+    # Orders are dealt by page before boxes are written: pages are then made without a further shuffle.
+    orders = feeds.table(spark, sf, "orders").select("o_orderkey", "o_orderpriority", F.floor(k / 10).alias("page_id"))
+    boxes = dealt(orders, "page_id").select("page_id", k.alias("k"), box.alias("box"), last.alias("tail"))
     body = F.array_join(F.transform(F.sort_array(F.collect_list(F.struct("k", "box"))), lambda s: s["box"]), "")
     return boxes.groupBy("page_id").agg(F.concat(body, F.first("tail")).alias("html"))
 
@@ -129,11 +132,10 @@ def list_pages(spark, sf):
 def _stored(pages):
     """Element rows cut off from the parser, for rules that read them many times.
 
-    The pages are written from one small file, hence one partition; parsing is the
-    costly step, so they are spread over all cores first.
+    Pages are written where the rows they are made of were dealt to many tasks, so markup is
+    parsed where it is written and not shuffled.
     """
-    cores = pages.sparkSession.sparkContext.defaultParallelism
-    return checkpointed(page_elements(pages.repartition(cores)))
+    return checkpointed(page_elements(pages))
 
 
 
@@ -244,8 +246,7 @@ def canonical_pages(spark, sf):
         "page_id", F.when(k == 1, "https://maps.greenwoodmap.com/x").otherwise("https://example.org/").alias("url"),
         F.when(k == 2, "Lincoln").otherwise("").alias("county"),
     )
-    cores = spark.sparkContext.defaultParallelism
-    rows = E.routed_elements(requests, page_elements(pages.repartition(cores)))
+    rows = E.routed_elements(requests, page_elements(pages))
     docs = E.extract_documents(requests, checkpointed(rows))
     return docs.select("page_id", "route", "county_parcel_id", "owner_name", F.size("developments").cast("bigint").alias("n_developments"))
 

@@ -177,3 +177,38 @@ def test_an_unreadable_page_is_an_error_row(spark):
     rows = page_elements(spark.createDataFrame(pages, "page_id long, html string"))
     assert [r.page_id for r in page_errors(rows).collect()] == [2]
     assert sorted(r.page_id for r in rows.where("kind = 'p'").collect()) == [1, 4]
+
+
+def test_plain_markup_gives_the_standard_parsers_rows():
+    """Plain pages skip the standard parser; whatever it alone understands still goes to it."""
+    from lotbook.sources import pages as P
+
+    def standard(markup):
+        parser = P._Elements()
+        parser.feed(markup)
+        parser.close()
+        while parser.open:
+            parser.end(parser.open.pop())
+        return parser.done
+
+    plain = [
+        "", "only text &amp; more", "lead <p>a &nbsp;b</p> tail", "<DIV Class='ibox x' class=\"y\"><SPAN>a</span></DIV>",
+        "<dl><dt>k<dd><a href='#'>v</a> w</dl></p>", "<strong>a:</strong> tail &lt;b&gt;<br/><b>c</b><div class='col'/>x",
+        "<table><tr><td>1</td><td a-b='2'>3</table><hr ><p>open", "<p>&#x41;&#xD800;&copy &bogus; &amp", "</p></div>x",
+    ]
+    other = [
+        "<p>a < b</p>", "<!-- <p>c</p> --><p>d</p>", "<!DOCTYPE html><p>e", "<p class=x>f</p>", "<script>'<p>'</script><p>g",
+        "<p title='a>b'>h</p>", "<p title='&amp;'>i</p>", "<p", "<title><p>j</title>", "</p x>k", "<p checked>l", "a<",
+    ]
+    for markup in plain + other:
+        assert P._Elements().finish(markup) == standard(markup), markup
+    assert all(P._plain_tags(m) is not None for m in plain)
+    assert all(P._plain_tags(m) is None for m in other)
+
+
+def test_list_pages_are_written_without_a_second_shuffle_or_few_tasks(spark):
+    from checks import page_checks
+
+    pages = page_checks.list_pages(spark, "/root/testdata/sf0.001")
+    plan = pages._jdf.queryExecution().executedPlan().toString()
+    assert plan.count("Exchange") == 1 and "REPARTITION_BY_NUM" in plan
