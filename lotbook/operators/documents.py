@@ -12,6 +12,7 @@ from lotbook.functions.numbers import number_text
 from lotbook.functions.text import join_parts
 from lotbook.operators.assessor import KEY, acreage_by_category
 from lotbook.operators.nesting import nest
+from lotbook.operators.skew import dealt
 
 LEGAL_FIELDS = ["subdivision", "lot", "block", "section", "township", "range", "location"]
 ACREAGE_FIELDS = ["residential", "agricultural", "commercial", "industrial", "other"]
@@ -288,8 +289,10 @@ def assessor_documents(tables: dict[str, DataFrame]) -> DataFrame:
     head = header.select(
         KEY, F.struct(*[c for c in header.columns if c != KEY]).alias("header")
     )
+    # Lists gain nothing from a first pass where the rows lie: it would sort a scan task's whole
+    # share of wide rows. Dealt by key first, a task sorts its own parcels alone.
     nested = (
-        children.unionByName(head, allowMissingColumns=True)
+        dealt(children.unionByName(head, allowMissingColumns=True), KEY)
         .groupBy(KEY)
         .agg(
             F.first("header", ignorenulls=True).alias("h"),

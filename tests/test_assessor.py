@@ -168,3 +168,15 @@ def test_duplicate_keys_and_metadata(tables):
     meta = A.index_metadata(dated, "C", "S").collect()[0]
     assert (meta.county, meta.total_parcels, meta.source) == ("C", 2, "S")
     assert [r.county_parcel_id for r in A.parcel_index(dated).collect()] == ["RP1", "RP2"]
+
+
+def test_documents_deal_wide_rows_by_key_before_lists_are_collected(spark):
+    """Collected where they lay, a scan task sorted all of its wide rows at once."""
+    from checks import assessor_checks
+    from lotbook.operators.documents import assessor_documents
+
+    tables = assessor_checks.tables(spark, "/root/testdata/sf0.001")
+    plan = assessor_documents(tables)._jdf.queryExecution().executedPlan().toString()
+    lines = plan.splitlines()
+    dealt_at = next(i for i, line in enumerate(lines) if "REPARTITION_BY_NUM" in line and "county_parcel_id" in line)
+    assert not any("collect_list" in line for line in lines[dealt_at:])
