@@ -244,7 +244,7 @@ def asked_documents(spark, sf):
 def stored_lookup(spark, sf):
     """The same from all documents, written by key and read back by folder."""
     path = f"{shared_folder(spark)}/documents-{uuid.uuid4().hex}"
-    K.write_documents(D.assessor_documents(tables(spark, sf)), path)
+    K.write_documents(D.assessor_documents(tables(spark, sf), by_folder=True), path, by_folder=True)
     return _document_columns(K.asked_documents(spark.read.parquet(path), _wanted(spark, sf)))
 
 

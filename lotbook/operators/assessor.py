@@ -178,20 +178,20 @@ def index_metadata(parcels: DataFrame, county: str, source: str) -> DataFrame:
     ).select(F.lit(county).alias("county"), "total_parcels", "last_updated", F.lit(source).alias("source"))
 
 
-def acreage_by_category(land: DataFrame) -> DataFrame:
-    """Acres per parcel and band; null quantities count as zero, null categories as other."""
-    quantity = F.coalesce("land_quantity", F.lit(0.0))
-    banded = {
-        name: F.col("land_category").between(low, high)
-        for name, (low, high) in ACREAGE_BANDS.items()
-    }
-    in_band = F.coalesce(F.col("land_category").between(1, 12), F.lit(False))
+def acreage_sums(category: Column, quantity: Column) -> list[Column]:
+    """Sums of each band's quantities; null quantities count as zero, null categories as other."""
+    given = F.coalesce(quantity, F.lit(0.0))
     sums = [
-        F.sum(F.when(condition, quantity).otherwise(0.0)).alias(name)
-        for name, condition in banded.items()
+        F.sum(F.when(category.between(low, high), given).otherwise(0.0)).alias(name)
+        for name, (low, high) in ACREAGE_BANDS.items()
     ]
-    other = F.sum(F.when(in_band, 0.0).otherwise(quantity)).alias("other")
-    return land.groupBy(KEY).agg(*sums, other)
+    in_band = F.coalesce(category.between(1, 12), F.lit(False))
+    return [*sums, F.sum(F.when(in_band, 0.0).otherwise(given)).alias("other")]
+
+
+def acreage_by_category(land: DataFrame) -> DataFrame:
+    """Acres per parcel and band."""
+    return land.groupBy(KEY).agg(*acreage_sums(F.col("land_category"), F.col("land_quantity")))
 
 
 def parcel_improvements(

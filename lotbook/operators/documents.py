@@ -10,8 +10,9 @@ from lotbook.functions.legal import legal_part
 from lotbook.functions.maps import truthy_only
 from lotbook.functions.numbers import number_text
 from lotbook.functions.text import join_parts
-from lotbook.operators.assessor import KEY, acreage_by_category
+from lotbook.operators.assessor import KEY, acreage_sums
 from lotbook.operators.nesting import nest
+from lotbook.operators.search_index import dealt_by_folder
 from lotbook.operators.skew import dealt
 
 LEGAL_FIELDS = ["subdivision", "lot", "block", "section", "township", "range", "location"]
@@ -217,21 +218,24 @@ def _newest_first(name: str) -> Column:
     return F.transform(F.array_sort(F.collect_list(name), order), lambda s: s["item"])
 
 
-def assessor_documents(tables: dict[str, DataFrame]) -> DataFrame:
+def assessor_documents(
+    tables: dict[str, DataFrame], by_folder: bool = False
+) -> DataFrame:
     """Documents from the six assessor tables, each with a row position ``ord``.
 
-    Scalars (first legal row, acreage) are aggregated per parcel first. Then parcels
-    and all four kinds of children meet in one union and one shuffle, instead of a
-    chain of joins whose child rows would multiply. A parcel is one document with all
-    its children in total order, however many it has.
+    The first legal row is found per parcel first. Then parcels and all four kinds of
+    children meet in one union and one shuffle, instead of a chain of joins whose child
+    rows would multiply; acreage is summed where the land records are listed. A parcel
+    is one document with all its children in total order, however many it has.
+    ``by_folder`` deals the rows so that ``lookup.write_documents`` finds the documents of a
+    folder in few tasks and need not shuffle them.
     """
     legal = tables["legal_descriptions"]
     lines = F.array_join(
         F.filter(F.array(*[f"legal_line{i}" for i in range(1, 7)]), lambda s: s != ""), " "
     )
     first_legal = legal.groupBy(KEY).agg(F.min_by(lines, F.col("ord")).alias("_location"))
-    acreage = acreage_by_category(tables["land_records"])
-    header = tables["parcels"].join(first_legal, KEY, "left").join(acreage, KEY, "left")
+    header = tables["parcels"].join(first_legal, KEY, "left")
 
     improvements = tables["improvements"]
     shown = [c for c in improvements.columns if c in IMPROVEMENT_LABELS.values()]
@@ -291,11 +295,14 @@ def assessor_documents(tables: dict[str, DataFrame]) -> DataFrame:
     )
     # Lists gain nothing from a first pass where the rows lie: it would sort a scan task's whole
     # share of wide rows. Dealt by key first, a task sorts its own parcels alone.
+    rows = children.unionByName(head, allowMissingColumns=True)
+    placed, keys = (dealt_by_folder(rows, KEY), ["_part", KEY]) if by_folder else (dealt(rows, KEY), [KEY])
+    land = F.col("land.item")
     nested = (
-        dealt(children.unionByName(head, allowMissingColumns=True), KEY)
-        .groupBy(KEY)
+        placed.groupBy(*keys)
         .agg(
             F.first("header", ignorenulls=True).alias("h"),
+            *acreage_sums(land["land_category"], land["land_quantity"]),
             _items("improvement").alias("improvements"),
             _items("land").alias("detailed_land_records"),
             _newest_first("sale").alias("sales_history"),
@@ -334,7 +341,7 @@ def assessor_documents(tables: dict[str, DataFrame]) -> DataFrame:
         "value.land": number_text(h["land_value"]),
         "value.developments": number_text(h["improvement_value"]),
         "developments": developments,
-        **{f"acreage.{n}": h[n] for n in ACREAGE_FIELDS},
+        **{f"acreage.{n}": F.col(n) for n in ACREAGE_FIELDS},
     }
     return nested.select(
         *canonical(columns),

@@ -15,6 +15,7 @@ from lotbook.functions.text import (
     truthy,
     words,
 )
+from lotbook.operators.skew import many_tasks
 
 TEXT_FIELDS = ["owner", "pidn", "mailing_address", "physical_address", "county"]
 
@@ -45,6 +46,17 @@ def key_bucket(*key: str) -> Column:
     return F.pmod(F.xxhash64(*key), F.lit(BUCKETS)).cast("int")
 
 
+def dealt_by_folder(df: DataFrame, key: str) -> DataFrame:
+    """Rows dealt by ``_part``, a share of a key's bucket: a task holds rows of one bucket only.
+
+    The parts divide the buckets evenly and go to a task each, so tables of a bucket per folder
+    are written from here, or from groups of ``_part`` and the key, without another shuffle.
+    """
+    parts = BUCKETS * -(-many_tasks(df.sparkSession) // BUCKETS)
+    part = F.pmod(F.xxhash64(key), F.lit(parts)).cast("int")
+    return df.withColumn("_part", part).repartitionById(parts, "_part")
+
+
 def pruned(table: DataFrame, probes: DataFrame) -> DataFrame:
     """The folders of a stored table that the probes' ``bucket`` names; at most BUCKETS values."""
     wanted = [row["bucket"] for row in probes.select("bucket").distinct().collect()]

@@ -165,9 +165,9 @@ def assessor_job(
     loaded = {name: spark.read.parquet(f"{target}/{name}") for name in TABLES}
     write_parcel_index(loaded["parcels"], f"{target}/parcel_index", county, source)
     documents = assessor_documents(
-        {**loaded, "parcels": loaded["parcels"].drop("ord", "last_updated")}
+        {**loaded, "parcels": loaded["parcels"].drop("ord", "last_updated")}, by_folder=True
     )
-    write_documents(documents, f"{target}/documents")
+    write_documents(documents, f"{target}/documents", by_folder=True)
 
 
 def list_page_job(spark: SparkSession, pages_path: str, good_path: str, bad_path: str) -> None:

@@ -138,6 +138,51 @@ def test_stored_documents_are_read_by_folder_and_row_group(spark, tables, tmp_pa
     assert {r.parcel_id: r.error for r in out.collect()} == {"P00001": None, "X": "Parcel not found"}
 
 
+def test_documents_by_folder_are_written_and_asked_for_without_a_shuffle(spark, tables, tmp_path, monkeypatch):
+    """Documents were shuffled to be written, and again when many keys were asked for."""
+    ids = [f"P{i:05}" for i in range(3000)]
+    header = tables["parcels"].where("county_parcel_id = 'RP1'").drop("county_parcel_id")
+    parcels = spark.createDataFrame([(i,) for i in ids], "county_parcel_id string").crossJoin(header)
+    many = {**tables, "parcels": parcels, "sales": tables["sales"].withColumn("county_parcel_id", F.lit("P00007"))}
+    documents = D.assessor_documents(many, by_folder=True)
+    path = str(tmp_path / "docs")
+    K.write_documents(documents, path, by_folder=True)
+    stored = spark.read.parquet(path)
+    folders = [name.rsplit("/", 2)[1] for name in stored.inputFiles()]
+    assert len(folders) == len(set(folders)) == 64
+    assert sorted(r.county_parcel_id for r in stored.select("county_parcel_id").collect()) == ids
+    row = stored.where("county_parcel_id = 'P00007'").collect()[0]
+    assert [s.sale_date for s in row.sales_history] == ["2020", "2010-01-01", "2001-05-01", "2001-05-01"]
+    assert row.acreage_breakdown.other == 0.0
+
+    keys = spark.createDataFrame([(i,) for i in [*ids[::2], "X", None]], "parcel_id string")
+    monkeypatch.setattr(K, "PART_KEYS", 100)
+    threshold = spark.conf.get("spark.sql.autoBroadcastJoinThreshold")
+    try:
+        spark.conf.set("spark.sql.autoBroadcastJoinThreshold", "-1")
+        asked = K.asked_documents(stored, keys)
+        plan = asked._jdf.queryExecution().executedPlan().toString()
+        assert "BroadcastHashJoin" in plan and "SortMergeJoin" not in plan
+        assert "hashpartitioning(county_parcel_id" not in plan
+        assert sorted(r.county_parcel_id for r in asked.collect()) == ids[::2]
+        # Folders with too many keys for that are joined, with the same documents.
+        monkeypatch.setattr(K, "PART_KEYS", 22)
+        asked = K.asked_documents(stored, keys)
+        plan = asked._jdf.queryExecution().executedPlan().toString()
+        assert "BroadcastHashJoin" in plan and "SortMergeJoin" in plan
+        assert sorted(r.county_parcel_id for r in asked.collect()) == ids[::2]
+    finally:
+        spark.conf.set("spark.sql.autoBroadcastJoinThreshold", threshold)
+
+
+def test_land_records_are_read_once_for_documents(spark):
+    from checks import assessor_checks
+
+    tables = assessor_checks.tables(spark, "/root/testdata/sf0.001")
+    plan = D.assessor_documents(tables)._jdf.queryExecution().executedPlan().toString()
+    assert plan.count("l_quantity") > 0 and plan.count("/lineitem.parquet") == 1
+
+
 def test_duplicate_key_keeps_the_old_table(spark, tmp_path):
     path = str(tmp_path / "t")
     load_table(spark.createDataFrame([("a", 1)], "k string, v int"), path, "k")
