@@ -9,6 +9,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from lotbook.functions.bind import bind
 from lotbook.functions.numbers import money_before, money_total, number_text, numeric_or_text
 from lotbook.functions.text import collapse, label_key, truthy
 from lotbook.functions.urls import (
@@ -417,12 +418,19 @@ def building_blocks(elements: DataFrame) -> DataFrame:
         "Building ID": number,
         "Component Type": F.lit("Main Building"),
     }
-    flat = []
-    for name in BUILDING_ATTRIBUTES:
-        value = fixed.get(name, F.try_element_at(F.col("found"), F.lit(name)))
-        flat += [F.lit(name), F.coalesce(value, F.lit(""))]
+    # One loop over the names, the map bound once: as an expression per name this is a method too
+    # long for the JVM to compile.
+    given = F.create_map(*[part for name, value in fixed.items() for part in (F.lit(name), value)])
+    others = F.map_filter("found", lambda k, v: ~k.isin(*fixed))
+    names = F.array(*[F.lit(name) for name in BUILDING_ATTRIBUTES])
+    attributes = bind(
+        F.coalesce(F.map_concat(others, given), given),
+        lambda known: F.map_from_arrays(
+            names, F.transform(names, lambda n: F.coalesce(F.try_element_at(known, n), F.lit("")))
+        ),
+    )
     return buildings.join(listed, ["page_id", "building"], "left").select(
-        "page_id", "building", F.create_map(*flat).alias("attributes")
+        "page_id", "building", attributes.alias("attributes")
     )
 
 

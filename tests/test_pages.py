@@ -212,3 +212,21 @@ def test_list_pages_are_written_without_a_second_shuffle_or_few_tasks(spark):
     pages = page_checks.list_pages(spark, "/root/testdata/sf0.001")
     plan = pages._jdf.queryExecution().executedPlan().toString()
     assert plan.count("Exchange") == 1 and "REPARTITION_BY_NUM" in plan
+
+
+def test_building_attributes_are_looked_up_in_one_loop(spark):
+    """As an expression per attribute they made a method too long for the JVM to compile."""
+    head = "<div class='ibox'><div class='ibox-heading'><h4>{}</h4></div><div class='ibox-content'>{}</div></div>"
+    listed = "<dl><dt>Built As</dt><dd>Ranch</dd><dt>Roof Cover</dt><dd>Tin</dd></dl>"
+    pages = elements(spark, head.format("Building ID 7", listed) + head.format("Building ID", ""))
+    built = E.building_blocks(pages)
+    got = {r.building: r.attributes for r in built.collect()}
+    first = {"Building Name": "Building 7", "Building ID": "7", "Component Type": "Main Building"}
+    first |= {"Built As": "Ranch", "Type": "Ranch", "Roof Cover": "Tin"}
+    second = {"Building Name": "Building Unknown", "Building ID": "Unknown", "Component Type": "Main Building"}
+    for number, given in ((1, first), (2, second)):
+        assert got[number] == {name: given.get(name, "") for name in E.BUILDING_ATTRIBUTES}
+    plan = built._jdf.queryExecution().optimizedPlan().toString()
+    assert plan.count("element_at(") <= 2 < len(E.BUILDING_ATTRIBUTES)
+    # The map that is looked into is made once, not once per name.
+    assert plan.count("map_concat(") == 1
