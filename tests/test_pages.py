@@ -215,7 +215,7 @@ def test_list_pages_are_written_without_a_second_shuffle_or_few_tasks(spark):
 
 
 def test_building_attributes_are_looked_up_in_one_loop(spark):
-    """As an expression per attribute they made a method too long for the JVM to compile."""
+    """An expression per attribute took three times as long."""
     head = "<div class='ibox'><div class='ibox-heading'><h4>{}</h4></div><div class='ibox-content'>{}</div></div>"
     listed = "<dl><dt>Built As</dt><dd>Ranch</dd><dt>Roof Cover</dt><dd>Tin</dd></dl>"
     pages = elements(spark, head.format("Building ID 7", listed) + head.format("Building ID", ""))
